@@ -220,8 +220,9 @@ def pattern_masks(person="Title", sex="Sex", pclass="Pclass", age="Age", fare="F
             Rule("pattern_male_life", (F.col(sex) == "male") & any_of(male_life), 1)]
 
 
-def decided_mask(rate: str = "GroupSurvival", gid: str = "GroupId") -> Column:
-    return F.col(gid).isNotNull() & F.col(rate).isin(0.0, 1.0)
+def decided_mask(rate: str = "GroupSurvival") -> Column:
+    """Rows whose (group or fallback) rate is exactly 0 or 1."""
+    return F.coalesce(F.col(rate).isin(0.0, 1.0), F.lit(False))
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["fx"]
