@@ -34,8 +34,8 @@ TITLE_GROUPS = {
     "Mr": "Mr", "Miss": "Miss", "Mrs": "Mrs", "Master": "Master", "Dr": "Dr",
     "Rev": "Clergy", "Col": "Military", "Major": "Military", "Capt": "Military",
     "Mlle": "Miss", "Ms": "Miss", "Mme": "Mrs",
-    "Lady": "Royalty", "Sir": "Royalty", "Don": "Royalty", "Dona": "Royalty",
-    "Jonkheer": "Royalty", "the Countess": "the Countess",
+    "Lady": "Royalty", "Sir": "Royalty", "Don": "Royalty", "Jonkheer": "Royalty",
+    "the Countess": "the Countess",
 }
 # Sex recode for display.
 SEX_RECODE = {"male": "M", "female": "F", "Male": "M", "Female": "F", "MALE": "M", "FEMALE": "F"}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..session import materialize
 from .joins import add_key_count, join_back, with_scalar
 
 ID = "PassengerId"
@@ -255,9 +256,12 @@ def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
     d = with_split(df)
     d = engineer_keys(d, precedence, ticket_variant)
     d = add_group_key(d, embarked_fill=embarked_fill)
+    d = add_ticket_key(d, embarked_fill=embarked_fill)
     if link_pairs is not None:
         d = link_override(d, link_pairs)
-    d = filter_group_size(d, min_size=min_size, scope=scope)
-    d = add_ticket_key(d, embarked_fill=embarked_fill)
+    # Each step below aggregates its input and joins the result back, so
+    # the input is read twice: materialize at the forks.
+    d = materialize(d)
+    d = materialize(filter_group_size(d, min_size=min_size, scope=scope))
     d = attach_relatives(d, form=attach, scope=scope)
-    return recount_group_size(d, scope=scope)
+    return materialize(recount_group_size(d, scope=scope))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _PID = "__range_id"
 
 
@@ -25,8 +27,12 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sums: dict[str, object],
     part = list(partition_cols or [])
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *[F.col(c) for c in part + order_cols]) \
-        .withColumn(_PID, F.spark_partition_id())
+    # The range id is read by two branches below (local sums and range
+    # totals). It is assigned once into a materialized frame: each branch
+    # re-planning the range shuffle on its own could see a different
+    # coalescing of its partitions and so different ids.
+    r = materialize(df.repartitionByRange(n, *[F.col(c) for c in part + order_cols])
+                    .withColumn(_PID, F.spark_partition_id()))
     local_w = Window.partitionBy(_PID, *part).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tmp = {o: f"__v_{o}" for o in sums}

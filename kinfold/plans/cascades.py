@@ -22,6 +22,7 @@ from ..functions import features as fx
 from ..operators import groups as G
 from ..operators import rules as R
 from ..operators.joins import add_key_count, join_back
+from ..session import materialize
 
 ID = "PassengerId"
 
@@ -48,7 +49,7 @@ def add_common(df: DataFrame, scope_keys: list[str]) -> DataFrame:
 def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean",
             link_pairs: DataFrame | None = None) -> DataFrame:
     d = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs)
-    d = G.with_group_rate(d, ungrouped=ungrouped)
+    d = materialize(G.with_group_rate(d, ungrouped=ungrouped))
     d = R.in_registry(d, G.group_registry(d))
     d = d.withColumn("GroupDecided", R.decided_mask())
     return add_common(d, [])
@@ -57,7 +58,7 @@ def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean"
 def py_frame(m: DataFrame) -> DataFrame:
     d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female",
                     embarked_fill="S")
-    return add_common(d, ["split"])
+    return materialize(add_common(d, ["split"]))
 
 
 def py_registry(d: DataFrame, min_labelled: int = 1) -> DataFrame:

@@ -68,3 +68,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of an executor, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Materialize a frame that several branches of a plan read (a fork in
+    the lineage), so the shared upstream runs once.
+
+    ``kinfold.materialize=persist`` (default): MEMORY_AND_DISK cache; lost
+    blocks are recomputed from lineage when an executor dies.
+    ``checkpoint``: reliable checkpoint into ``spark.checkpoint.dir``,
+    which also cuts the lineage. ``none``: leave the plan as it is.
+    """
+    from pyspark import StorageLevel
+    mode = df.sparkSession.conf.get("kinfold.materialize", "persist")
+    if mode == "checkpoint":
+        return cut_lineage(df)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
