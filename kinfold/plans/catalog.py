@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from . import q_cascades, q_features, q_groups, q_profile  # noqa: F401
+from . import q_cascades, q_eval, q_features, q_groups, q_profile  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
