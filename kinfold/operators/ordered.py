@@ -28,7 +28,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sums: dict[str, object],
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range id is read by two branches below (local sums and range
-    # totals). It is assigned once into a materialized frame: each branch
+    # totals). It is assigned once into a materialized table: each branch
     # re-planning the range shuffle on its own could see a different
     # coalescing of its partitions and so different ids.
     r = materialize(df.repartitionByRange(n, *[F.col(c) for c in part + order_cols])

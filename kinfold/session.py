@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,9 @@ def build_session(master: str | None = None, app: str = "kinfold",
     if master:
         builder = builder.master(master)
     conf = dict(SESSION_CONF)
+    if master and master.startswith("local"):
+        # Local runs: the driver is the executor too.
+        conf["spark.driver.memory"] = os.environ.get("KINFOLD_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -72,17 +76,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Materialize a frame that several branches of a plan read (a fork in
-    the lineage), so the shared upstream runs once.
+    the lineage), so the shared upstream runs once and the logical plan
+    stays small (an aggregate joined back onto its own input references it
+    twice, so chained steps would otherwise double the plan each time).
 
-    ``kinfold.materialize=persist`` (default): MEMORY_AND_DISK cache; lost
-    blocks are recomputed from lineage when an executor dies.
-    ``checkpoint``: reliable checkpoint into ``spark.checkpoint.dir``,
-    which also cuts the lineage. ``none``: leave the plan as it is.
+    ``kinfold.materialize=table`` (default): write parquet under the shared
+    ``spark.checkpoint.dir`` and read it back -- survives executor loss,
+    keeps column pruning and filter pushdown for the readers.
+    ``checkpoint``: reliable ``DataFrame.checkpoint``.
+    ``persist``: MEMORY_AND_DISK cache only (does not shorten the plan).
     """
-    from pyspark import StorageLevel
-    mode = df.sparkSession.conf.get("kinfold.materialize", "persist")
+    spark = df.sparkSession
+    mode = spark.conf.get("kinfold.materialize", "table")
+    if mode == "table":
+        base = ensure_checkpoint_dir(spark)
+        path = f"{base.rstrip('/')}/kinfold-tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     if mode == "checkpoint":
         return cut_lineage(df)
     if mode == "persist":
+        from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
