@@ -250,7 +250,8 @@ def roster_status(label: str = "Survived", attached: str = "Attached", person: s
 
 def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
               precedence: str = "master", min_size: int = 2, embarked_fill: str = "NA",
-              ticket_variant: str = "last_char", link_pairs: DataFrame | None = None) -> DataFrame:
+              ticket_variant: str = "last_char", link_pairs: DataFrame | None = None,
+              recount: bool = True) -> DataFrame:
     """Person type, group key, size filter, ticket key and attach, in the
     order the group model uses them."""
     d = with_split(df)
@@ -264,4 +265,32 @@ def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
     d = materialize(d)
     d = materialize(filter_group_size(d, min_size=min_size, scope=scope))
     d = attach_relatives(d, form=attach, scope=scope)
+    if not recount:
+        return materialize(d)
     return materialize(recount_group_size(d, scope=scope))
+
+
+def annotate_groups(df: DataFrame, gid: str = "GroupId", label: str = "Survived", pclass: str = "Pclass",
+                    scope: str = "combined", ungrouped: str = "own_mean",
+                    out: str = "GroupSurvival") -> DataFrame:
+    """Group size, labelled rate, known-group flag and the rate with class
+    fallback, from one aggregate per group joined back once (plus a
+    one-row aggregate for the ungrouped bucket)."""
+    keys = _scope_keys(scope) + [gid]
+    y = F.col(label).cast("double")
+    reg = (df.where(F.col(gid).isNotNull()).groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("GroupFreq"), F.count(y).alias("__nl"), F.avg(y).alias("__rate")))
+    res = join_back(df.drop("GroupFreq"), reg, keys, spread_on=ID)
+    class_fb = F.when(F.col(pclass) == 3, F.lit(0.0)).otherwise(F.lit(1.0))
+    if ungrouped == "own_mean":
+        um = df.where(F.col(gid).isNull()).agg(F.avg(y).alias("__umean"))
+        res = with_scalar(res, um)
+        ung = F.coalesce(F.col("__umean"), class_fb)
+    elif ungrouped == "fallback":
+        ung = class_fb
+    else:
+        ung = F.lit(None).cast("double")
+    rate = F.when(F.col(gid).isNull(), ung).otherwise(F.coalesce(F.col("__rate"), class_fb))
+    res = (res.withColumn(out, rate)
+              .withColumn("InKnownGroup", F.coalesce(F.col("__nl") > 0, F.lit(False))))
+    return res.drop("__nl", "__rate", *(["__umean"] if ungrouped == "own_mean" else []))

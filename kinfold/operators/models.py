@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import exact_quantiles, mode_table
+from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
 NUMERIC = ["Age", "Fare", "SibSp", "Parch", "Age_Sex_interaction"]
 CATEGORICAL = ["Sex", "Embarked", "Pclass"]
@@ -33,11 +33,10 @@ CATEGORICAL = ["Sex", "Embarked", "Pclass"]
 # ---------------------------------------------------------------------------
 def fit_prep_numeric(train: DataFrame, cols: list[str]) -> DataFrame:
     """One row: median, and mean / population std of the median-filled
-    values, per column."""
-    meds = None
-    for c in cols:
-        q = exact_quantiles(train, c, {f"{c}__med": 0.5}).select(f"{c}__med")
-        meds = q if meds is None else meds.crossJoin(q)
+    values, per column (all medians from one quantile pass)."""
+    meds = exact_quantiles_by_column(train, cols, {"med": 0.5})
+    wide = meds.groupBy().pivot("column", cols).agg(F.first("med"))
+    meds = wide.select(*[F.col(c).alias(f"{c}__med") for c in cols])
     filled = train.crossJoin(F.broadcast(meds))
     aggs = []
     for c in cols:
@@ -104,7 +103,7 @@ def design(train: DataFrame, other: DataFrame | None = None, numeric=None, categ
     asm = VectorAssembler(inputCols=names, outputCol="features")
 
     def prep(d):
-        return asm.transform(apply_prep_onehot(apply_prep_numeric(d, stats, numeric), oh))
+        return cached(asm.transform(apply_prep_onehot(apply_prep_numeric(d, stats, numeric), oh)))
     return prep(train), (prep(other) if other is not None else None), names
 
 
@@ -170,28 +169,37 @@ def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str =
     (Platt scaling) fitted on the training rows."""
     tr = fourier_features(train, inputs, dim, gamma)
     te = fourier_features(other, inputs, dim, gamma)
-    svm = LinearSVC(featuresCol="rff", labelCol=label, regParam=0.01, maxIter=200).fit(tr)
-    tr2 = svm.transform(tr).withColumn("margin", vector_to_array("rawPrediction")[1])
-    te2 = svm.transform(te).withColumn("margin", vector_to_array("rawPrediction")[1])
-    asm = VectorAssembler(inputCols=["margin"], outputCol="mfeat")
-    cal = LogisticRegression(featuresCol="mfeat", labelCol=label, regParam=0.0).fit(asm.transform(tr2))
-    res = cal.transform(asm.transform(te2.drop("probability", "prediction")))
-    return p1(res)
+    svm = LinearSVC(featuresCol="rff", labelCol=label, regParam=0.01, maxIter=200,
+                    predictionCol="__svm_pred", rawPredictionCol="__svm_raw").fit(tr)
+
+    def margin(d):
+        m = svm.transform(d).withColumn("margin", vector_to_array("__svm_raw")[1])
+        return VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(
+            m.drop("__svm_pred", "__svm_raw", "rff"))
+    cal = LogisticRegression(featuresCol="mfeat", labelCol=label, regParam=0.0).fit(margin(tr))
+    return p1(cal.transform(margin(te)))
 
 
 def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int = 5,
              label: str = "Survived", gbt_rounds: int = 50) -> DataFrame:
     """Out-of-fold probabilities of a random forest and boosted trees feed
     a logistic meta-model (C = 0.5); bases are refitted on all rows to
-    score ``other``. Folds are a column, each fold fit is a cluster job."""
+    score ``other``. Folds are a column; the per-fold fits run side by side."""
     bases = {"rf": lambda: random_forest(400, 6, 5, label),
              "gbt": lambda: gbt(gbt_rounds, 0.05, 4, 0.8, 0.8, label)}
-    oof = None
+    train = cached(train)
+    jobs, keys = [], []
     for name, make in bases.items():
-        parts = []
         for f in range(k):
-            m = make().fit(train.where(F.col(fold_col) != f))
-            parts.append(p1(m.transform(train.where(F.col(fold_col) == f))).select("PassengerId", F.col("p").alias(name)))
+            jobs.append(lambda make=make, f=f: make().fit(train.where(F.col(fold_col) != f)))
+            keys.append((name, f))
+        jobs.append(lambda make=make: make().fit(train))
+        keys.append((name, None))
+    fitted = dict(zip(keys, fit_all(jobs)))
+    oof = None
+    for name in bases:
+        parts = [p1(fitted[(name, f)].transform(train.where(F.col(fold_col) == f)))
+                 .select("PassengerId", F.col("p").alias(name)) for f in range(k)]
         col = parts[0]
         for p in parts[1:]:
             col = col.unionByName(p)
@@ -202,9 +210,9 @@ def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int
     meta = LogisticRegression(featuresCol="meta", labelCol=label, regParam=1.0 / (0.5 * max(n, 1)),
                               standardization=False, maxIter=1000).fit(asm.transform(meta_train))
     scored = other.select("PassengerId")
-    for name, make in bases.items():
-        m = make().fit(train)
-        scored = scored.join(p1(m.transform(other)).select("PassengerId", F.col("p").alias(name)), "PassengerId")
+    for name in bases:
+        scored = scored.join(p1(fitted[(name, None)].transform(other)).select("PassengerId", F.col("p").alias(name)),
+                             "PassengerId")
     out = meta.transform(asm.transform(scored))
     return p1(out).select("PassengerId", "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
 
@@ -219,5 +227,20 @@ def feature_importance(model, names: list[str], min_importance: float | None = N
     return [(n, float(v), i + 1) for i, (n, v) in enumerate(rows)]
 
 
+def fit_all(jobs: list, workers: int = 4) -> list:
+    """Run independent fits (callables) concurrently from driver threads;
+    each fit is its own set of Spark jobs, scheduled side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(workers, max(len(jobs), 1))) as ex:
+        return list(ex.map(lambda f: f(), jobs))
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Training input is read once per iteration by MLlib: keep it cached
+    (MEMORY_AND_DISK; lost blocks are recomputed from lineage)."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fitted_pipeline(train: DataFrame, estimator) -> PipelineModel:
     return Pipeline(stages=[estimator]).fit(train)

@@ -62,6 +62,15 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
     return r.select(*g, F.col("n").cast("long").alias("n"), *qs.keys())
 
 
+def exact_quantiles_by_column(df: DataFrame, cols: list[str], qs: dict[str, float]) -> DataFrame:
+    """Quantiles of several columns in one pass: the columns are stacked
+    into (column, value) rows and the column name becomes the group key."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                for c in cols]))
+    long = df.select(pairs.alias("__p")).select("__p.column", "__p.value")
+    return exact_quantiles(long, "value", qs, ["column"])
+
+
 # ---------------------------------------------------------------------------
 # Describe / info / missing
 # ---------------------------------------------------------------------------
@@ -73,14 +82,10 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
         F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
         F.max(c).cast("double").alias(f"{c}__max"))])
-    rows = []
-    for c in cols:
-        q = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-        m = moments.select(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-                           F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                           F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
-        rows.append(m.crossJoin(q.select("q25", "q50", "q75")))
-    out = reduce(DataFrame.unionByName, rows)
+    stack = ", ".join(f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__max`" for c in cols)
+    m = moments.selectExpr(f"stack({len(cols)}, {stack}) AS (column, count, mean, std, min, max)")
+    q = exact_quantiles_by_column(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = m.join(q.select("column", "q25", "q50", "q75"), "column", "left")
     return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

@@ -48,9 +48,9 @@ def add_common(df: DataFrame, scope_keys: list[str]) -> DataFrame:
 
 def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean",
             link_pairs: DataFrame | None = None) -> DataFrame:
-    d = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs)
-    d = materialize(G.with_group_rate(d, ungrouped=ungrouped))
-    d = R.in_registry(d, G.group_registry(d))
+    d = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs,
+                    recount=False)
+    d = G.annotate_groups(d, ungrouped=ungrouped)
     d = d.withColumn("GroupDecided", R.decided_mask())
     return add_common(d, [])
 

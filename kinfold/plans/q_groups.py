@@ -22,10 +22,8 @@ def wcg(spark, sf_dir, attach="first_row", scope="combined", link=False, ungroup
     """Woman-child-group frame with group rates (combined scope)."""
     m = manifest(spark, sf_dir)
     pairs = spark.createDataFrame(LINK_PAIRS, "id long, source_id long") if link else None
-    d = G.wcg_frame(m, scope=scope, attach=attach, link_pairs=pairs)
-    d = G.with_group_rate(d, ungrouped=ungrouped)
-    reg = G.group_registry(d)
-    d = R.in_registry(d, reg)
+    d = G.wcg_frame(m, scope=scope, attach=attach, link_pairs=pairs, recount=False)
+    d = G.annotate_groups(d, ungrouped=ungrouped)
     return d.withColumn("FamilySize", fx.family_size())
 
 

@@ -122,7 +122,7 @@ def q_model_gbt_early_stop(spark, sf_dir):
     number of trees it kept."""
     trv, tev, _ = designed(spark, sf_dir)
     v = S.holdout_stratified(trv, "Survived", ID, 0.2, 42).withColumn("is_val", F.col("subset") == "holdout")
-    first = M.gbt(200, validation_col="is_val").setValidationTol(1e-4).fit(v)
+    first = M.gbt(200, validation_col="is_val").setParams(validationTol=1e-4).fit(v)
     best = first.getNumTrees
     final = M.gbt(best).fit(trv)
     return _scored(final, tev).withColumn("n_rounds", F.lit(best))
@@ -156,7 +156,7 @@ def _cohort(d, kind):
 
 
 def _submodel(spark, sf_dir, kind):
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), kind), kind)
+    d = M.cached(_xy(_cohort(_sub_frame(spark, sf_dir), kind), kind))
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     model = M.gbt(SUB_ROUNDS, lr=0.1, depth=5, subsample=1.0, colsample=1.0).fit(tr)
     return M.p1(model.transform(te)).select(ID, "p")
@@ -323,11 +323,9 @@ def q_eval_oof_scores(spark, sf_dir):
     not see it; per-row OOF probability and the fold's accuracy."""
     tr, _ = frames(spark, sf_dir)
     tr = S.kfold_stratified(tr, "Survived", ID, 5, 42)
-    parts = []
-    for f in range(5):
-        a, b = tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)
-        av, bv, _ = M.design(a, b)
-        parts.append(M.p1(M.logreg(av.count()).fit(av).transform(bv)).select(ID, "fold", "Survived", "p"))
+    designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)) for f in range(5)]
+    models = M.fit_all([lambda av=av: M.logreg(av.count()).fit(av) for av, _, _ in designs])
+    parts = [M.p1(m.transform(bv)).select(ID, "fold", "Survived", "p") for m, (_, bv, _) in zip(models, designs)]
     oof = reduce(DataFrame.unionByName, parts)
     acc = oof.groupBy("fold").agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("Survived")).cast("double"))
                                   .alias("fold_accuracy"))
@@ -367,15 +365,15 @@ def q_tune_rounds(spark, sf_dir):
 @register("tune_grid")
 def q_tune_grid(spark, sf_dir):
     """Solo-women tree depth x threshold grid, mean CV accuracy: one fit per
-    (depth, fold); every threshold is evaluated in the same aggregation."""
+    (depth, fold), run side by side; every threshold is evaluated in the
+    same aggregation."""
     d = _xy(_cohort(_sub_frame(spark, sf_dir), "women"), "women").where(F.col("split") == "train")
-    d = S.kfold_stratified(d, "Survived", ID, 5, 42)
-    rows = []
-    for depth in (3, 4, 5, 6):
-        for f in range(5):
-            m = M.gbt(20, lr=0.1, depth=depth, subsample=1.0, colsample=1.0).fit(d.where(F.col("fold") != f))
-            rows.append(M.p1(m.transform(d.where(F.col("fold") == f))).select(
-                F.lit(depth).alias("depth"), "fold", "Survived", "p"))
+    d = M.cached(S.kfold_stratified(d, "Survived", ID, 5, 42))
+    keys = [(depth, f) for depth in (3, 4, 5, 6) for f in range(5)]
+    models = M.fit_all([lambda depth=depth, f=f: M.gbt(20, lr=0.1, depth=depth, subsample=1.0, colsample=1.0)
+                        .fit(d.where(F.col("fold") != f)) for depth, f in keys])
+    rows = [M.p1(m.transform(d.where(F.col("fold") == f))).select(F.lit(depth).alias("depth"), "fold", "Survived", "p")
+            for m, (depth, f) in zip(models, keys)]
     oof = reduce(DataFrame.unionByName, rows)
     th = spark.createDataFrame([(t,) for t in (0.08, 0.10, 0.25, 0.50)], "threshold double")
     j = oof.crossJoin(F.broadcast(th))
@@ -393,12 +391,11 @@ def q_ablate_features(spark, sf_dir):
     arms = {"with": M.NUMERIC, "without": [c for c in M.NUMERIC if c != "Age_Sex_interaction"]}
     out = []
     for arm, num in arms.items():
-        parts = []
-        for f in range(5):
-            a, b = tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)
-            av, bv, _ = M.design(a, b, numeric=num)
-            parts.append(M.p1(M.gbt(15).fit(av).transform(bv)).select(
-                ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score")))
+        designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f), numeric=num)
+                   for f in range(5)]
+        models = M.fit_all([lambda av=av: M.gbt(15).fit(av) for av, _, _ in designs])
+        parts = [M.p1(m.transform(bv)).select(ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score"))
+                 for m, (_, bv, _) in zip(models, designs)]
         oof = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
         s = EV.cv_summary(EV.fold_metrics(oof)).withColumn("arm", F.lit(arm))
         out.append(s.select("arm", "acc_mean", "roc_mean", "f1_mean"))
