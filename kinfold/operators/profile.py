@@ -35,12 +35,33 @@ def _string_cols(df: DataFrame) -> list[str]:
 # ---------------------------------------------------------------------------
 # Exact quantiles
 # ---------------------------------------------------------------------------
+# Above this many distinct (group, value) pairs the value-count buffer of
+# Spark's exact ``percentile`` aggregate is not bounded well enough; the
+# distributed rank path takes over.
+PERCENTILE_DISTINCT_BOUND = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
-                    group_cols: list[str] | None = None) -> DataFrame:
+                    group_cols: list[str] | None = None, method: str = "auto") -> DataFrame:
     """Per group: ``n`` non-null values and each named quantile, linear
-    interpolation between the order statistics at floor/ceil((n-1)q)."""
+    interpolation between the order statistics at floor/ceil((n-1)q).
+
+    ``method='auto'`` measures the distinct (group, value) count (HyperLogLog,
+    one cheap job): under the bound, Spark's exact ``percentile`` aggregate
+    (buffers one count per distinct value) answers in one job; otherwise
+    the distributed rank path (``method='rank'``) is used."""
     g = list(group_cols or [])
-    v = (df.where(F.col(value).isNotNull()).groupBy(*g, value)
+    nn = df.where(F.col(value).isNotNull())
+    if method == "auto":
+        nd = nn.agg(F.approx_count_distinct(F.struct(*g, value)).alias("d")).first()["d"]
+        method = "percentile" if nd <= PERCENTILE_DISTINCT_BOUND else "rank"
+    if method == "percentile":
+        names = list(qs)
+        r = nn.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile(F.col(value).cast("double"), [qs[k] for k in names]).alias("__q"))
+        return r.select(*g, F.col("n").cast("long").alias("n"),
+                        *[F.col("__q")[i].alias(k) for i, k in enumerate(names)])
+    v = (nn.groupBy(*g, value)
            .agg(F.count(F.lit(1)).alias("__c")))
     v = ordered.prefix_sums(v, [value], {"__cum": "__c"}, g)
     n = v.groupBy(*g).agg(F.sum("__c").alias("__n"))

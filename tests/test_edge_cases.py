@@ -138,3 +138,17 @@ def _loop(rows, form):
             others = [j for j in same if j != i]
             gid[i] = gid[others[0]] if others else None
     return gid
+
+
+def test_quantile_methods_agree(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abc"), round(rnd.gauss(0, 10), 1)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"q1": 0.25, "q2": 0.5, "q3": 0.9}
+    a = {r["g"]: r for r in P.exact_quantiles(df, "v", qs, ["g"], method="rank").collect()}
+    b = {r["g"]: r for r in P.exact_quantiles(df, "v", qs, ["g"], method="percentile").collect()}
+    for g in a:
+        assert a[g]["n"] == b[g]["n"]
+        for k in qs:
+            assert abs(a[g][k] - b[g][k]) < 1e-9
