@@ -100,9 +100,9 @@ def roc_sweep(df: DataFrame, y="y", score="score", steps: int = 102, step: float
     """Thresholds 0, 0.01, ... (steps of them); positive iff score >= t.
     TP, TN, FP, FN, FPR, TPR per threshold."""
     sc = score_counts(df, y, score)
-    th = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("i"),
-                                             (F.col("id").cast("double") / (1 / step)).alias("threshold"))
-    j = sc.crossJoin(F.broadcast(th))
+    # Each distinct score meets the fixed threshold list (an explode).
+    j = sc.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))) \
+          .withColumn("threshold", F.col("i").cast("double") / (1 / step))
     hit = F.col(score) >= F.col("threshold")
     r = j.groupBy("i", "threshold").agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("TP"),
@@ -129,9 +129,10 @@ def threshold_tune(df: DataFrame, y="y", score="score", lo: float = 0.30, hi: fl
     sc = score_counts(df, y, score)
     step = (hi - lo) / (n - 1)
     # Thresholds pinned to their decimal values (0.30, 0.31, ...).
-    th = _thresholds(df.sparkSession, [round(lo + i * step, 10) for i in range(n)])
+    ths = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(round(lo + i * step, 10)).alias("threshold"))
+                    for i in range(n)])
     hit = F.col(score) >= F.col("threshold")
-    acc = sc.crossJoin(F.broadcast(th)).groupBy("i", "threshold").agg(
+    acc = sc.withColumn("__t", F.explode(ths)).select("*", "__t.i", "__t.threshold").groupBy("i", "threshold").agg(
         (F.sum(F.when(hit, F.col("pos")).otherwise(F.col("neg"))) / F.sum(F.col("pos") + F.col("neg")))
         .alias("accuracy"))
     best = acc.agg(F.max_by(F.struct("threshold", "accuracy"), F.struct(F.col("accuracy"), -F.col("i")))

@@ -346,8 +346,9 @@ def density_on_grid(df: DataFrame, value: str, group: str, lo: float, hi: float,
     else:
         bw = d.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("__h", F.lit(float(bandwidth)))
     step = (hi - lo) / (points - 1)
-    grid = d.sparkSession.range(points).select((F.lit(lo) + F.col("id") * step).alias("x"))
-    j = join_back(vc, bw, group).crossJoin(F.broadcast(grid))
+    # The grid is a fixed sequence exploded per (value, count) row.
+    j = join_back(vc, bw, group).withColumn(
+        "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(lo) + i * step)))
     z = (F.col("x") - F.col(value)) / F.col("__h")
     k = F.col("__c") * F.exp(-0.5 * z * z)
     agg = j.groupBy(group, "x").agg(F.sum(k).alias("__s"), F.first("n").alias("n"), F.first("__h").alias("h"))

@@ -45,9 +45,8 @@ def kfold_stratified(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
 
 
 def with_trials(df: DataFrame, trials: int) -> DataFrame:
-    """Rows x trial ids (a fixed-size broadcast range)."""
-    t = df.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
-    return df.crossJoin(F.broadcast(t))
+    """One copy of each row per trial id (an explode of a fixed sequence)."""
+    return df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("trial", F.col("trial").cast("int"))
 
 
 def kfold_repeated(df: DataFrame, id_col: str, trials: int = 25, k: int = 10, seed: int = 42) -> DataFrame:
