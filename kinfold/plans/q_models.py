@@ -311,7 +311,9 @@ def q_impute_tree_fit_apply(spark, sf_dir):
 def q_impute_tree_persisted(spark, sf_dir):
     d = _titled(spark, sf_dir)
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    spec = [("Age", ["Pclass", "SibSp", "Parch", "Fare"], ["Title", "Embarked", "Sex"]), _FARE_SPEC]
+    # Fare first (its features are complete), then Age using the filled Fare.
+    spec = [("Fare", ["Pclass"], ["Title", "Embarked", "Sex"]),
+            ("Age", ["Pclass", "SibSp", "Parch", "Fare"], ["Title", "Embarked", "Sex"])]
     models = I.fit_persisted_imputers(tr, spec)
     return I.apply_persisted_imputers(te, models, spec).select(ID, "Age", "Fare")
 
