@@ -261,9 +261,11 @@ def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
     if link_pairs is not None:
         d = link_override(d, link_pairs)
     # Each step below aggregates its input and joins the result back, so
-    # the input is read twice: materialize at the forks.
+    # the input is read twice: the key table is materialized once; the size
+    # filter is a join with a small registry and is simply read twice by
+    # the attach step; the attached frame is materialized for the callers.
     d = materialize(d)
-    d = materialize(filter_group_size(d, min_size=min_size, scope=scope))
+    d = filter_group_size(d, min_size=min_size, scope=scope)
     d = attach_relatives(d, form=attach, scope=scope)
     if not recount:
         return materialize(d)

@@ -39,26 +39,31 @@ WOMEN_THRESHOLD = 0.08     # solo women: p > 0.08 -> 1
 SOLO_FEMALE_THRESHOLD = 0.25
 
 
-def add_common(df: DataFrame, scope_keys: list[str]) -> DataFrame:
-    """FamilySize, TicketFreq (rows sharing the Ticket in scope), FareAdj."""
+def add_common(df: DataFrame, scope_keys: list[str], source: DataFrame | None = None) -> DataFrame:
+    """FamilySize, TicketFreq (rows sharing the Ticket in scope), FareAdj.
+    ``source``: a materialized frame with the same rows to count from, so
+    the count does not recompute ``df``."""
     d = df.withColumn("FamilySize", fx.family_size())
-    d = add_key_count(d, scope_keys + ["Ticket"], "TicketFreq", spread_on=ID)
+    keys = scope_keys + ["Ticket"]
+    src = source if source is not None else df
+    reg = src.where(F.col("Ticket").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("TicketFreq"))
+    d = join_back(d, reg, keys, spread_on=ID)
     return d.withColumn("FareAdj", F.col("Fare") / F.col("TicketFreq"))
 
 
 def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean",
             link_pairs: DataFrame | None = None) -> DataFrame:
-    d = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs,
+    a = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs,
                     recount=False)
-    d = G.annotate_groups(d, ungrouped=ungrouped)
+    d = G.annotate_groups(a, ungrouped=ungrouped)
     d = d.withColumn("GroupDecided", R.decided_mask())
-    return add_common(d, [])
+    return add_common(d, [], source=a)
 
 
 def py_frame(m: DataFrame) -> DataFrame:
     d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female",
                     embarked_fill="S")
-    return materialize(add_common(d, ["split"]))
+    return materialize(add_common(d, ["split"], source=d))
 
 
 def py_registry(d: DataFrame, min_labelled: int = 1) -> DataFrame:
