@@ -15,6 +15,8 @@ def spark():
     from kinfold.session import build_session
     scratch = tempfile.mkdtemp(prefix="kinfold-test-")
     s = build_session("local[8]", app="kinfold-tests", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": f"{scratch}/ckpt", "spark.local.dir": f"{scratch}/local"})
+                      extra={"spark.local.dir": f"{scratch}/local"})
+    # spark.checkpoint.dir comes from the environment when set; otherwise
+    # ensure_checkpoint_dir picks a fresh local folder (tests only).
     yield s
     s.stop()
