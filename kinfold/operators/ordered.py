@@ -4,8 +4,7 @@ single-partition window.
 ``Window.orderBy(...)`` with no partition key moves every row into one
 task. Here rows are range-partitioned on the order, each range computes
 local running sums, and a small table of per-range totals (one row per
-range and partition value, so bounded by the range count) is turned into
-offsets and broadcast back. The result equals
+range and partition value) is turned into offsets and joined back. The result equals
 ``sum(x) over (partition by P order by O rows unbounded preceding)``.
 The order must be total (add an id as the last order column).
 """
@@ -46,8 +45,10 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sums: dict[str, object],
         if part else Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_PID, *part, *[
         F.coalesce(F.sum(f"__tot_{o}").over(off_w), F.lit(0)).alias(f"__off_{o}") for o in sums])
-    # One row per (range, partition value): bounded by the range count.
-    out = r.join(F.broadcast(offsets), [_PID, *part], "inner")
+    # Without partition columns the offsets have one row per range (a fixed
+    # bound): broadcast. With them, one row per (range, partition value),
+    # which grows with the number of groups: AQE's measured threshold decides.
+    out = r.join(F.broadcast(offsets) if not part else offsets, [_PID, *part], "inner")
     for o in sums:
         out = out.withColumn(o, F.col(f"__off_{o}") + F.col(f"__loc_{o}"))
     drop = [_PID] + list(tmp.values()) + [f"__loc_{o}" for o in sums] + [f"__off_{o}" for o in sums]

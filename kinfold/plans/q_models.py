@@ -91,11 +91,23 @@ def q_prep_onehot(spark, sf_dir):
     return d.select(ID, *M.onehot_names(fitted))
 
 
-@register("prep_assemble")
+_PREP_Z = [f"round(CASE WHEN {c}_std > 0 THEN (coalesce(x.{c}, med.{c}_med) - {c}_mean) / {c}_std ELSE 0.0 END, 9)"
+           for c in _NUM]
+_PREP_OH = [f"CAST(coalesce(CAST(x.{c} AS VARCHAR), {_mode_sql(c)}) = '{lev}' AS DOUBLE)"
+            for c, levs in _OH.items() for lev in levs]
+
+
+@register("prep_assemble", _PREP_SQL.replace(
+    "SELECT PassengerId, round(CASE WHEN Age_std", "SELECT PassengerId, [" + ", ".join(_PREP_Z + _PREP_OH)
+    + "] AS features, round(CASE WHEN Age_std", 1).replace(" FROM x CROSS JOIN med CROSS JOIN st",
+                                                           " FROM x CROSS JOIN med CROSS JOIN st", 1))
 def q_prep_assemble(spark, sf_dir):
+    """The assembled feature vector (scaled numerics, then one-hot levels)."""
     trv, tev, names = designed(spark, sf_dir)
     from pyspark.ml.functions import vector_to_array
-    return trv.unionByName(tev).select(ID, vector_to_array("features").alias("features"))
+    d = trv.unionByName(tev).select(ID, F.transform(vector_to_array("features"), lambda v: F.round(v, 9))
+                                    .alias("features"), *[r9(c + "_z").alias(c + "_z") for c in _NUM])
+    return d
 
 
 # --- models ------------------------------------------------------------------

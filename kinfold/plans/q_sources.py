@@ -9,7 +9,8 @@ from ..operators import profile as P
 from ..sources import files
 from ..sources.manifest import MANIFEST_COLUMNS, manifest, manifest_test, manifest_train
 from . import cascades as C
-from .registry import register, with_manifest
+from ..sources.manifest import manifest_sql_for_duckdb
+from .registry import R_FRAME_CTES, register, with_manifest
 
 ID = "PassengerId"
 _ALL = "SELECT PassengerId, Survived, Pclass, Name, Sex, Age, SibSp, Parch, Ticket, Fare, Cabin, Embarked FROM manifest"
@@ -30,14 +31,38 @@ def q_src_union_provenance(spark, sf_dir):
     return files.union_provenance(manifest_train(spark, sf_dir), manifest_test(spark, sf_dir))
 
 
-@register("chk_schema")
+_TEST_COLS = [c for c in MANIFEST_COLUMNS if c != "Survived"]
+_EXPECTED = ", ".join(f"('{c}', {i + 1})" for i, c in enumerate(MANIFEST_COLUMNS))
+
+
+def _describe(cols, where):
+    return (f"(DESCRIBE SELECT {', '.join(cols)} FROM ({manifest_sql_for_duckdb()}) m WHERE {where})")
+
+
+@register("chk_schema", f"""
+WITH e AS (SELECT * FROM (VALUES {_EXPECTED}) v("column", expected_pos)),
+a AS (SELECT column_name AS "column", CAST(row_number() OVER () AS INT) AS actual_pos
+      FROM {_describe(_TEST_COLS, 'Survived IS NULL')})
+SELECT coalesce(e."column", a."column") AS "column", CAST(e.expected_pos AS INT) AS expected_pos, a.actual_pos,
+  CASE WHEN a.actual_pos IS NULL THEN 'missing' WHEN e.expected_pos IS NULL THEN 'extra'
+       WHEN e.expected_pos = a.actual_pos THEN 'ok' ELSE 'moved' END AS status
+FROM e FULL OUTER JOIN a ON e."column" = a."column"
+""")
 def q_chk_schema(spark, sf_dir):
     """Scoring table against the training contract: 'Survived' missing,
     later columns moved."""
     return files.check_schema(manifest_test(spark, sf_dir), MANIFEST_COLUMNS)
 
 
-@register("chk_leakage")
+@register("chk_leakage", f"""
+SELECT 'Survived' AS "column", EXISTS (SELECT 1 FROM {_describe(_TEST_COLS, 'Survived IS NULL')}
+         WHERE column_name = 'Survived') AS present,
+       CASE WHEN EXISTS (SELECT 1 FROM {_describe(_TEST_COLS, 'Survived IS NULL')} WHERE column_name = 'Survived')
+            THEN 'leak' ELSE 'ok' END AS status
+UNION ALL
+SELECT 'Survived', EXISTS (SELECT 1 FROM {_describe(MANIFEST_COLUMNS, 'Survived IS NOT NULL')} WHERE column_name = 'Survived'),
+       CASE WHEN EXISTS (SELECT 1 FROM {_describe(MANIFEST_COLUMNS, 'Survived IS NOT NULL')} WHERE column_name = 'Survived')
+            THEN 'leak' ELSE 'ok' END""")
 def q_chk_leakage(spark, sf_dir):
     return files.check_leakage(manifest_test(spark, sf_dir)).unionByName(
         files.check_leakage(manifest_train(spark, sf_dir)))
@@ -52,7 +77,12 @@ def q_chk_shape(spark, sf_dir):
     return tr.unionByName(te).select("split", "n_rows", F.col("n_cols").cast("int"))
 
 
-@register("sink_predictions")
+_GP = ("CASE WHEN Title = 'boy' AND GroupSurvival = 1 THEN 1 WHEN Title = 'woman' AND GroupSurvival = 0 THEN 0 "
+       "WHEN Sex = 'female' THEN 1 ELSE 0 END")
+
+
+@register("sink_predictions", with_manifest(R_FRAME_CTES + f"""
+SELECT PassengerId, CAST({_GP} AS INT) AS Survived FROM rf WHERE split = 'test'"""))
 def q_sink_predictions(spark, sf_dir):
     from .q_cascades import scored
     pred = C.cascade_group(C.r_frame(scored(spark, sf_dir)))
@@ -60,7 +90,8 @@ def q_sink_predictions(spark, sf_dir):
     return files.read_predictions(spark, path)
 
 
-@register("sink_table_csv")
+@register("sink_table_csv", with_manifest(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing FROM manifest" for c in MANIFEST_COLUMNS)))
 def q_sink_table_csv(spark, sf_dir):
     t = P.missing_by_column(manifest(spark, sf_dir))
     path = files.shared_path(spark, "eda")
