@@ -49,18 +49,12 @@ def join_back(df: DataFrame, registry: DataFrame, keys: list[str] | str,
     return salted.join(reg, on=keys + [_SPREAD], how="left").drop(_SPREAD)
 
 
-def add_key_count(df: DataFrame, keys: list[str] | str, out: str,
-                  spread_on=None, non_null_only: bool = True) -> DataFrame:
-    """``count(*) over (partition by keys)`` as aggregate + join back.
-    Rows with a NULL key get NULL (or, with ``non_null_only=False``, the
-    size of the NULL bucket computed as its own aggregate)."""
+def add_key_count(df: DataFrame, keys: list[str] | str, out: str, spread_on=None) -> DataFrame:
+    """``count(*) over (partition by keys)`` as aggregate + join back; rows
+    with a NULL key get NULL."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    src = df.where(~_any_null(keys)) if non_null_only else df
-    reg = src.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    if non_null_only:
-        return join_back(df, reg, keys, spread_on=spread_on)
-    return df.join(reg, on=[df[k].eqNullSafe(reg[k]) for k in keys], how="left") \
-        .drop(*[reg[k] for k in keys])
+    reg = df.where(~_any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return join_back(df, reg, keys, spread_on=spread_on)
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:

@@ -73,16 +73,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     df = spark.sql(MANIFEST_SELECT, orders=orders, customer=customer, nation=nation)
-    return spread_small(df.withColumn("Fare", F.col("Fare").cast("double")), "PassengerId")
+    return spread_small(df.withColumn("Fare", F.col("Fare").cast("double")), "PassengerId", orders)
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
+def spread_small(df: DataFrame, key: str, scan: DataFrame) -> DataFrame:
     """A small input read from one file is one partition: spread it by a
     hash of ``key`` over the default parallelism so the key derivation and
-    the first writes use every core. Large inputs (more splits than cores)
-    are left as they are; the check is a planning step, not a job."""
+    the first writes use every core. Large inputs (more file splits than
+    cores) are left as they are. The check counts the splits of the plain
+    file scan (split planning only, no job)."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    if scan.rdd.getNumPartitions() < par:
         return df.repartition(par, key)
     return df
 
