@@ -39,30 +39,33 @@ def _describe(cols, where):
     return (f"(DESCRIBE SELECT {', '.join(cols)} FROM ({manifest_sql_for_duckdb()}) m WHERE {where})")
 
 
-@register("chk_schema", f"""
-WITH e AS (SELECT * FROM (VALUES {_EXPECTED}) v("column", expected_pos)),
+@register("chk_schema", with_manifest(f"""
+e AS (SELECT * FROM (VALUES {_EXPECTED}) v("column", expected_pos)),
 a AS (SELECT column_name AS "column", CAST(row_number() OVER () AS INT) AS actual_pos
-      FROM {_describe(_TEST_COLS, 'Survived IS NULL')})
+      FROM {_describe(_TEST_COLS, 'Survived IS NULL')}),
+t AS (SELECT * FROM manifest WHERE Survived IS NULL),
+nn AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM t" for c in _TEST_COLS) + f""")
 SELECT coalesce(e."column", a."column") AS "column", CAST(e.expected_pos AS INT) AS expected_pos, a.actual_pos,
   CASE WHEN a.actual_pos IS NULL THEN 'missing' WHEN e.expected_pos IS NULL THEN 'extra'
-       WHEN e.expected_pos = a.actual_pos THEN 'ok' ELSE 'moved' END AS status
-FROM e FULL OUTER JOIN a ON e."column" = a."column"
-""")
+       WHEN e.expected_pos = a.actual_pos THEN 'ok' ELSE 'moved' END AS status, nn.non_null
+FROM e FULL OUTER JOIN a ON e."column" = a."column" LEFT JOIN nn ON nn."column" = coalesce(e."column", a."column")
+"""))
 def q_chk_schema(spark, sf_dir):
     """Scoring table against the training contract: 'Survived' missing,
     later columns moved."""
     return files.check_schema(manifest_test(spark, sf_dir), MANIFEST_COLUMNS)
 
 
-@register("chk_leakage", f"""
+@register("chk_leakage", with_manifest(f"""
+t AS (SELECT * FROM manifest WHERE Survived IS NULL), l AS (SELECT * FROM manifest WHERE Survived IS NOT NULL)
 SELECT 'Survived' AS "column", EXISTS (SELECT 1 FROM {_describe(_TEST_COLS, 'Survived IS NULL')}
          WHERE column_name = 'Survived') AS present,
        CASE WHEN EXISTS (SELECT 1 FROM {_describe(_TEST_COLS, 'Survived IS NULL')} WHERE column_name = 'Survived')
-            THEN 'leak' ELSE 'ok' END AS status
+            THEN 'leak' ELSE 'ok' END AS status, (SELECT count(*) FROM t) AS n_rows, CAST(NULL AS BIGINT) AS n_labels
 UNION ALL
 SELECT 'Survived', EXISTS (SELECT 1 FROM {_describe(MANIFEST_COLUMNS, 'Survived IS NOT NULL')} WHERE column_name = 'Survived'),
        CASE WHEN EXISTS (SELECT 1 FROM {_describe(MANIFEST_COLUMNS, 'Survived IS NOT NULL')} WHERE column_name = 'Survived')
-            THEN 'leak' ELSE 'ok' END""")
+            THEN 'leak' ELSE 'ok' END, (SELECT count(*) FROM l), (SELECT count(Survived) FROM l)"""))
 def q_chk_leakage(spark, sf_dir):
     return files.check_leakage(manifest_test(spark, sf_dir)).unionByName(
         files.check_leakage(manifest_train(spark, sf_dir)))

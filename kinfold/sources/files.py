@@ -58,8 +58,9 @@ def union_provenance(train: DataFrame, test: DataFrame, label: str = "Survived",
 
 
 def check_schema(df: DataFrame, expected: list[str]) -> DataFrame:
-    """(column, expected_pos, actual_pos, status): ok / moved / missing /
-    extra. Built from the two column lists (a schema fact, tiny)."""
+    """(column, expected_pos, actual_pos, status, non_null): status ok /
+    moved / missing / extra against the expected column list (name and
+    order), with the non-null count of every present column (one pass)."""
     spark = df.sparkSession
     actual = df.columns
     rows = []
@@ -72,14 +73,21 @@ def check_schema(df: DataFrame, expected: list[str]) -> DataFrame:
     for j, c in enumerate(actual):
         if c not in expected:
             rows.append((c, None, j + 1, "extra"))
-    return spark.createDataFrame(rows, "column string, expected_pos int, actual_pos int, status string")
+    report = spark.createDataFrame(rows, "column string, expected_pos int, actual_pos int, status string")
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(actual)])
+    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(actual))
+    nn = counts.selectExpr(f"stack({len(actual)}, {stack}) AS (column, non_null)")
+    return report.join(nn, "column", "left")
 
 
 def check_leakage(df: DataFrame, label: str = "Survived") -> DataFrame:
-    """Report whether the label column is present in a scoring table."""
+    """Whether the label column is present in a table, with the row count
+    and (when present) the number of non-null labels."""
     leak = label in df.columns
-    return df.sparkSession.createDataFrame([(label, leak, "leak" if leak else "ok")],
-                                           "column string, present boolean, status string")
+    agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                 (F.count(F.col(label)) if leak else F.lit(None).cast("long")).alias("n_labels"))
+    return agg.select(F.lit(label).alias("column"), F.lit(leak).alias("present"),
+                      F.lit("leak" if leak else "ok").alias("status"), "n_rows", "n_labels")
 
 
 def check_shape(df: DataFrame, expected_rows: int | None = None, expected_cols: int | None = None) -> DataFrame:
