@@ -61,7 +61,7 @@ def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean"
 
 
 def py_frame(m: DataFrame) -> DataFrame:
-    d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female",
+    d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female", recount=False,
                     embarked_fill="S")
     return materialize(add_common(d, ["split"], source=d))
 

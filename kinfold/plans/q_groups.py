@@ -134,7 +134,7 @@ FROM g WHERE GroupId IS NOT NULL GROUP BY GroupId"""
 
 
 def _registry(spark, sf_dir, min_labelled=1):
-    d = G.wcg_frame(manifest(spark, sf_dir))
+    d = G.wcg_frame(manifest(spark, sf_dir), recount=False)
     return G.group_registry(d, min_labelled=min_labelled)
 
 
@@ -197,7 +197,7 @@ def q_extend_to_adult_men(spark, sf_dir):
 @register("group_name", with_manifest(WCG_CTES + """
 SELECT PassengerId, split_part(GroupId, '-', 1) AS GroupName FROM g WHERE GroupId IS NOT NULL"""))
 def q_group_name(spark, sf_dir):
-    d = G.wcg_frame(manifest(spark, sf_dir)).where(F.col("GroupId").isNotNull())
+    d = G.wcg_frame(manifest(spark, sf_dir), recount=False).where(F.col("GroupId").isNotNull())
     return d.select(ID, G.group_name().alias("GroupName"))
 
 
@@ -209,7 +209,7 @@ SELECT GroupId, PassengerId, split_part(GroupId, '-', 1) AS GroupName, Title,
   CAST((dense_rank() OVER (ORDER BY GroupId) - 1) // 27 + 1 AS BIGINT) AS page
 FROM g WHERE GroupId IS NOT NULL"""))
 def q_group_roster(spark, sf_dir):
-    d = G.wcg_frame(manifest(spark, sf_dir)).where(F.col("GroupId").isNotNull())
+    d = G.wcg_frame(manifest(spark, sf_dir), recount=False).where(F.col("GroupId").isNotNull())
     ranks = ordered.dense_rank_distinct(d, "GroupId", "grank")
     d = join_back(d, ranks, "GroupId")
     return d.select("GroupId", ID, G.group_name().alias("GroupName"), "Title",
@@ -224,7 +224,7 @@ SELECT (SELECT count(*) FROM gr) AS n_groups,
        (SELECT count(*) FROM g WHERE Attached) AS n_attached,
        (SELECT count(*) FROM gr WHERE nl = 0) AS n_unlabelled_groups"""))
 def q_group_census(spark, sf_dir):
-    d = G.wcg_frame(manifest(spark, sf_dir))
+    d = G.wcg_frame(manifest(spark, sf_dir), recount=False)
     per_group = (d.where(F.col("GroupId").isNotNull()).groupBy("GroupId")
                   .agg(F.count(F.lit(1)).alias("n"), F.count("Survived").alias("nl"),
                        F.sum(F.col("Attached").cast("int")).alias("na")))

@@ -144,7 +144,7 @@ def _sub_frame(spark, sf_dir):
     """Men / solo-women sub-model features over the group frame; missing
     ages take the labelled median."""
     m = G.with_split(manifest(spark, sf_dir))
-    d = G.wcg_frame(m, scope="combined", attach="first_row")
+    d = G.wcg_frame(m, scope="combined", attach="first_row", recount=False)
     d = add_key_count(d, ["Ticket"], "TicketFreq", spread_on=ID)
     d = d.withColumn("FamilySize", fx.family_size()).withColumn("FareAdj", F.col("Fare") / F.col("TicketFreq"))
     d = I.impute_median(d, ["Age", "Fare"])
