@@ -223,14 +223,15 @@ def q_impute_constant(spark, sf_dir):
 
 
 @register("impute_median", with_manifest("""
-SELECT PassengerId, coalesce(Age, (SELECT median(Age) FROM manifest)) AS Age,
-       coalesce(Fare, (SELECT median(Fare) FROM manifest)) AS Fare,
-       coalesce(Age, median(Age) OVER (PARTITION BY Survived IS NULL)) AS AgeSplit FROM manifest"""))
+SELECT PassengerId, round(coalesce(Age, (SELECT median(Age) FROM manifest)), 9) AS Age,
+       round(coalesce(Fare, (SELECT median(Fare) FROM manifest)), 9) AS Fare,
+       round(coalesce(Age, median(Age) OVER (PARTITION BY Survived IS NULL)), 9) AS AgeSplit FROM manifest"""))
 def q_impute_median(spark, sf_dir):
     m = G.with_split(manifest(spark, sf_dir))
     d = I.impute_median(m, ["Age", "Fare"])
     s = I.impute_median(m.select(ID, "split", F.col("Age").alias("AgeSplit")), ["AgeSplit"], group_cols=["split"])
-    return d.select(ID, "Age", "Fare").join(s.select(ID, "AgeSplit"), ID)
+    out = d.select(ID, "Age", "Fare").join(s.select(ID, "AgeSplit"), ID)
+    return out.select(ID, *[F.round(c, 9).alias(c) for c in ("Age", "Fare", "AgeSplit")])
 
 
 @register("impute_mode", with_manifest("""
