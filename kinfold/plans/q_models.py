@@ -243,9 +243,11 @@ def q_score_what_if(spark, sf_dir):
     model = M.gbt(GBT_ROUNDS).fit(trv)
     tmpl = tr.groupBy("Pclass").agg(F.min_by(F.struct(*[c for c in tr.columns if c != "Pclass"]), F.col(ID)).alias("t")) \
         .select("Pclass", "t.*")
-    cases = spark.createDataFrame([(a, s) for a in (5.0, 10.0, 15.0, 25.0, 40.0, 60.0) for s in ("male", "female")],
-                                  "case_age double, case_sex string")
-    v = tmpl.crossJoin(F.broadcast(cases)).withColumn("Age", F.col("case_age")).withColumn("Sex", F.col("case_sex"))
+    # Fixed what-if cases (age x sex), exploded onto each template row.
+    cases = F.array(*[F.struct(F.lit(a).alias("case_age"), F.lit(sx).alias("case_sex"))
+                      for a in (5.0, 10.0, 15.0, 25.0, 40.0, 60.0) for sx in ("male", "female")])
+    v = tmpl.withColumn("__case", F.explode(cases)).select("*", "__case.*").drop("__case")
+    v = v.withColumn("Age", F.col("case_age")).withColumn("Sex", F.col("case_sex"))
     v = v.drop("Age_Sex_interaction").withColumn("Age_Sex_interaction", F.col("Age") * (F.col("Sex") == "male").cast("double"))
     _, vv, _ = M.design(tr, v)
     scored = M.p1(model.transform(vv)).select("Pclass", "case_age", "case_sex", "p")
