@@ -179,7 +179,7 @@ _HEUR = """(CASE WHEN Age < 16 THEN 1.0 WHEN Age > 60 THEN -0.5 ELSE 0.0 END
 @register("rule_heuristic_score", with_manifest(PY_FRAME_CTES + f""",
 x AS (SELECT pf.*, preg.GroupId IS NOT NULL AS known, {_HEUR} AS HeuristicScore
       FROM pf LEFT JOIN preg ON pf.GroupId = preg.GroupId WHERE split = 'test')
-SELECT PassengerId, HeuristicScore,
+SELECT PassengerId, CAST(HeuristicScore AS DOUBLE) AS HeuristicScore,
   CAST(CASE WHEN NOT known AND Sex = 'male' AND HeuristicScore > 2.5 THEN 1
             WHEN NOT known AND Sex = 'female' AND HeuristicScore < 1.5 THEN 0
             WHEN Sex = 'female' THEN 1 ELSE 0 END AS INT) AS prediction FROM x"""))

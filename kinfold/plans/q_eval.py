@@ -309,7 +309,7 @@ def q_eval_holdout(spark, sf_dir):
 
 
 @register("leaderboard", with_manifest(_B + "," + _BL + "," + _FOLDS + """
-SELECT model, round(roc_mean, 6) AS roc_mean, round(acc_mean, 6) AS acc_mean, rank() OVER (ORDER BY roc_mean DESC) AS rank FROM su"""))
+SELECT model, round(roc_mean, 6) AS roc_mean, round(acc_mean, 6) AS acc_mean, CAST(rank() OVER (ORDER BY roc_mean DESC) AS INTEGER) AS rank FROM su"""))
 def q_leaderboard(spark, sf_dir):
     lb = EV.leaderboard(_summary(spark, sf_dir), "model", "roc_mean")
     return lb.select("model", r6("roc_mean").alias("roc_mean"), r6("acc_mean").alias("acc_mean"), "rank")

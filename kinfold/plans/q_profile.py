@@ -335,7 +335,7 @@ c AS (SELECT Survived, CAST(least(floor((Age - 0.0) / ((100.0 - 0.0) / 20)), 19)
 g AS (SELECT s.Survived, CAST(r.i AS INT) AS bin
       FROM (SELECT DISTINCT Survived FROM manifest WHERE Age IS NOT NULL AND Survived IS NOT NULL AND Age >= 0 AND Age <= 100) s
       CROSS JOIN range(0, 20) r(i))
-SELECT g.Survived, g.bin, round(g.bin * 5.0, 6) AS bin_lo, round((g.bin + 1) * 5.0, 6) AS bin_hi,
+SELECT g.Survived, g.bin, CAST(round(g.bin * 5.0, 6) AS DOUBLE) AS bin_lo, CAST(round((g.bin + 1) * 5.0, 6) AS DOUBLE) AS bin_hi,
        coalesce(c.cnt, 0) AS count FROM g LEFT JOIN c ON g.Survived = c.Survived AND g.bin = c.bin"""))
 def q_histogram_by_label(spark, sf_dir):
     m = manifest(spark, sf_dir).where(F.col("Survived").isNotNull())
