@@ -24,6 +24,8 @@ def _simple(key: str, cols: list[tuple[str, object, str]]):
 
     def q(spark, sf_dir):
         return manifest(spark, sf_dir).select(ID, *[c().alias(n) for n, c, _ in cols])
+    q.__name__ = f"q_{key}"
+    q.__doc__ = "Row-wise column expressions: " + ", ".join(n for n, _, _ in cols) + "."
     register(key, sql)(q)
 
 
