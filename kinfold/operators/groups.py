@@ -285,8 +285,10 @@ def annotate_groups(df: DataFrame, gid: str = "GroupId", label: str = "Survived"
     res = join_back(df.drop("GroupFreq"), reg, keys, spread_on=ID)
     class_fb = F.when(F.col(pclass) == 3, F.lit(0.0)).otherwise(F.lit(1.0))
     if ungrouped == "own_mean":
-        um = df.where(F.col(gid).isNull()).agg(F.avg(y).alias("__umean"))
-        res = with_scalar(res, um)
+        # One row (or one per scope value): the mean of the labelled ungrouped rows.
+        sk = _scope_keys(scope)
+        um = df.where(F.col(gid).isNull()).groupBy(*sk).agg(F.avg(y).alias("__umean"))
+        res = join_back(res, um, sk, bounded=True) if sk else with_scalar(res, um)
         ung = F.coalesce(F.col("__umean"), class_fb)
     elif ungrouped == "fallback":
         ung = class_fb

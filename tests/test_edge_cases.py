@@ -179,3 +179,14 @@ def test_cascade_compiler_equals_sequential_overwrites(spark):
                 if a >= ta and b < tb:
                     pred, who = v, name
         assert got[i] == (pred, who), i
+
+
+def test_ungrouped_mean_per_split(spark):
+    rows = [(1, None, 1, "train", 3), (2, None, 0, "train", 3), (3, None, 0, "train", 3),
+            (4, None, 1, "test", 1), (5, None, 1, "test", 1), (6, "g", 1, "train", 1), (7, "g", 0, "train", 1)]
+    df = spark.createDataFrame(rows, "PassengerId long, GroupId string, Survived int, split string, Pclass int")
+    comb = {r["PassengerId"]: r["GroupSurvival"] for r in G.annotate_groups(df).collect()}
+    per = {r["PassengerId"]: r["GroupSurvival"] for r in G.annotate_groups(df, scope="per_split").collect()}
+    assert abs(comb[1] - 3 / 5) < 1e-12 and abs(comb[4] - 3 / 5) < 1e-12
+    assert abs(per[1] - 1 / 3) < 1e-12 and per[4] == 1.0
+    assert comb[6] == 0.5 and per[6] == 0.5
