@@ -28,7 +28,7 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from . import mixing, tokens  # noqa: E402
+from . import decontaminate, language, mixing, tokens  # noqa: E402
 
 
 @register("op2_token_blocks")
@@ -39,3 +39,13 @@ def op2(spark, sf_dir):
 @register("op6_mixing", mixing.OP6_SQL)
 def op6(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op10_language")
+def op10(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op4_decontaminate", decontaminate.OP4_SQL)
+def op4(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
