@@ -28,7 +28,7 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from . import decontaminate, language, mixing, tokens  # noqa: E402
+from . import decontaminate, language, mixing, neardup, tokens  # noqa: E402
 
 
 @register("op2_token_blocks")
@@ -49,3 +49,8 @@ def op10(spark, sf_dir):
 @register("op4_decontaminate", decontaminate.OP4_SQL)
 def op4(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_minhash_neardup")
+def op3(spark, sf_dir):
+    return neardup.groups(table(spark, sf_dir, "documents"))
