@@ -28,7 +28,7 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from . import decontaminate, language, mixing, neardup, tokens  # noqa: E402
+from . import decontaminate, language, mixing, neardup, secrets, tokens  # noqa: E402
 
 
 @register("op2_token_blocks")
@@ -54,3 +54,8 @@ def op4(spark, sf_dir):
 @register("op3_minhash_neardup")
 def op3(spark, sf_dir):
     return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+@register("op5_secret_ledger", secrets.OP5_SQL)
+def op5(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
