@@ -28,7 +28,7 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from . import decontaminate, language, mixing, neardup, secrets, tokens  # noqa: E402
+from . import decontaminate, language, mixing, neardup, secrets, syncmers, tokens, url_filter  # noqa: E402
 
 
 @register("op2_token_blocks")
@@ -59,3 +59,13 @@ def op3(spark, sf_dir):
 @register("op5_secret_ledger", secrets.OP5_SQL)
 def op5(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@register("op1_url_filter")
+def op1(spark, sf_dir):
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
+@register("op9_syncmer_fingerprints")
+def op9(spark, sf_dir):
+    return syncmers.report(table(spark, sf_dir, "documents"))
