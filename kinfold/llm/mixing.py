@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -
         .where(F.col("before") < F.col("budget"))
     inside = F.col("before") + F.sum("words").over(
         Window.partitionBy("slot").orderBy("finish", "rank", "epoch", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = times.join(cut, "slot")
+    reached = times.join(F.broadcast(cut), "slot")  # about the square root of the rows
     taken = (reached.where("whole").select("doc_id", "source", "text_md5")
              .unionByName(reached.where(~F.col("whole")).withColumn("upto", inside)
                           .where(F.col("upto") <= F.col("budget")).select("doc_id", "source", "text_md5")))
