@@ -28,7 +28,8 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from . import decontaminate, language, mixing, neardup, secrets, syncmers, tokens, url_filter  # noqa: E402
+from . import (  # noqa: E402
+    decontaminate, language, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter)
 
 
 @register("op2_token_blocks")
@@ -69,3 +70,15 @@ def op1(spark, sf_dir):
 @register("op9_syncmer_fingerprints")
 def op9(spark, sf_dir):
     return syncmers.report(table(spark, sf_dir, "documents"))
+
+
+@register("op7_license_scan")
+def op7(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op8_chat_transcripts")
+def op8(spark, sf_dir):
+    lines = transcripts.as_transcripts(table(spark, sf_dir, "conversations"))
+    model = transcripts.fit(lines.where(transcripts.trained_on()))
+    return transcripts.render(transcripts.parse(lines.drop("role"), model))
