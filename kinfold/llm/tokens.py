@@ -65,20 +65,25 @@ class ChunkIds(dict):
     """Chunk of text -> its ids (little-endian 32-bit), encoded on first sight.
 
     Text is cut at ASCII white space and before an ASCII sign or digit that
-    follows a letter. The tokenizer's pre-tokenizer always ends a piece there,
-    no normalization reaches across, and characters inside special tokens are
-    never cut at, so the ids of the chunks in a row are the ids of the text.
+    follows a Latin or Cyrillic letter. The tokenizer's pre-tokenizer always
+    ends a piece there, no normalization reaches across, and no cut is made
+    before a character that a special token holds past its first, so the ids of
+    the chunks in a row are the ids of the text.
     """
 
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
+
     _made: dict[str, "ChunkIds"] = {}
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        kept = "".join(re.escape(t.content[1:]) for t in self.tokenizer.get_added_tokens_decoder().values())
-        letters = f"A-Za-z{kept}\\x80-\\U0010ffff"
-        self.chunks = re.compile(f"[^{letters}\t-\r ]*[{letters}]+|[^{letters}\t-\r ]+").findall
+        held = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content[1:]}
+        cuts = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalpha() and chr(c) not in held)
+        t, other = f"[{self.LETTERS}]+", f"[^{self.LETTERS}\t-\r ]"
+        more = f"(?:{t}(?:(?![{cuts}]){other}+)?)"  # letters, and what follows them uncut
+        self.chunks = re.compile(f"{more}+|{other}+{more}*").findall
 
     @classmethod
     def of(cls, path: str) -> "ChunkIds":
