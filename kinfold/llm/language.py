@@ -52,7 +52,8 @@ def _letters() -> np.ndarray:
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 1-, 2- and 3-grams of a text and their counts. A gram is its
-    code points in 21 bits each; code 0 marks the edge of a word."""
+    code points in 21 bits each, 0 for the edge of a word, and bit 42 (2-grams)
+    or the sign (3-grams) for its length."""
     cp = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     cp = np.concatenate(([0], cp, [0])).astype(np.int64)
     cp = cp[np.concatenate(([True], (cp[1:] > 0) | (cp[:-1] > 0)))]  # one edge between two words
@@ -60,7 +61,7 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     two = (cp[:-1] << 21) | cp[1:]
     three = (two[:-1] << 21) | cp[2:] | np.int64(-1 << 63)
-    return np.unique(np.concatenate((cp[cp > 0], two, three[cp[1:-1] > 0])), return_counts=True)
+    return np.unique(np.concatenate((cp[cp > 0], two | (1 << 42), three[cp[1:-1] > 0])), return_counts=True)
 
 
 def top(grams: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
