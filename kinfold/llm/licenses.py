@@ -7,16 +7,16 @@ in the region and once in the template are anchors, the longest increasing
 subsequence of them is kept, and the gaps between anchors are aligned in the
 same way. Coverage is the share of the template's words that are aligned. A
 region longer than a template is aligned in windows of ``STRETCH`` times the
-template, half a window apart, so a statement that is repeated in a text is
-found each time; of findings that overlap the one of greater coverage stays.
+template that overlap by a template, so a statement that is repeated in a text
+is found each time; of findings that overlap the one of more aligned words stays.
 
 The word count is an upper bound of what an alignment can find, so regions
 are passed over only where no alignment could reach ``COVERAGE``. Texts are
 read whole and one by one; nothing is shuffled.
 
 Defined results: a null or empty text has no finding; a repeated row gives a
-row each time; ties in coverage go to the longer template, then to the order of
-``TEMPLATES``; an empty table gives no row.
+row each time; ties in aligned words go to the greater coverage, then to the
+order of ``TEMPLATES``; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -151,15 +151,16 @@ class Scanner:
             for k in self._possible(ids[lo:hi]):
                 template = self.templates[names[k]]
                 size = int(STRETCH * len(template)) + 1
-                for start in range(lo, max(lo + 1, hi - size // 2), size // 2):
+                # So dealt, every stretch of the template's length lies within a window.
+                for start in range(lo, hi, size - len(template)):
                     window = ids[start:min(hi, start + size)]
                     if np.minimum(np.bincount(window, minlength=self.counts.shape[1]), self.counts[k])[1:].sum() < self.least[k]:
                         continue
                     pairs = align(window.tolist(), template)
                     if len(pairs) >= self.least[k]:
-                        found.append((-len(pairs) / len(template), -len(template), k, start + pairs[0][0], start + pairs[-1][0] + 1))
+                        found.append((-len(pairs), -len(pairs) / len(template), k, start + pairs[0][0], start + pairs[-1][0] + 1))
         out: list[tuple[str, float, int, int]] = []
-        for coverage, _, k, a, b in sorted(found):
+        for _, coverage, k, a, b in sorted(found):
             if all(b <= x[2] or a >= x[3] for x in out):
                 out.append((names[k], -coverage, a, b))
         return sorted(out, key=lambda x: x[2])

@@ -117,7 +117,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ends = d.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     # Descending: runs are numbered by the negated id; null ids come after all.
-    splits = sorted({-float(e) for e in ends})
+    splits = sorted({0.0, *(-float(e) for e in ends)})
     keyed = d.withColumn("key", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))
     run = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="key", outputCol="run", handleInvalid="keep")
     dealt = run.transform(keyed).withColumn("run", F.col("run").cast("int")).drop("key")
