@@ -88,8 +88,19 @@ def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of equal keys that follow each other."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *names)), strict=True):
+            k = row[:len(keys)]
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(row[len(keys):])
+    if held:
+        yield key, held
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

@@ -6,15 +6,16 @@ bucket are candidates; a candidate pair is a link if the weighted Jaccard
 similarity of their bags of five-word shingles is at least ``SIMILAR``; a group
 is a connected component of links.
 
-Not all pairs of a bucket are made. A round takes leaders in each bucket (the
-least class first, twice as many each round) and checks the bucket's other
-classes against them, but for pairs already in one component and pairs checked
-before. A bucket whose classes are all in one component is done; else its
-leaders, which have met all its classes, leave it and the next round goes on.
-So the groups are those that all pairs would give, while a bucket of thousands
-of near copies ends after a round or two, each of work in proportion to it.
-Joins are between a bucket's members and its few leaders: a hot bucket is split
-by the skew-join rule. A pair's texts come by joins on the class.
+Not all pairs of a bucket are made. First each bucket's leader, the class that
+shares most bucket places with others, is checked against the bucket's other
+classes: a family of near copies has its common original for leader, and its
+buckets are done when all their classes are in one component. In the buckets
+left, pairs that cross components are looked at in blocks of ``BLOCK`` classes:
+a task compares the slots of two blocks with numpy, passes over pairs that an
+earlier band holds or whose slots rule out the similarity (fewer than
+``LEAST_EQUAL`` of 96 agree, which at 0.8 has a probability of 1e-6), and checks
+the rest on the texts. So the groups are those that all pairs would give, no
+pair is a row, and no task holds more than two blocks.
 
 Defined results: a null text is alone; texts without a word are alone but for
 equal texts; a text of fewer than five words is one shingle; rows of equal
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash
-from .common import arrow_limits, drop_tables, text_bytes, write_table
+from .common import arrow_limits, drop_tables, runs, text_bytes, write_table
 from .components import components
 
 SIMILAR = 0.8
+#: Classes of a block, and slots (of 96) that two classes must share to be checked.
+BLOCK = 512
+LEAST_EQUAL = 58
 
 
 def text_class() -> F.Column:
@@ -72,49 +76,114 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame
         .select("a", "b", "text_a", "text_b").mapInArrow(checked, "a binary, b binary")
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """Add ``slots``, a byte of each slot of the signature, and ``bands``, its
+    bucket ids, to (class, text)."""
+    def add(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sig = bagminhash.signatures([bagminhash.shingles(t) for t in text_bytes(batch)])
+                slots = (sig.view(np.uint64) & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("class"), batch.column("text"), pa.array([x.tobytes() for x in slots], pa.binary()),
+                     pa.array([x.tobytes() for x in bagminhash.bands(sig)], pa.binary())], names=["class", "text", "slots", "bands"])
+    return texts.select("class", "text").mapInArrow(add, "class binary, text string, slots binary, bands binary")
+
+
+class _Block:
+    """Classes of one bucket: bag, component, slots and bands of each."""
+
+    def __init__(self, rows: list[tuple]):
+        self.classes, self.roots, self.texts = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+        self.slots = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        self.number = np.unique(np.array(self.roots, dtype=object), return_inverse=True)[1] if rows else np.empty(0, np.int64)
+        self.bags: dict[int, tuple] = {}
+
+    def bag(self, i: int) -> tuple:
+        if i not in self.bags:
+            self.bags[i] = bagminhash.shingles(self.texts[i].encode())
+        return self.bags[i]
+
+
+def cross_links(bucket: int, rows: list[tuple], one: list[int], two: list[int] | None, similar: float) -> list[tuple[bytes, bytes]]:
+    """Links between the components of a bucket: pairs of ``one`` with ``two``,
+    or of ``one`` with itself, given by places in ``rows`` (class, root, text,
+    slots, bands)."""
+    block, out = _Block(rows), []
+    band = int(np.flatnonzero(block.bands[0] == np.int64(bucket).astype(np.uint64))[0])
+    merged: dict[bytes, bytes] = {}
+
+    def root(x):
+        while x in merged:
+            x = merged[x]
+        return x
+    b = np.array(one if two is None else two)
+    for n, i in enumerate(one):
+        other = b[n + 1:] if two is None else b
+        other = other[block.number[other] != block.number[i]]
+        if not len(other):
+            continue
+        equal = (block.slots[other] == block.slots[i]).sum(axis=1) >= LEAST_EQUAL
+        other = other[equal]
+        other = other[~(block.bands[other, :band] == block.bands[i, :band]).any(axis=1)]
+        for j in other.tolist():
+            x, y = root(block.roots[i]), root(block.roots[j])
+            if x != y and bagminhash.weighted_jaccard(block.bag(i), block.bag(j)) >= similar:
+                merged[x] = y
+                out.append((block.classes[i], block.classes[j]))
+    return out
+
+
+def block_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) across components in the buckets of ``members`` (bucket,
+    class, root), by pairs of blocks."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "bucket").withColumn("own", own) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("bucket", "class", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(sketched(texts), "class").repartition(n, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+
+    def find(batches):
+        for (bucket, one, two), held in runs(batches, ("bucket", "one", "two"), ("class", "root", "text", "slots", "bands", "own")):
+            first = [i for i, h in enumerate(held) if h[5] == one]
+            second = [i for i, h in enumerate(held) if h[5] == two]
+            got = cross_links(bucket, held, first, None if one == two else second, similar)
+            if got:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in got], pa.binary()), "b": pa.array([g[1] for g in got], pa.binary())})
+    return rows.mapInArrow(find, "a binary, b binary")
+
+
 def class_components(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, list[str]]:
     """(node, root) of the classes linked to another, and tables to drop when
     it is no longer read."""
     spark = docs.sparkSession
     arrow_limits(spark)
     every, at_every = write_table(buckets(docs), "buckets")
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members, at_members = write_table(every.join(shared, "bucket"), "members")
     drop_tables(spark, [at_every])
-    # A class's text, for the classes that have a candidate.
-    wanted = members.select("class").distinct()
+    # The texts of the classes that have a candidate.
+    places = members.groupBy("class").agg(F.sum("n").alias("places"))
     texts, at_texts = write_table(
         docs.where("text IS NOT NULL").select(text_class().alias("class"), "text")
-        .join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "texts")
-    tested, links, found, drop, leaders, first = None, None, None, [at_members, at_texts], 1, True
-    while not members.isEmpty():
-        # Leaders: the least class of each of so many parts of a bucket.
-        part = F.pmod(F.xxhash64("class"), F.lit(leaders))
-        led, at_led = write_table(members.groupBy("bucket", part.alias("part")).agg(F.min("class").alias("leader")).drop("part"), "leaders")
-        met = members.join(led, "bucket").where(F.col("class") != F.col("leader"))
-        if found is not None:
-            met = _root(_root(met, found, "class", "r1"), found, "leader", "r2").where("r1 <> r2")
-        pairs = met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        new, at_new = write_table(pairs, "pairs")
-        tested = new if tested is None else tested.unionByName(new)
-        more, at_more = write_table(check_pairs(new, texts, similar), "links")
-        links = more if found is None else more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        drop += [at_new, at_more]
-        found, at_found = components(links)
-        drop.append(at_found)
-        # Buckets in which two components are left, without their leaders.
-        rooted = _root(members, found, "class", "root")
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        left = members.join(open_, "bucket").join(led, (members["bucket"] == led["bucket"]) & (members["class"] == led["leader"]), "left_anti")
-        members, at_left = write_table(left.select("bucket", "class"), "members")
-        drop.append(at_left)
-        drop_tables(spark, [at_led])
-        leaders *= 2
-    if found is None:
-        found, at_found = components(spark.createDataFrame([], "a binary, b binary"))
-        drop.append(at_found)
-    return found, [p for p in drop if p != at_found]
+        .join(places.select("class"), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "texts")
+    led = members.join(places, "class").groupBy("bucket").agg(F.max(F.struct("places", "class"))["class"].alias("leader"))
+    pairs = members.join(led, "bucket").where(F.col("class") != F.col("leader")) \
+        .select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    links, at_links = write_table(check_pairs(pairs, texts, similar), "links")
+    found, at_found = components(links)
+    # Buckets in which two components are left.
+    rooted, at_rooted = write_table(_root(members.drop("n"), found, "class", "root"), "rooted")
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    left, at_left = write_table(rooted.join(apart, "bucket"), "members-left")
+    kept = texts.join(left.select("class").distinct(), "class", "left_semi")
+    more, at_more = write_table(block_links(left, kept, similar), "links")
+    whole, at_whole = components(links.unionByName(more))
+    drop_tables(spark, [at_members, at_links, at_found, at_rooted, at_left, at_more, at_texts])
+    return whole, [at_whole]
 
 
 def _root(df: DataFrame, found: DataFrame, node: str, out: str) -> DataFrame:
@@ -132,7 +201,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rooted = _root(classes, found, "class", "root")
     least = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"))
     ids, _ = write_table(rooted.join(least, "root").select("class", "class_id", "group_id"), "group-ids")
-    drop_tables(docs.sparkSession, drop)
+    drop_tables(docs.sparkSession, drop)  # the ids are written
     return rows.join(ids, "class", "left").select(
         "doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, drop_tables, write_table
+from .common import arrow_limits, drop_tables, runs, write_table
 
 SEGMENT = 256
 #: Marker words that the model tells apart, the most frequent; others are one.
@@ -155,21 +155,6 @@ def decode(model: Model, texts: list[str], before: int, end: int) -> list[int]:
     return out[::-1]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of equal keys that follow each other."""
-    key, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *names)), strict=True):
-            k = row[:len(keys)]
-            if k != key and held:
-                yield key, held
-                held = []
-            key = k
-            held.append(row[len(keys):])
-    if held:
-        yield key, held
-
-
 def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     """Per line: conv_id, part, line, text, role and turn (numbered from 1;
     lines before the first turn's first line have turn 0)."""
@@ -182,19 +167,19 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     place = [F.col(c).asc_nulls_first() for c in ("conv_id", "seg", "part", "line", "text")]
 
     def matrix(batches):
-        for (conv, seg), held in _runs(batches, ("conv_id", "seg"), ("text",)):
+        for (conv, seg), held in runs(batches, ("conv_id", "seg"), ("text",)):
             yield pa.RecordBatch.from_pydict({"conv_id": pa.array([conv], pa.int64()), "seg": pa.array([seg], pa.int64()),
                                               "m": pa.array([segment_matrix(model, [h[0] for h in held]).ravel().tolist()], pa.list_(pa.float64()))})
 
     def ends(batches):
         size = 2 * len(model.roles)
-        for (conv,), held in _runs(batches, ("conv_id",), ("seg", "m")):
+        for (conv,), held in runs(batches, ("conv_id",), ("seg", "m")):
             got = between([np.array(m).reshape(size + 1, size) for _, m in held])
             yield pa.RecordBatch.from_pydict({"conv_id": pa.array([conv] * len(held), pa.int64()), "seg": pa.array([h[0] for h in held], pa.int64()),
                                               "before": pa.array([g[0] for g in got], pa.int32()), "end": pa.array([g[1] for g in got], pa.int32())})
 
     def states(batches):
-        for (conv, seg, before, end), held in _runs(batches, ("conv_id", "seg", "before", "end"), ("part", "line", "text")):
+        for (conv, seg, before, end), held in runs(batches, ("conv_id", "seg", "before", "end"), ("part", "line", "text")):
             got = decode(model, [h[2] for h in held], before, end)
             firsts = np.cumsum([s % 2 == 0 for s in got])
             k = len(held)

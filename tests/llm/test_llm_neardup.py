@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from llm_tables import none_of, odd_documents, table, with_text
 
 from kinfold.llm import bagminhash, neardup
@@ -78,8 +79,10 @@ def test_query_equals_all_pairs(spark):
     assert got == brute([tuple(r) for r in docs])
 
 
-def test_chains_and_many_near_copies(spark):
+@pytest.mark.parametrize("block", [512, 5])
+def test_chains_and_many_near_copies(spark, monkeypatch, block):
     """Groups of near copies that are not all alike, and a chain in which only neighbours are."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(2)
     base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
     rows = []
