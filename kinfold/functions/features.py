@@ -109,8 +109,11 @@ def boy_flags(sex="Sex", age="Age", name="Name") -> tuple[Column, Column]:
     return (boy & master).cast("int"), (boy & ~master).cast("int")
 
 
-def surname(name="Name") -> Column:
-    """Text before the first comma ('' when there is no comma)."""
+def surname(name="Name", no_comma: str = "empty") -> Column:
+    """Text before the first comma. Without a comma: '' (``no_comma='empty'``,
+    the notebooks' pattern) or the whole text (``'whole'``, a split at the comma)."""
+    if no_comma == "whole":
+        return F.substring_index(_col(name), ",", 1)
     return F.regexp_extract(_col(name), r"^([^,]*),", 1)
 
 

@@ -44,10 +44,10 @@ def key_text(c: str, fill: str = "NA"):
 
 
 def engineer_keys(df: DataFrame, precedence: str = "master", ticket_variant: str = "last_char",
-                  embarked_fill: str = "NA") -> DataFrame:
+                  no_comma: str = "empty") -> DataFrame:
     """Title (person type), Surname, TicketMod and the raw key texts."""
     return (df.withColumn("Title", fx.person_type("Sex", "Name", precedence))
-              .withColumn("Surname", fx.surname("Name"))
+              .withColumn("Surname", fx.surname("Name", no_comma))
               .withColumn("TicketMod", fx.ticket_mod("Ticket", ticket_variant)))
 
 
@@ -67,6 +67,13 @@ def add_ticket_key(df: DataFrame, out: str = "TicketId", embarked_fill: str = "N
                                           key_text("Fare"), key_text("Embarked", embarked_fill)))
 
 
+def add_exact_ticket_key(df: DataFrame, out: str = "TicketId") -> DataFrame:
+    """Ticket-Pclass-Fare-Embarked as they stand. A missing Ticket, Pclass or
+    Fare matches nothing (NULL key); a missing Embarked is taken as 'S'."""
+    return df.withColumn(out, F.concat(F.col("Ticket"), F.lit("-"), F.col("Pclass").cast("string"), F.lit("-"),
+                                       fx.fare_text("Fare"), F.lit("-"), key_text("Embarked", "S")))
+
+
 def filter_group_size(df: DataFrame, gid: str = "GroupId", min_size: int = 2,
                       scope: str = "combined", size_col: str = "GroupFreq") -> DataFrame:
     """Groups with fewer than ``min_size`` rows become NULL (no group)."""
@@ -137,21 +144,21 @@ def _attach_not_self(df, gid, keys, candidate, order):
 
 
 def link_override(df: DataFrame, pairs: DataFrame, gid: str = "GroupId") -> DataFrame:
-    """Copy the group of ``source_id`` onto ``id`` for an explicit list of
-    pairs (a small fixed table: broadcast)."""
+    """Copy the group of ``source_id`` onto ``id`` for a table of pairs (its
+    measured size decides how it is joined)."""
     src = (df.select(F.col(ID).alias("source_id"), F.col(gid).alias("__src_gid"))
-             .join(F.broadcast(pairs), "source_id", "left_semi"))
+             .join(pairs, "source_id", "left_semi"))
     mapping = (pairs.join(src, "source_id")
                     .select(F.col("id").alias(ID), "__src_gid", F.lit(True).alias("__linked")))
-    out = df.join(F.broadcast(mapping), ID, "left")
+    out = df.join(mapping, ID, "left")
     return (out.withColumn(gid, F.when(F.col("__linked"), F.col("__src_gid")).otherwise(F.col(gid)))
                .drop("__src_gid", "__linked"))
 
 
 def outcome_override(df: DataFrame, overrides: DataFrame, col: str) -> DataFrame:
-    """Set ``col`` for explicit ids from a small override table (id, value)."""
+    """Set ``col`` for explicit ids from an override table (id, value)."""
     ov = overrides.select(F.col("id").alias(ID), F.col("value").alias("__ov"))
-    out = df.join(F.broadcast(ov), ID, "left")
+    out = df.join(ov, ID, "left")
     return out.withColumn(col, F.coalesce(F.col("__ov").cast(df.schema[col].dataType), F.col(col))) \
         .drop("__ov")
 
@@ -251,11 +258,11 @@ def roster_status(label: str = "Survived", attached: str = "Attached", person: s
 def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
               precedence: str = "master", min_size: int = 2, embarked_fill: str = "NA",
               ticket_variant: str = "last_char", link_pairs: DataFrame | None = None,
-              recount: bool = True) -> DataFrame:
+              recount: bool = True, no_comma: str = "empty") -> DataFrame:
     """Person type, group key, size filter, ticket key and attach, in the
     order the group model uses them."""
     d = with_split(df)
-    d = engineer_keys(d, precedence, ticket_variant)
+    d = engineer_keys(d, precedence, ticket_variant, no_comma)
     d = add_group_key(d, embarked_fill=embarked_fill)
     d = add_ticket_key(d, embarked_fill=embarked_fill)
     if link_pairs is not None:

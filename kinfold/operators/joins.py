@@ -49,6 +49,14 @@ def join_back(df: DataFrame, registry: DataFrame, keys: list[str] | str,
     return salted.join(reg, on=keys + [_SPREAD], how="left").drop(_SPREAD)
 
 
+def join_null_safe(df: DataFrame, registry: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key matches a NULL key; ``keys`` come once,
+    from ``df``. Still a hash-dealt join: ``<=>`` is an equality to Spark."""
+    reg = registry.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in registry.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return df.join(reg, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def add_key_count(df: DataFrame, keys: list[str] | str, out: str, spread_on=None) -> DataFrame:
     """``count(*) over (partition by keys)`` as aggregate + join back; rows
     with a NULL key get NULL."""

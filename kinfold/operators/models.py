@@ -55,24 +55,18 @@ def apply_prep_numeric(df: DataFrame, stats: DataFrame, cols: list[str], suffix:
     return d.drop(*[x for x in stats.columns])
 
 
-MAX_LEVELS = 1000
-
-
-def fit_prep_onehot(train: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict:
+def fit_prep_onehot(train: DataFrame, cols: list[str]) -> dict:
     """Per column: the mode (ties -> smallest) and the sorted levels seen in
-    training, from one aggregation of (column, value) counts. Levels of a
-    categorical column are few, so the counts come back to the driver (as
-    MLlib's StringIndexer does) to name the output columns; more than
-    ``max_levels`` per column is an error, not a silent cut."""
+    training, from one aggregation of (column, value) counts. The levels are
+    the model: each becomes an output column, so they come back to the driver
+    as those of MLlib's StringIndexer do."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
     counts = (train.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
               .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    got = counts.limit(max_levels * len(cols) + 1).collect()
+    got = counts.collect()
     out = {}
     for c in cols:
         rows = [(r["v"], r["n"]) for r in got if r["c"] == c]
-        if len(rows) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; not a categorical column")
         mode = min(rows, key=lambda t: (-t[1], t[0]))[0] if rows else None
         out[c] = {"mode": mode, "levels": sorted(v for v, _ in rows)}
     return out

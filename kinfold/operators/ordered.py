@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import join_null_safe
 
 _PID = "__range_id"
 
@@ -22,7 +23,7 @@ _PID = "__range_id"
 def prefix_sums(df: DataFrame, order_cols: list[str], sums: dict[str, object],
                 partition_cols: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{out: column}`` over ``order_cols``
-    within ``partition_cols``."""
+    within ``partition_cols``; a NULL partition value is a partition of its own."""
     part = list(partition_cols or [])
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -48,7 +49,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sums: dict[str, object],
     # Without partition columns the offsets have one row per range (a fixed
     # bound): broadcast. With them, one row per (range, partition value),
     # which grows with the number of groups: AQE's measured threshold decides.
-    out = r.join(F.broadcast(offsets) if not part else offsets, [_PID, *part], "inner")
+    out = join_null_safe(r, F.broadcast(offsets) if not part else offsets, [_PID, *part])
     for o in sums:
         out = out.withColumn(o, F.col(f"__off_{o}") + F.col(f"__loc_{o}"))
     drop = [_PID] + list(tmp.values()) + [f"__loc_{o}" for o in sums] + [f"__off_{o}" for o in sums]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
-from .joins import join_back
+from .joins import join_back, join_null_safe
 
 
 def hash_key(seed, id_col: str) -> Column:
@@ -25,13 +25,13 @@ def _ranked(df: DataFrame, id_col: str, seed, part: list[str], seed_col: str | N
     d = df.withColumn("__h", key)
     d = ordered.row_number(d, ["__h", id_col], part, out="__rn")
     n = d.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    return join_back(d, n, part) if part else d.crossJoin(F.broadcast(n))
+    return join_null_safe(d, n, part) if part else d.crossJoin(F.broadcast(n))
 
 
 def holdout_stratified(df: DataFrame, label: str, id_col: str, frac: float = 0.2,
                        seed: int = 42) -> DataFrame:
     """``holdout`` = the first ceil(frac * n_label) rows of each label in
-    hash order; the rest ``train``."""
+    hash order; the rest ``train``. Rows without a label are a stratum too."""
     d = _ranked(df, id_col, seed, [label])
     is_h = F.col("__rn") <= F.ceil(F.col("__n") * frac)
     return d.withColumn("subset", F.when(is_h, "holdout").otherwise("train")).drop("__h", "__rn", "__n")
@@ -39,7 +39,7 @@ def holdout_stratified(df: DataFrame, label: str, id_col: str, frac: float = 0.2
 
 def kfold_stratified(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """fold = (rank within label - 1) mod k: label counts per fold differ
-    by at most one."""
+    by at most one. Rows without a label are a stratum too."""
     d = _ranked(df, id_col, seed, [label])
     return d.withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__h", "__rn", "__n")
 

@@ -22,6 +22,7 @@ from ..functions import features as fx
 from ..operators import groups as G
 from ..operators import rules as R
 from ..operators.joins import add_key_count, join_back
+from ..operators.profile import exact_quantiles
 from ..session import materialize
 
 ID = "PassengerId"
@@ -62,7 +63,7 @@ def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean"
 
 def py_frame(m: DataFrame) -> DataFrame:
     d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female", recount=False,
-                    embarked_fill="S")
+                    embarked_fill="S", no_comma="whole")
     return materialize(add_common(d, ["split"], source=d))
 
 
@@ -113,7 +114,7 @@ def cascade_group(d: DataFrame) -> DataFrame:
 def cascade_clone(m: DataFrame) -> DataFrame:
     """Definitive groups replace, then the two sub-models (no attach step,
     missing Embarked 'S' and missing Fare median-filled before keys)."""
-    med = m.agg(F.median("Fare").alias("__med"))
+    med = exact_quantiles(m, "Fare", {"__med": 0.5}).select("__med")
     m2 = m.crossJoin(F.broadcast(med)).withColumn("Fare", F.coalesce("Fare", "__med")).drop("__med")
     d = G.with_split(m2)
     d = G.engineer_keys(d, "master")

@@ -62,7 +62,10 @@ _simple("feat_boy_flags", [
     ("boy_master", lambda: fx.boy_flags()[0], f"CAST({_BOY} AND {_MAS} AS INT)"),
     ("boy_nonmaster", lambda: fx.boy_flags()[1], f"CAST({_BOY} AND NOT {_MAS} AS INT)"),
 ])
-_simple("feat_surname", [("Surname", lambda: fx.surname(), "regexp_extract(Name, '^([^,]*),', 1)")])
+_simple("feat_surname", [
+    ("Surname", lambda: fx.surname(), "regexp_extract(Name, '^([^,]*),', 1)"),
+    ("SurnameWhole", lambda: fx.surname(no_comma="whole"), "split_part(Name, ',', 1)"),
+])
 _simple("feat_display_name", [(
     "DisplayName", lambda: fx.display_name(),
     "CASE WHEN Name IS NULL THEN 'Unknown' WHEN len(string_split(Name, ', ')) < 2 THEN Name "
@@ -94,10 +97,6 @@ _simple("feat_ticket_mod", [
     ("TicketMod", lambda: fx.ticket_mod(), "regexp_replace(Ticket, '.$', 'X')"),
     ("TicketModDot", lambda: fx.ticket_mod(variant="dot"), "replace(Ticket, '.', 'X')"),
 ])
-_simple("feat_female_xy", [
-    ("x1", lambda: F.round(fx.female_xy("Fare", "Age")[0], 9), "round(Fare / 10, 9)"),
-    ("x2", lambda: F.round(fx.female_xy("Fare", "Age")[1], 9), "round(Age / 15, 9)"),
-])
 _simple("feat_family_id", [(
     "FamilyID", lambda: fx.family_id(), f"lower(trim(split_part(Name, ',', 1))) || '_' || CAST({FS} AS VARCHAR)")])
 _FB = [0, 1, 2, 4, 8, 20]
@@ -168,6 +167,15 @@ def q_feat_male_xy(spark, sf_dir):
     return d.select(ID, F.round(x1, 9).alias("x1"), F.round(x2, 9).alias("x2"))
 
 
+@register("feat_female_xy", with_manifest("""
+SELECT PassengerId, round(Fare / count(*) OVER (PARTITION BY Ticket) / 10, 9) AS x1,
+       round(Age / 15, 9) AS x2 FROM manifest"""))
+def q_feat_female_xy(spark, sf_dir):
+    d = add_key_count(manifest(spark, sf_dir), ["Ticket"], "TicketFreq", spread_on=ID)
+    x1, x2 = fx.female_xy(F.col("Fare") / F.col("TicketFreq"))
+    return d.select(ID, F.round(x1, 9).alias("x1"), F.round(x2, 9).alias("x2"))
+
+
 @register("feat_products", with_manifest("""
 SELECT PassengerId, round(coalesce(Fare, 0) * coalesce(Pclass, 0), 9) AS FareTimesClass,
        round(coalesce(Age, (SELECT median(Age) FROM manifest)) * coalesce(Pclass, 0), 9) AS AgeClass FROM manifest"""))

@@ -57,8 +57,7 @@ def _attached(spark, sf_dir, form, exact=False):
     d = G.add_group_key(G.engineer_keys(manifest(spark, sf_dir)))
     d = G.filter_group_size(d)
     if exact:
-        d = d.withColumn("TicketId", F.concat_ws("-", G.key_text("Ticket"), G.key_text("Pclass"),
-                                                   G.key_text("Fare"), G.key_text("Embarked")))
+        d = G.add_exact_ticket_key(d)
     else:
         d = G.add_ticket_key(d)
     return G.attach_relatives(d, form=form).select(ID, "GroupId", "Attached")
@@ -94,12 +93,12 @@ def q_attach_not_self(spark, sf_dir):
 
 
 @register("attach_relatives_exact", with_manifest(WCG_CTES + """,
-ex AS (SELECT *, coalesce(Ticket, 'NA') || '-' || CAST(Pclass AS VARCHAR) || '-' || FareTxt || '-'
-               || coalesce(Embarked, 'NA') AS TX FROM s),
+ex AS (SELECT *, Ticket || '-' || CAST(Pclass AS VARCHAR) || '-' || CAST(CAST(Fare AS DECIMAL(12,2)) AS VARCHAR) || '-'
+               || coalesce(Embarked, 'S') AS TX FROM s),
 fx AS (SELECT *, first_value(gid1 IGNORE NULLS) OVER (PARTITION BY TX ORDER BY PassengerId
          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fgid FROM ex)
-SELECT PassengerId, CASE WHEN Title <> 'man' AND gid1 IS NULL THEN fgid ELSE gid1 END AS GroupId,
-       (Title <> 'man' AND gid1 IS NULL AND fgid IS NOT NULL) AS Attached FROM fx"""))
+SELECT PassengerId, CASE WHEN Title <> 'man' AND gid1 IS NULL THEN CASE WHEN TX IS NOT NULL THEN fgid END ELSE gid1 END AS GroupId,
+       (Title <> 'man' AND gid1 IS NULL AND TX IS NOT NULL AND fgid IS NOT NULL) AS Attached FROM fx"""))
 def q_attach_exact(spark, sf_dir):
     return _attached(spark, sf_dir, "exact", exact=True)
 

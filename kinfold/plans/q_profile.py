@@ -149,7 +149,7 @@ SELECT {_AGE4} AS age_group, Sex, count(*) AS count, round(avg(Survived), 6) AS
 FROM t GROUP BY 1, 2 HAVING count(*) > 5"""))
 def q_rate_by_two_keys(spark, sf_dir):
     m = manifest(spark, sf_dir).where(F.col("Survived").isNotNull())
-    med = m.agg(F.median("Age").alias("__med"))
+    med = P.exact_quantiles(m, "Age", {"__med": 0.5}).select("__med")
     d = m.crossJoin(F.broadcast(med)).withColumn("a", F.coalesce("Age", "__med"))
     d = d.withColumn("age_group", fx.bin_right_closed("a", AGE_BINS_4, AGE_LABELS_4))
     r = d.groupBy("age_group", "Sex").agg(F.count(F.lit(1)).alias("count"),
@@ -388,7 +388,7 @@ _CORR_COLS = ["Age_f", "boy_master", "boy_nonmaster", "is_male"]
     for a in _CORR_COLS for b in _CORR_COLS)))
 def q_correlation_matrix(spark, sf_dir):
     m = manifest(spark, sf_dir).where(F.col("Survived").isNotNull())
-    med = m.agg(F.median("Age").alias("__med"))
+    med = P.exact_quantiles(m, "Age", {"__med": 0.5}).select("__med")
     bm, bn = fx.boy_flags()
     d = (m.crossJoin(F.broadcast(med)).withColumn("Age_f", F.coalesce("Age", "__med"))
           .withColumn("boy_master", bm).withColumn("boy_nonmaster", bn)
@@ -436,10 +436,21 @@ def q_pooled_t(spark, sf_dir):
     return round_doubles(P.pooled_t(s))
 
 
-@register("t_p_value")
+# The tail of cos(a)^(df - 1) from the test's angle on, by midpoints, as a share of the whole.
+_P_STEPS = 200_000
+
+
+@register("t_p_value", with_manifest(_TWO + f""",
+w AS (SELECT *, mean1 - mean2 AS diff, sqrt(var1 / n1 + var2 / n2) AS sed,
+        pow(var1 / n1 + var2 / n2, 2) / (pow(var1, 2) / (pow(n1, 2) * (n1 - 1)) + pow(var2, 2) / (pow(n2, 2) * (n2 - 1))) AS df FROM s),
+a AS (SELECT *, atan(abs(diff / sed) / sqrt(df)) AS a0 FROM w),
+q AS (SELECT sum(pow(cos(a0 + (pi() / 2 - a0) * (i + 0.5) / {_P_STEPS}), df - 1)) * (pi() / 2 - any_value(a0))
+             / (sum(pow(cos(pi() / 2 * (i + 0.5) / {_P_STEPS}), df - 1)) * pi() / 2) AS p FROM a, range({_P_STEPS}) t(i))
+SELECT n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(diff, 6) AS diff, round(sed, 6) AS sed,
+       round(diff / sed, 6) AS t, round(df, 6) AS df, round(p, 6) AS p_value FROM a, q"""))
 def q_t_p_value(spark, sf_dir):
     s = P.two_group_stats(_boys(spark, sf_dir), F.col("is_master"), "Survived")
-    return P.t_p_value(P.welch_t(s))
+    return round_doubles(P.t_p_value(P.welch_t(s)))
 
 
 @register("cohort_sorted_export", with_manifest("""

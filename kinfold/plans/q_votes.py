@@ -18,10 +18,10 @@ MODELS = [f"m{m}" for m in SCORE_MULTIPLIERS]
 
 
 def vote_long(d: DataFrame) -> DataFrame:
-    """(id, model, vote) from the score columns of the test rows."""
-    parts = [d.select(ID, F.lit(f"m{m}").alias("model"), (F.col(f"p{m}") >= 0.5).cast("int").alias("vote"))
-             for m in SCORE_MULTIPLIERS]
-    return reduce(DataFrame.unionByName, parts)
+    """(id, model, vote) from the score columns of the test rows, read once."""
+    votes = F.array(*[F.struct(F.lit(f"m{m}").alias("model"), (F.col(f"p{m}") >= 0.5).cast("int").alias("vote"))
+                      for m in SCORE_MULTIPLIERS])
+    return d.select(ID, F.inline(votes))
 
 
 def test_frame(spark, sf_dir):

@@ -85,7 +85,7 @@ rf AS (SELECT *, Fare / TicketFreq AS FareAdj FROM rf0)
 PY_FRAME_CTES = """
 pt AS (SELECT *,
         CASE WHEN Sex = 'female' THEN 'woman' WHEN Name LIKE '%Master%' THEN 'boy' ELSE 'man' END AS Title,
-        regexp_extract(Name, '^([^,]*),', 1) AS Surname,
+        split_part(Name, ',', 1) AS Surname,
         regexp_replace(Ticket, '.$', 'X') AS TicketMod,
         coalesce(CAST(CAST(Fare AS DECIMAL(12,2)) AS VARCHAR), 'NA') AS FareTxt,
         CASE WHEN Survived IS NULL THEN 'test' ELSE 'train' END AS split

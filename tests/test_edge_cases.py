@@ -140,18 +140,50 @@ def _loop(rows, form):
     return gid
 
 
-def test_quantile_methods_agree(spark):
+def test_quantiles_by_group_with_null_group(spark):
     import random
+
+    import numpy as np
     rnd = random.Random(3)
-    rows = [(rnd.choice("abc"), round(rnd.gauss(0, 10), 1)) for _ in range(2000)]
+    rows = [(rnd.choice(["a", "b", "c", None]), round(rnd.gauss(0, 10), 1)) for _ in range(2000)] + [("d", None), (None, None)]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = {"q1": 0.25, "q2": 0.5, "q3": 0.9}
-    a = {r["g"]: r for r in P.exact_quantiles(df, "v", qs, ["g"], method="rank").collect()}
-    b = {r["g"]: r for r in P.exact_quantiles(df, "v", qs, ["g"], method="percentile").collect()}
-    for g in a:
-        assert a[g]["n"] == b[g]["n"]
-        for k in qs:
-            assert abs(a[g][k] - b[g][k]) < 1e-9
+    got = {r["g"]: r for r in P.exact_quantiles(df, "v", qs, ["g"]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert r["n"] == len(own)
+        for k, q in qs.items():
+            assert abs(r[k] - np.quantile(own, q)) < 1e-9
+
+
+def test_splits_keep_rows_without_a_label(spark):
+    from kinfold.operators import splits as S
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "id long, y int")
+    folds = S.kfold_stratified(df, "y", "id", 5).collect()
+    assert len(folds) == 30 and all(r["fold"] is not None for r in folds)
+    parts = S.holdout_stratified(df, "y", "id", 0.2).collect()
+    assert len(parts) == 30 and sum(r["subset"] == "holdout" for r in parts if r["y"] is None) == 2
+
+
+def test_t_p_value(spark):
+    want = [(0.01, 50.0, 0.99206109), (0.5, 500.0, 0.61729498), (1.0, 30.0, 0.32530859), (4.7, 30.0, 0.0000543), (-1.0, 1.0, 0.5),
+            (2.0, 2.0, 0.18350342), (0.0, 7.5, 1.0), (1.96, 1e6, 0.0499961)]
+    got = P.t_p_value(spark.createDataFrame([w[:2] for w in want], "t double, df double")).collect()
+    for t, df, p in want:
+        r = next(r for r in got if (r["t"], r["df"]) == (t, df))
+        assert abs(r["p_value"] - p) < 1e-6, (t, df, r)
+
+
+def test_surname_without_comma_and_exact_key(spark):
+    from kinfold.operators import groups as G
+    names = spark.createDataFrame([("NoComma",), ("A, Mr. B",), (None,)], "Name string")
+    rows = names.select(fx.surname().alias("a"), fx.surname(no_comma="whole").alias("b")).collect()
+    assert [tuple(r) for r in rows] == [("", "NoComma"), ("A", "A"), (None, None)]
+    keys = spark.createDataFrame([("T", 1, None, "S"), ("T", 1, 2.0, None), ("T", 1, 2.0, "S"), (None, 1, 2.0, "S")],
+                                 "Ticket string, Pclass int, Fare double, Embarked string")
+    got = [r[0] for r in G.add_exact_ticket_key(keys).select("TicketId").collect()]
+    assert got == [None, "T-1-2.00-S", "T-1-2.00-S", None]
 
 
 def test_cascade_compiler_equals_sequential_overwrites(spark):
