@@ -92,25 +92,31 @@ def auc(df: DataFrame, y="y", score="score", group_cols=None) -> DataFrame:
                                F.col("__u") / (F.col("P") * F.col("N"))).alias("auc"))
 
 
-def _thresholds(spark, values: list[float]) -> DataFrame:
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, threshold double")
+def _cumulated(df: DataFrame, y, score, thresholds: list[float]) -> DataFrame:
+    """Per threshold: i, threshold, and the pos and neg of scores at or above
+    it (pos_hit, neg_hit) and of all. A score's bin is the number of thresholds
+    that it reaches; the bins are added up over the fixed list, so rows are
+    never multiplied."""
+    ths = F.array(*[F.lit(float(t)) for t in thresholds])
+    reached = F.size(F.filter(ths, lambda t: t <= F.col(score)))
+    bins = score_counts(df, y, score).groupBy(reached.alias("bin")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # One row with an array of the bins, at most one more than thresholds.
+    one = bins.agg(F.collect_list(F.struct("bin", "pos", "neg")).alias("bins"))
+    each = one.select("bins", F.posexplode(ths).alias("i", "threshold"))
+
+    def total(field, least):
+        return F.aggregate("bins", F.lit(0).cast("long"), lambda acc, b: acc + F.when(b["bin"] > least, b[field]).otherwise(0).cast("long"))
+    return each.select("i", "threshold", *[total(f, F.col("i")).alias(f"{f}_hit") for f in ("pos", "neg")],
+                       *[total(f, F.lit(-1)).alias(f"{f}_all") for f in ("pos", "neg")])
 
 
 def roc_sweep(df: DataFrame, y="y", score="score", steps: int = 102, step: float = 0.01) -> DataFrame:
     """Thresholds 0, 0.01, ... (steps of them); positive iff score >= t.
     TP, TN, FP, FN, FPR, TPR per threshold."""
-    sc = score_counts(df, y, score)
-    # Each distinct score meets the fixed threshold list (an explode).
-    j = sc.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))) \
-          .withColumn("threshold", F.col("i").cast("double") / (1 / step))
-    hit = F.col(score) >= F.col("threshold")
-    r = j.groupBy("i", "threshold").agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("TP"),
-        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("TN"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("FP"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("FN"))
-    return r.select("i", "threshold", *[F.col(c).cast("long").alias(c) for c in ("TP", "TN", "FP", "FN")],
-                    (F.col("FP") / (F.col("FP") + F.col("TN"))).alias("FPR"),
+    c = _cumulated(df, y, score, [i / (1 / step) for i in range(steps)])
+    r = c.select("i", "threshold", F.col("pos_hit").alias("TP"), (F.col("neg_all") - F.col("neg_hit")).alias("TN"),
+                 F.col("neg_hit").alias("FP"), (F.col("pos_all") - F.col("pos_hit")).alias("FN"))
+    return r.select("*", (F.col("FP") / (F.col("FP") + F.col("TN"))).alias("FPR"),
                     (F.col("TP") / (F.col("TP") + F.col("FN"))).alias("TPR"))
 
 
@@ -126,15 +132,11 @@ def roc_area_step(sweep: DataFrame) -> DataFrame:
 def threshold_tune(df: DataFrame, y="y", score="score", lo: float = 0.30, hi: float = 0.70,
                    n: int = 41) -> DataFrame:
     """Accuracy of ``score >= t`` for n thresholds in [lo, hi]; first best."""
-    sc = score_counts(df, y, score)
     step = (hi - lo) / (n - 1)
     # Thresholds pinned to their decimal values (0.30, 0.31, ...).
-    ths = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(round(lo + i * step, 10)).alias("threshold"))
-                    for i in range(n)])
-    hit = F.col(score) >= F.col("threshold")
-    acc = sc.withColumn("__t", F.explode(ths)).select("*", "__t.i", "__t.threshold").groupBy("i", "threshold").agg(
-        (F.sum(F.when(hit, F.col("pos")).otherwise(F.col("neg"))) / F.sum(F.col("pos") + F.col("neg")))
-        .alias("accuracy"))
+    c = _cumulated(df, y, score, [round(lo + i * step, 10) for i in range(n)])
+    acc = c.select("i", "threshold", ((F.col("pos_hit") + F.col("neg_all") - F.col("neg_hit"))
+                                      / (F.col("pos_all") + F.col("neg_all"))).alias("accuracy"))
     best = acc.agg(F.max_by(F.struct("threshold", "accuracy"), F.struct(F.col("accuracy"), -F.col("i")))
                    .alias("b")).select("b.*")
     return best

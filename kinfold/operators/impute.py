@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
-from .joins import join_back, with_scalar
-from .profile import exact_quantiles, mode_table
+from .joins import join_back, join_null_safe, with_scalar
+from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
 
 def impute_constant(df: DataFrame, values: dict) -> DataFrame:
@@ -29,9 +29,15 @@ def impute_median(df: DataFrame, cols: list[str], group_cols: list[str] | None =
     when given: the per-split scope). ``suffix`` writes to a new column."""
     g = list(group_cols or [])
     out = df
+    if not g:  # all columns in one pass
+        med = exact_quantiles_by_column(df, cols, {"med": 0.5}).groupBy().pivot("column", cols).agg(F.first("med"))
+        out = with_scalar(out, med.select(*[F.col(c).alias(f"__med_{c}") for c in cols]))
+        for c in cols:
+            out = out.withColumn(c + suffix, F.coalesce(F.col(c), F.col(f"__med_{c}")))
+        return out.drop(*[f"__med_{c}" for c in cols])
     for c in cols:
         med = exact_quantiles(df, c, {"__med": 0.5}, g).select(*g, F.col("__med").alias(f"__med_{c}"))
-        out = join_back(out, med, g) if g else with_scalar(out, med)
+        out = join_null_safe(out, med, g, "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col(c), F.col(f"__med_{c}"))).drop(f"__med_{c}")
     return out
 

@@ -336,15 +336,23 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def column_extremes(df: DataFrame) -> DataFrame:
     """Numeric columns: max. String columns: max and most frequent value
-    (ties -> smallest)."""
+    (ties -> smallest). One read: the columns become (column, whole, other,
+    text) rows, counted per text and then gathered per column. Columns of one
+    other type than whole numbers keep it; of several they are doubles."""
     num, st = _numeric_cols(df), [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    mx = df.agg(*[F.max(c).cast("string").alias(c) for c in num + st])
-    parts = [mx.select(F.lit(c).alias("column"), F.col(c).alias("max"),
-                       F.lit(None).cast("string").alias("most_frequent")) for c in num]
-    for c in st:
-        m = mode_table(df, c).select(F.col("top").alias("most_frequent"))
-        parts.append(mx.select(F.lit(c).alias("column"), F.col(c).alias("max")).crossJoin(m))
-    return reduce(DataFrame.unionByName, parts)
+    whole = [c for c in num if isinstance(df.schema[c].dataType, T.IntegralType)]
+    kinds = {df.schema[c].dataType for c in num if c not in whole}
+    kind = kinds.pop() if len(kinds) == 1 else T.DoubleType()
+    none = F.lit(None)
+    rows = [F.struct(F.lit(c).alias("column"), (F.col(c) if c in whole else none).cast("long").alias("w"),
+                     (F.col(c) if c in num and c not in whole else none).cast(kind).alias("x"),
+                     (F.col(c) if c in st else none).cast("string").alias("v")) for c in num + st]
+    long = df.select(F.inline(F.array(*rows)))
+    counts = long.groupBy("column", "v").agg(F.max("w").alias("w"), F.max("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    known = F.col("v").isNotNull()
+    return counts.groupBy("column").agg(
+        F.coalesce(F.max("w").cast("string"), F.max("x").cast("string"), F.max("v")).alias("max"),
+        F.min_by(F.when(known, F.col("v")), F.when(known, F.struct((-F.col("n")).alias("a"), F.col("v").alias("b")))).alias("most_frequent"))
 
 
 def round_half_even(c, digits: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
-from .joins import join_back, join_null_safe
+from .joins import join_back, join_null_safe, with_scalar
 
 
 def hash_key(seed, id_col: str) -> Column:
@@ -71,25 +71,30 @@ def random_subsample(df: DataFrame, id_col: str, trials: int = 100, test_frac: f
 
 
 def cv_group_model(df: DataFrame, label: str = "Survived", gid: str = "GroupId", person: str = "Title",
-                   pclass: str = "Pclass", trial: str = "trial", fold: str = "fold") -> DataFrame:
+                   pclass: str = "Pclass", trial: str = "trial", fold: str = "fold", id_col: str = "PassengerId") -> DataFrame:
     """Repeated CV of the group model in one job.
 
     The training rate of a group for (trial, fold) is
     (sum over the group - sum over the group's rows in that fold) /
     (count - count in fold), so only per-(trial, fold, group) partial sums
     are aggregated; no fold loop and no per-fold copy of the data. Rows in
-    no group use the same identity on the ungrouped bucket; a group with no
-    training member falls back to class (3 -> 0, else 1).
-    Returns per trial: errors, tested rows and accuracy."""
+    no group use the same identity on the ungrouped rows, whose sums are one
+    row and one per (trial, fold), a fixed number; on the group joins their
+    NULL key is spread. A group with no training member falls back to class
+    (3 -> 0, else 1). Returns per trial: errors, tested rows and accuracy."""
     y = F.col(label).cast("double")
-    key = F.coalesce(F.col(gid), F.lit("\u0000ungrouped"))
-    d = df.withColumn("__g", key)
-    tot = d.where(F.col(trial) == 0).groupBy("__g").agg(F.sum(y).alias("__tsum"), F.count(y).alias("__tcnt"))
-    part = d.where(F.col(fold).isNotNull()).groupBy(trial, fold, "__g") \
-        .agg(F.sum(y).alias("__fsum"), F.count(y).alias("__fcnt"))
-    t = d.where(F.col(fold).isNotNull())
-    t = join_back(t, tot, "__g")
-    t = join_back(t, part, [trial, fold, "__g"])
+    tested = df.where(F.col(fold).isNotNull())
+    none, some = F.col(gid).isNull(), F.col(gid).isNotNull()
+    whole = [F.sum(y).alias("__tsum"), F.count(y).alias("__tcnt")]
+    folds = [F.sum(y).alias("__fsum"), F.count(y).alias("__fcnt")]
+    first = df.where(F.col(trial) == 0)
+    t = join_back(tested, first.where(some).groupBy(gid).agg(*whole), gid, spread_on=[id_col, trial])
+    t = join_back(t, tested.where(some).groupBy(trial, fold, gid).agg(*folds), [trial, fold, gid], spread_on=[id_col, trial])
+    named = lambda d: d.select(*[F.col(c).alias("__u" + c[2:]) if c.startswith("__") else F.col(c) for c in d.columns])
+    t = with_scalar(t, named(first.where(none).agg(*whole)))
+    t = join_back(t, named(tested.where(none).groupBy(trial, fold).agg(*folds)), [trial, fold], bounded=True)
+    for c in ("tsum", "tcnt", "fsum", "fcnt"):
+        t = t.withColumn(f"__{c}", F.when(none, F.col(f"__u{c}")).otherwise(F.col(f"__{c}")))
     n_train = F.col("__tcnt") - F.col("__fcnt")
     rate = F.when(n_train > 0, (F.col("__tsum") - F.col("__fsum")) / n_train)
     rate = F.coalesce(rate, F.when(F.col(pclass) == 3, F.lit(0.0)).otherwise(F.lit(1.0)))

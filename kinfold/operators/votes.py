@@ -58,9 +58,13 @@ def vote_histogram(df: DataFrame, person: str = "Title", in_groups: str = "InWCG
 
 def agreement(sets: DataFrame, id_col: str, names: list[str], set_col: str = "set",
               pred: str = "prediction") -> DataFrame:
-    """Pairwise agreement of prediction sets: for each pair, rows compared,
+    """Pairwise agreement of prediction sets given in long form."""
+    return agreement_of_columns(sets.groupBy(id_col).pivot(set_col, names).agg(F.first(pred)), names)
+
+
+def agreement_of_columns(wide: DataFrame, names: list[str]) -> DataFrame:
+    """Pairwise agreement of prediction columns: for each pair, rows compared,
     rows that differ and the agreement rate; identical sets are flagged."""
-    wide = sets.groupBy(id_col).pivot(set_col, names).agg(F.first(pred))
     pairs = list(combinations(names, 2))
     aggs = []
     for i, (a, b) in enumerate(pairs):

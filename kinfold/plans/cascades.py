@@ -211,11 +211,14 @@ def cascade_rule_then_model(m: DataFrame, score: str = "p_rest") -> DataFrame:
     return out(R.run_cascade(d, (F.col(score) >= 0.5).cast("int"), stages, base_name="model"))
 
 
+def solo_female_stages(score: str = "p_women") -> list[list[R.Rule]]:
+    mask = (fx.title_woman_map() == "woman") & (F.col("FamilySize") == 1)
+    return [[R.Rule("solo_female_model", mask, (F.col(score) > SOLO_FEMALE_THRESHOLD).cast("int"))]]
+
+
 def cascade_solo_female(m: DataFrame, score: str = "p_women") -> DataFrame:
     d = G.with_split(m).withColumn("FamilySize", fx.family_size())
-    mask = (fx.title_woman_map() == "woman") & (F.col("FamilySize") == 1)
-    stages = [[R.Rule("solo_female_model", mask, (F.col(score) > SOLO_FEMALE_THRESHOLD).cast("int"))]]
-    return out(test_rows(R.run_cascade(d, F.lit(1), stages, base_name="default")))
+    return out(test_rows(R.run_cascade(d, F.lit(1), solo_female_stages(score), base_name="default")))
 
 
 def vote_sum(vote_cols: list[str], threshold: float = 0.5) -> Column:
@@ -229,31 +232,48 @@ def vote_rules(sum_col: str, base_col: str, hi: float = 2.5, lo: float = 2.5) ->
              .otherwise(F.col(base_col)))
 
 
-def cascade_mega(d: DataFrame, vote_cols: list[str], overrides: DataFrame) -> DataFrame:
-    """Gender baseline; group-decided rows take the group model; the other
-    rows take the 3-of-5 vote; then the explicit id override."""
-    d = test_rows(d).withColumn("gender", R.baseline_gender()) \
+def voted(d: DataFrame, vote_cols: list[str]) -> DataFrame:
+    """Scoring rows with the gender model, the vote sum and the 3-of-5 vote."""
+    return test_rows(d).withColumn("gender", R.baseline_gender()) \
         .withColumn("vote_sum", vote_sum(vote_cols)) \
         .withColumn("vote_pred", vote_rules("vote_sum", "gender"))
-    grp = R.run_cascade(d, R.baseline_gender(), [R.group_flip()], out="group_pred", decided_by="__g")
-    stages = [[R.Rule("group_model", F.col("GroupDecided"), F.col("group_pred")),
+
+
+def add_mega(d: DataFrame, overrides: DataFrame, name: str = "prediction", decided_by: str = "decided_by") -> DataFrame:
+    """Gender baseline; group-decided rows take the group model; the other
+    rows take the vote; then the explicit id override. ``d``: ``voted``."""
+    grp = R.run_cascade(d, R.baseline_gender(), [R.group_flip()], out="__group_pred", decided_by="__g")
+    stages = [[R.Rule("group_model", F.col("GroupDecided"), F.col("__group_pred")),
                R.Rule("vote", ~F.col("GroupDecided") & (F.col("vote_pred") != F.col("gender")),
                       F.col("vote_pred"))]]
-    res = R.run_cascade(grp, R.baseline_gender(), stages)
+    res = R.run_cascade(grp, R.baseline_gender(), stages, out=name, decided_by=decided_by)
     ov = overrides.select(F.col("id").alias(ID), F.col("value").alias("__ov"), F.lit(True).alias("__hit"))
-    res = res.join(F.broadcast(ov), ID, "left")
-    res = R.apply_stage(res, [R.Rule("outcome_override", F.col("__hit"), F.col("__ov"))])
-    return out(res)
+    res = res.join(ov, ID, "left")
+    res = R.apply_stage(res, [R.Rule("outcome_override", F.col("__hit"), F.col("__ov"))], name, decided_by)
+    return res.drop("__group_pred", "__g", "__ov", "__hit")
 
 
-def cascade_group_models_vote(d: DataFrame, vote_cols: list[str]) -> DataFrame:
+def cascade_mega(d: DataFrame, vote_cols: list[str], overrides: DataFrame) -> DataFrame:
+    return out(add_mega(voted(d, vote_cols), overrides))
+
+
+def group_models_vote_stages() -> list[list[R.Rule]]:
     """Group model, men model, solo women outside decided groups, then rows
     outside decided groups where the vote departs from the gender model are
     set to 0."""
-    d = test_rows(d).withColumn("gender", R.baseline_gender()) \
-        .withColumn("vote_sum", vote_sum(vote_cols)) \
-        .withColumn("vote_pred", vote_rules("vote_sum", "gender"))
     solo = R.mask_solo_female("decided", decided="GroupDecided")
     ens = ~F.col("GroupDecided") & (F.col("vote_pred") != F.col("gender"))
-    stages = [R.group_flip(), men_stage(), women_stage(solo), [R.Rule("vote_dissent", ens, 0)]]
-    return out(R.run_cascade(d, R.baseline_gender(), stages))
+    return [R.group_flip(), men_stage(), women_stage(solo), [R.Rule("vote_dissent", ens, 0)]]
+
+
+def cascade_group_models_vote(d: DataFrame, vote_cols: list[str]) -> DataFrame:
+    return out(R.run_cascade(voted(d, vote_cols), R.baseline_gender(), group_models_vote_stages()))
+
+
+def prediction_sets(d: DataFrame, vote_cols: list[str], overrides: DataFrame) -> DataFrame:
+    """Five cascades as columns of one frame (``d``: r_frame): gender, group,
+    mega, group_models_vote and solo_female."""
+    v = add_mega(voted(d, vote_cols), overrides, "mega", "__by_mega")
+    v = R.run_cascade(v, R.baseline_gender(), [R.group_flip()], out="group", decided_by="__by_group")
+    v = R.run_cascade(v, R.baseline_gender(), group_models_vote_stages(), out="group_models_vote", decided_by="__by_models")
+    return R.run_cascade(v, F.lit(1), solo_female_stages(), out="solo_female", decided_by="__by_solo")

@@ -350,9 +350,8 @@ UNION ALL SELECT 'Deck', substr(Cabin, 1, 1), Survived, count(*) FROM w GROUP BY
 def q_count_by_category_label(spark, sf_dir):
     w = manifest(spark, sf_dir).where((F.col("Sex") == "female") & F.col("Survived").isNotNull())
     w = w.withColumn("Deck", fx.deck("Cabin", missing=None))
-    parts = [w.groupBy(F.col(c).cast("string").alias("value"), "Survived").agg(F.count(F.lit(1)).alias("count"))
-              .withColumn("category", F.lit(c)) for c in ("Pclass", "Embarked", "Deck")]
-    return reduce(DataFrame.unionByName, parts)
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value")) for c in ("Pclass", "Embarked", "Deck")])
+    return w.select("Survived", F.inline(pairs)).groupBy("category", "value", "Survived").agg(F.count(F.lit(1)).alias("count"))
 
 
 @register("density_on_grid", with_manifest("""

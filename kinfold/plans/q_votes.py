@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,11 +174,6 @@ w AS (SELECT PassengerId, gender, group_pred AS "group",
     f"count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) = 0 AS identical FROM w"
     for i, a in enumerate(_SETS) for b in _SETS[i + 1:])))
 def q_compare_prediction_sets(spark, sf_dir):
-    m = scored(spark, sf_dir)
-    rf = C.r_frame(m)
     ov = spark.createDataFrame(OVERRIDES, "id long, value int")
-    sets = {"gender": C.cascade_gender(m), "group": C.cascade_group(rf), "mega": C.cascade_mega(rf, VOTE_COLS, ov),
-            "group_models_vote": C.cascade_group_models_vote(rf, VOTE_COLS), "solo_female": C.cascade_solo_female(m)}
-    long = reduce(DataFrame.unionByName, [s.select(ID, F.lit(k).alias("set"), "prediction") for k, s in sets.items()])
-    r = V.agreement(long, ID, _SETS)
+    r = V.agreement_of_columns(C.prediction_sets(C.r_frame(scored(spark, sf_dir)), VOTE_COLS, ov), _SETS)
     return r.withColumn("agreement", F.round("agreement", 6))
