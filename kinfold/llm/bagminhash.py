@@ -69,9 +69,23 @@ def _layers(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray):
         elements, weights, owner = elements[more], weights[more], owner[more]
 
 
+#: Shingles of the bags that are drawn for at a time.
+DRAWN = 300_000
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
     """For each bag (none empty) the times of the earliest points in its slots;
     an equal time is an equal point."""
+    cut, held = [0], 0
+    for i, b in enumerate(bags):
+        if held and held + len(b[0]) > DRAWN:
+            cut.append(i)
+            held = 0
+        held += len(b[0])
+    return np.concatenate([_signatures(bags[i:j], slots) for i, j in zip(cut, [*cut[1:], len(bags)], strict=True)])
+
+
+def _signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndarray:
     layers = list(_layers(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]),
                           np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])))
     total = np.array([b[1].sum() for b in bags], np.float64)

@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it holds ``bound`` words."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 

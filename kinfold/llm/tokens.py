@@ -30,8 +30,8 @@ from .common import arrow_limits, scratch_path
 
 #: Ids after which a block is closed (at the end of a document).
 BLOCK_IDS = 1 << 16
-#: Chunks that a worker remembers with their ids.
-CACHE_CHUNKS = 2_000_000
+#: Chunks that a worker remembers with their ids, in the new and in the old half each.
+CACHE_CHUNKS = 400_000
 
 BLOCK_SCHEMA = ("shard int, block int, offset long, n_ids long, bits int, ids binary, "
                 "doc_ids array<long>, doc_lengths array<long>")
@@ -77,6 +77,7 @@ class ChunkIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         held = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content[1:]}
@@ -93,10 +94,13 @@ class ChunkIds(dict):
         return cls._made[path]
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
+        if len(self) >= CACHE_CHUNKS:  # what is still in use comes back from the old half
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        got = self[chunk] = np.array(ids, "<u4").tobytes()
+        got = self.old.get(chunk)
+        if got is None:
+            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:

@@ -80,3 +80,11 @@ def test_odd_rows_and_small_blocks(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokens.tokenize(none_of(odd_documents(spark)), word_bpe()).collect() == []
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3)
+    ids = tokens.ChunkIds(word_bpe())
+    text = " ".join(f"word{i % 7} other{i % 5}, more" for i in range(60))
+    assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(ids) <= 3 and len(ids.old) <= 3
