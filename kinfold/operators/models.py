@@ -121,7 +121,26 @@ def logreg(n_rows: int, C: float = 1.0, label: str = "Survived", max_iter: int =
                               standardization=False)
 
 
-def gbt(rounds: int = 50, lr: float = 0.05, depth: int = 4, subsample: float = 0.9,
+#: Boosting runs several jobs a round; a training table has a partition for each so many rows.
+ROWS_PER_PARTITION = 50_000
+
+
+def packed(train: DataFrame, features: str = "features", label: str = "Survived", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that a tree fit reads, cached in partitions of about
+    ``ROWS_PER_PARTITION`` rows; ``unpersist`` it after the fit."""
+    d = train.select(features, label, *keep)
+    return cached(d.repartition(1 + d.count() // ROWS_PER_PARTITION))
+
+
+def fit_packed(estimator, train: DataFrame, features: str = "features", label: str = "Survived", keep: tuple[str, ...] = ()):
+    d = packed(train, features, label, keep)
+    try:
+        return estimator.fit(d)
+    finally:
+        d.unpersist()
+
+
+def gbt(rounds: int = 500, lr: float = 0.05, depth: int = 4, subsample: float = 0.9,
         colsample: float = 0.9, label: str = "Survived", seed: int = 42, features: str = "features",
         validation_col: str | None = None):
     g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=lr, maxDepth=depth,
@@ -185,7 +204,7 @@ def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str =
 
 
 def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int = 5,
-             label: str = "Survived", gbt_rounds: int = 50) -> DataFrame:
+             label: str = "Survived", gbt_rounds: int = 500) -> DataFrame:
     """Out-of-fold probabilities of a random forest and boosted trees feed
     a logistic meta-model (C = 0.5); bases are refitted on all rows to
     score ``other``. Folds are a column; the per-fold fits run side by side."""
@@ -195,9 +214,9 @@ def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int
     jobs, keys = [], []
     for name, make in bases.items():
         for f in range(k):
-            jobs.append(lambda make=make, f=f: make().fit(train.where(F.col(fold_col) != f)))
+            jobs.append(lambda make=make, f=f: fit_packed(make(), train.where(F.col(fold_col) != f), label=label))
             keys.append((name, f))
-        jobs.append(lambda make=make: make().fit(train))
+        jobs.append(lambda make=make: fit_packed(make(), train, label=label))
         keys.append((name, None))
     fitted = dict(zip(keys, fit_all(jobs)))
     oof = None

@@ -310,13 +310,6 @@ def q_eval_holdout(spark, sf_dir):
     return m.select("tp", "tn", "fp", "fn", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
 
 
-@register("leaderboard", with_manifest(_B + "," + _BL + "," + _FOLDS + """
-SELECT model, round(roc_mean, 6) AS roc_mean, round(acc_mean, 6) AS acc_mean, CAST(rank() OVER (ORDER BY roc_mean DESC) AS INTEGER) AS rank FROM su"""))
-def q_leaderboard(spark, sf_dir):
-    lb = EV.leaderboard(_summary(spark, sf_dir), "model", "roc_mean")
-    return lb.select("model", r6("roc_mean").alias("roc_mean"), r6("acc_mean").alias("acc_mean"), "rank")
-
-
 @register("target_bucket", with_manifest(_B + "," + _BL + "," + _FOLDS + """
 SELECT model, round(acc_mean, 6) AS acc_mean, CASE WHEN acc_mean >= 0.85 THEN 'EXCELLENT' WHEN acc_mean >= 0.84 THEN 'VERY GOOD'
        WHEN acc_mean >= 0.82 THEN 'GOOD' ELSE 'BELOW' END AS bucket FROM su"""))

@@ -26,8 +26,9 @@ from ..sources.manifest import manifest
 from .registry import register, with_manifest
 
 ID = "PassengerId"
-GBT_ROUNDS = 50          # recorded configuration with the best holdout AUC
-SUB_ROUNDS = 50          # sub-models (men, solo women)
+GBT_ROUNDS = 500         # general model and the stacking base
+SUB_ROUNDS = 500         # sub-models (men, solo women)
+ABLATION_ROUNDS = 50
 
 
 def frames(spark, sf_dir):
@@ -124,7 +125,7 @@ def q_model_logreg(spark, sf_dir):
 @register("model_gbt")
 def q_model_gbt(spark, sf_dir):
     trv, tev, _ = designed(spark, sf_dir)
-    return _scored(M.gbt(GBT_ROUNDS).fit(trv), tev)
+    return _scored(M.fit_packed(M.gbt(GBT_ROUNDS), trv), tev)
 
 
 @register("model_gbt_early_stop")
@@ -134,9 +135,9 @@ def q_model_gbt_early_stop(spark, sf_dir):
     number of trees it kept."""
     trv, tev, _ = designed(spark, sf_dir)
     v = S.holdout_stratified(trv, "Survived", ID, 0.2, 42).withColumn("is_val", F.col("subset") == "holdout")
-    first = M.gbt(200, validation_col="is_val").setParams(validationTol=1e-4).fit(v)
+    first = M.fit_packed(M.gbt(200, validation_col="is_val").setParams(validationTol=1e-4), v, keep=("is_val",))
     best = first.getNumTrees
-    final = M.gbt(best).fit(trv)
+    final = M.fit_packed(M.gbt(best), trv)
     return _scored(final, tev).withColumn("n_rounds", F.lit(best))
 
 
@@ -170,7 +171,7 @@ def _cohort(d, kind):
 def _submodel(spark, sf_dir, kind):
     d = M.cached(_xy(_cohort(_sub_frame(spark, sf_dir), kind), kind))
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    model = M.gbt(SUB_ROUNDS, lr=0.1, depth=5, subsample=1.0, colsample=1.0).fit(tr)
+    model = M.fit_packed(M.gbt(SUB_ROUNDS, lr=0.1, depth=5, subsample=1.0, colsample=1.0), tr)
     return M.p1(model.transform(te)).select(ID, "p")
 
 
@@ -215,7 +216,7 @@ def q_model_stacking(spark, sf_dir):
 @register("model_feature_importance")
 def q_model_feature_importance(spark, sf_dir):
     trv, _, names = designed(spark, sf_dir)
-    model = M.gbt(GBT_ROUNDS).fit(trv)
+    model = M.fit_packed(M.gbt(GBT_ROUNDS), trv)
     rows = M.feature_importance(model, names)
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
@@ -240,7 +241,7 @@ def q_score_what_if(spark, sf_dir):
     (class, sex, age band) cohort is shown beside."""
     tr, te = frames(spark, sf_dir)
     trv, _, _ = M.design(tr)
-    model = M.gbt(GBT_ROUNDS).fit(trv)
+    model = M.fit_packed(M.gbt(GBT_ROUNDS), trv)
     tmpl = tr.groupBy("Pclass").agg(F.min_by(F.struct(*[c for c in tr.columns if c != "Pclass"]), F.col(ID)).alias("t")) \
         .select("Pclass", "t.*")
     # Fixed what-if cases (age x sex), exploded onto each template row.
@@ -283,7 +284,7 @@ def q_refit_and_predict(spark, sf_dir):
     """Fit on every labelled row, score the scoring rows, write the
     prediction CSV (shared folder) and return what was written."""
     trv, tev, _ = designed(spark, sf_dir)
-    pred = _scored(M.gbt(GBT_ROUNDS).fit(trv), tev)
+    pred = _scored(M.fit_packed(M.gbt(GBT_ROUNDS), trv), tev)
     path = files.sink_predictions(pred, ID, "prediction", tag="refit_gbt")
     return files.read_predictions(spark, path)
 
@@ -371,7 +372,7 @@ def q_tune_rounds(spark, sf_dir):
     sp = S.holdout_stratified(trv, "Survived", ID, 0.2, 42)
     tr, ho = sp.where(F.col("subset") == "train"), sp.where(F.col("subset") == "holdout")
     cand = [10, 25, 50, 100]
-    model = M.gbt(max(cand)).fit(tr)
+    model = M.fit_packed(M.gbt(max(cand)), tr)
     scores = _prefix_probabilities(model, ho, cand)
     a = EV.auc(scores, "y", "score", ["rounds"])
     best = a.agg(F.max_by("rounds", F.struct(F.col("auc"), -F.col("rounds"))).alias("best_rounds"))
@@ -399,7 +400,7 @@ def q_tune_grid(spark, sf_dir):
 
 @register("ablate_features")
 def q_ablate_features(spark, sf_dir):
-    """5-fold CV of boosted trees (15 rounds) with and without the
+    """5-fold CV of boosted trees (50 rounds) with and without the
     interaction feature; deltas and a verdict."""
     tr, _ = frames(spark, sf_dir)
     tr = materialize(S.kfold_stratified(tr, "Survived", ID, 5, 42))
@@ -408,7 +409,7 @@ def q_ablate_features(spark, sf_dir):
     for arm, num in arms.items():
         designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f), numeric=num)
                    for f in range(5)]
-        models = M.fit_all([lambda av=av: M.gbt(15).fit(av) for av, _, _ in designs])
+        models = M.fit_all([lambda av=av: M.fit_packed(M.gbt(ABLATION_ROUNDS), av) for av, _, _ in designs])
         parts = [M.p1(m.transform(bv)).select(ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score"))
                  for m, (_, bv, _) in zip(models, designs)]
         oof = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))

@@ -6,6 +6,7 @@ Everything is written under the cluster's shared ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -119,9 +120,13 @@ def sink_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
-def sink_run_metrics(record: DataFrame, path: str) -> str:
-    """Append one metrics record (JSON), partitioned by ``mode``."""
-    record.write.mode("append").partitionBy("mode").json(path)
+def sink_run_metrics(record: DataFrame, path: str, mode: str, tag: str, seed: int, params: dict | None = None) -> str:
+    """Append metrics records (JSON): mode, tag, epoch (seconds of the run's
+    time), seed, params (a JSON object) and the record's own values;
+    partitioned by ``mode``. Records of different modes differ in shape."""
+    head = [F.lit(mode).alias("mode"), F.lit(tag).alias("tag"), F.unix_timestamp().alias("epoch"),
+            F.lit(seed).cast("long").alias("seed"), F.lit(json.dumps(params or {}, sort_keys=True)).alias("params")]
+    record.select(*head, "*").write.mode("append").partitionBy("mode").json(path)
     return path
 
 
