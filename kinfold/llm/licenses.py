@@ -1,22 +1,24 @@
 """License scans by patience alignment of texts to license templates.
 
-A text's words that some template holds are grouped into regions (less than
-``GAP`` other words between two of them). A region that shares enough words
-with a template, counted with repeats, is aligned to it: words that occur once
-in the region and once in the template are anchors, the longest increasing
-subsequence of them is kept, and the gaps between anchors are aligned in the
-same way. Coverage is the share of the template's words that are aligned. A
-region longer than a template is aligned in windows of ``STRETCH`` times the
-template that overlap by a template, so a statement that is repeated in a text
-is found each time; of findings that overlap the one of more aligned words stays.
-
-The word count is an upper bound of what an alignment can find, so regions
-are passed over only where no alignment could reach ``COVERAGE``. Texts are
-read whole and one by one; nothing is shuffled.
+A text is aligned to a template in windows: words that occur once in the
+window and once in the template are anchors, the longest increasing
+subsequence of them is kept, and the gaps between anchors, of any length, are
+aligned in the same way. Coverage is the share of the template's words that
+are aligned. A statement may be interrupted: one that stands within a stretch
+of ``reach`` words (the template and as many others, or ``INSERT`` others if
+that is more) lies whole in a window. Windows come in sizes, each twice the one
+before, of ``STRETCH`` times the stretches that they are for, so a statement
+that is repeated in a text is found each time; of findings that overlap the one
+of more aligned words stays.
+
+The number of words that a window shares with a template, counted with
+repeats, is an upper bound of what an alignment can find, so windows are passed
+over only where no alignment could reach ``COVERAGE``. Texts are read whole and
+one by one; nothing is shuffled.
 
 Defined results: a null or empty text has no finding; a repeated row gives a
 row each time; ties in aligned words go to the greater coverage, then to the
-order of ``TEMPLATES``; an empty table gives no row.
+order of ``TEMPLATES``, then to the shorter stretch; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, text_bytes, words
 
 COVERAGE = 0.8
-GAP = 6
 STRETCH = 1.5
+#: Other words that any template may hold.
+INSERT = 50
 
 # License names and the texts or notices that are looked for.
 TEMPLATES: dict[str, str] = {
@@ -127,6 +130,11 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def reach(n: int) -> int:
+    """The longest stretch in which a statement of ``n`` words is looked for."""
+    return n + max(n, INSERT)
+
+
 class Scanner:
     """The templates as numbered words."""
 
@@ -134,37 +142,52 @@ class Scanner:
         self.number: dict[bytes, int] = {}
         self.templates = {name: [self.number.setdefault(w, len(self.number) + 1) for w in words(t.encode())] for name, t in templates.items()}
         n = len(self.number) + 1
-        self.counts = np.array([np.bincount(t, minlength=n) for t in self.templates.values()])
+        self.counts = np.array([np.bincount(t, minlength=n) for t in self.templates.values()])  # none of word 0
         self.least = np.array([COVERAGE * len(t) for t in self.templates.values()])
 
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last) of the findings."""
         ws = words(text)
         ids = np.fromiter((self.number.get(w, 0) for w in ws), np.int64, len(ws))
-        known = np.flatnonzero(ids)
-        if not len(known):
-            return []
-        cut = np.flatnonzero(np.diff(known) > GAP) + 1
-        found = []
+        found = set()
         names = list(self.templates)
-        for lo, hi in zip(known[np.concatenate(([0], cut))].tolist(), (known[np.concatenate((cut - 1, [-1]))] + 1).tolist(), strict=True):
-            for k in self._possible(ids[lo:hi]):
-                template = self.templates[names[k]]
-                size = int(STRETCH * len(template)) + 1
-                # So dealt, every stretch of the template's length lies within a window.
-                for start in range(lo, hi, size - len(template)):
-                    window = ids[start:min(hi, start + size)]
-                    if np.minimum(np.bincount(window, minlength=self.counts.shape[1]), self.counts[k])[1:].sum() < self.least[k]:
-                        continue
-                    pairs = align(window.tolist(), template)
-                    if len(pairs) >= self.least[k]:
-                        found.append((-len(pairs), -len(pairs) / len(template), k, start + pairs[0][0], start + pairs[-1][0] + 1))
+        for k in self._possible(ids):
+            template = self.templates[names[k]]
+            shared = np.concatenate(([0], np.cumsum(self.counts[k][ids] > 0)))
+            for start, end in self._windows(shared, len(template), self.least[k]):
+                window = ids[start:end]
+                if np.minimum(np.bincount(window, minlength=self.counts.shape[1]), self.counts[k]).sum() < self.least[k]:
+                    continue
+                pairs = align(window.tolist(), template)
+                if len(pairs) >= self.least[k]:
+                    a, b = start + pairs[0][0], start + pairs[-1][0] + 1
+                    found.add((-len(pairs), -len(pairs) / len(template), k, b - a, a, b))
         out: list[tuple[str, float, int, int]] = []
-        for _, coverage, k, a, b in sorted(found):
+        for _, coverage, k, _, a, b in sorted(found):
             if all(b <= x[2] or a >= x[3] for x in out):
                 out.append((names[k], -coverage, a, b))
         return sorted(out, key=lambda x: x[2])
 
+    @staticmethod
+    def _windows(shared: np.ndarray, n: int, least: float) -> list[tuple[int, int]]:
+        """Windows that hold at least ``least`` of a template's words, of
+        which ``shared`` is the running count. For each length of stretch from
+        ``n`` to ``reach(n)`` they are dealt so that it lies within one."""
+        first, last = np.searchsorted(shared, 1) - 1, np.searchsorted(shared, shared[-1])
+        out: list[tuple[int, int]] = []
+        length = n
+        while True:
+            size = int(STRETCH * length) + 1
+            starts = np.arange(first, last, size - length)
+            ends = np.minimum(starts + size, last)
+            full = shared[ends] - shared[starts] >= least
+            # Windows of the same words of the template are one.
+            inner = zip(np.searchsorted(shared, shared[starts[full]], "right").tolist(), np.searchsorted(shared, shared[ends[full]]).tolist(), strict=True)
+            out += [(a - 1, b) for a, b in inner]
+            if length >= reach(n):
+                return sorted(set(out))
+            length = min(2 * length, reach(n))
+
     def _possible(self, ids: np.ndarray) -> list[int]:
         if len(ids) < self.least.min():
             return []

@@ -56,6 +56,19 @@ def test_planted_licenses_are_found():
     assert scanner.scan("the software is licensed under the terms of this work, version 3".encode()) == []
 
 
+def test_interrupted_licenses_are_found_whole():
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(5)
+    noise = lambda n: [f"q{rng.randrange(999)}" for _ in range(n)]
+    for name, text in licenses.TEMPLATES.items():
+        ws = text.split()
+        n = len(words(text.encode()))
+        for many in (6, 7, 20, 50):
+            for at in range(1, len(ws)):
+                planted = [*noise(30), *ws[:at], *noise(many), *ws[at:], *noise(30)]
+                got = scanner.scan(" ".join(planted).encode())
+                assert got == [(name, 1.0, 30, 30 + n + many)], (name, many, at, got)
+
+
 def test_query_agrees_with_dynamic_programming(spark):
     """A statement that a plain search of all windows finds is found, and no other."""
     scanner = licenses.Scanner(licenses.TEMPLATES)
