@@ -85,8 +85,9 @@ def fit(lines: DataFrame) -> Model:
     state = {(r, f): 2 * i + (not f) for i, r in enumerate(roles) for f in (True, False)}
     emit = []
     for c in ("f0", "f1", "f2"):
-        top = each.groupBy(c).count().orderBy(F.col("count").desc(), c).limit(MARKERS).select(c)
-        seen = each.join(F.broadcast(top), c, "left_semi").groupBy("role", "first", c).count().collect()
+        top = each.groupBy(c).count().orderBy(F.col("count").desc(), c).limit(MARKERS).select(c, F.lit(True).alias("told"))
+        value = F.when(F.col("told"), F.col(c)).otherwise(F.lit("\0"))  # lines of the others count as those of one value
+        seen = each.join(F.broadcast(top), c, "left").groupBy("role", "first", value.alias(c)).count().collect()
         table = {v: np.ones(n) for v in ["\0", *sorted({r[c] for r in seen})]}
         for r in seen:
             table[r[c]][state[r["role"], bool(r["first"])]] += r["count"]

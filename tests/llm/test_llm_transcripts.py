@@ -99,6 +99,23 @@ def test_odd_rows(spark):
     assert transcripts.parse(none_of(frame(spark, rows)), model).collect() == []
 
 
+def test_rare_markers_count_as_one(spark):
+    """Lines of markers beyond the list count in their states: every line does."""
+    rare = transcripts.MARKERS + 200
+    often = [(i, "often: b", "bot") for i in range(rare, rare + 300)]
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    rows = [(i, 0, 0, f"{name(i)}: a", "user") for i in range(rare)] + [(i, 0, 0, t, r) for i, t, r in often]
+    model = transcripts.fit(spark.createDataFrame(rows, "conv_id long, part long, line long, text string, role string"))
+    emit = model.emit[0]
+    assert len(emit) == transcripts.MARKERS + 1 and model.roles == ["bot", "user"]
+    shares = {v: np.exp(x) for v, x in emit.items()}
+    others = rare - (transcripts.MARKERS - 1)  # one place of the list is that of "often"
+    assert np.allclose(shares["\0"], [1 / (300 + len(emit)), 1 / len(emit), (others + 1) / (rare + len(emit)), 1 / len(emit)])
+    assert np.allclose(sum(shares.values()), 1)
+    state = model.scores("unheard: c") - model.scores("often: c")
+    assert state[2] > 0 > state[0]
+
+
 def test_untaught(spark):
     talk = spark.createDataFrame([(1, 0, None, "a\nb"), (1, 1, None, "c")], "conv_id long, turn long, role string, text string")
     lines = transcripts.as_transcripts(talk)
