@@ -3,17 +3,24 @@
 A k-mer of characters is a closed syncmer if the least of the hashes of its
 inner s-mers is the first or the last one. Whether it is depends on the k-mer
 alone, so two texts that share a passage pick the same anchors inside it
-wherever it stands. The anchors are (position, hash); the fingerprint is the
-``SKETCH`` least distinct anchor hashes, and the likeness of two fingerprints
-estimates the Jaccard similarity of the anchor sets from the least hashes of
-both together.
+wherever it stands. The anchors are (position, hash).
+
+Two texts are matched on all their anchors by hash and position difference: an
+anchor's link is its hash with the distance to the next anchor, and the
+likeness of two texts is the Jaccard similarity of their links, each counted
+as often as it stands there. A shared passage is a run of shared links at one
+shift between the texts; an anchor whose hash alone recurs elsewhere, with the
+next one at another distance, is not matched. Nothing is sampled, and the work
+is a sort of the links also where a text repeats itself. The fingerprint that
+is written out holds the least distinct link hashes, one in ``SHARE`` of them
+but ``SKETCH`` at least (or all), so it grows with the text.
 
 Defined results: a null text is the empty text, whose fingerprint is empty; a
-text without a syncmer (short ones) has one anchor, of the whole text; two
-empty fingerprints are alike (1), an empty and another are not (0). Documents
-are ordered by descending doc_id, null last; rows of one doc_id by the digest
-of their texts. The document after the last is the first, which in a table of
-one row is the row itself. An empty table gives no row.
+text without a syncmer (short ones) has one anchor, of the whole text; the
+last anchor's distance is 0; two empty texts are alike (1), an empty and another
+are not (0). Documents are ordered by descending doc_id, null last; rows of one
+doc_id by the digest of their texts. The document after the last is the first,
+which in a table of one row is the row itself. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from .common import arrow_limits, mix
 
 K, S = 12, 5
 SKETCH = 64
+SHARE = 16
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -67,24 +75,30 @@ def _whole(cp: np.ndarray) -> np.ndarray:
     return mix(np.array([int(hashlib.md5(cp.tobytes()).hexdigest()[:16], 16)], np.uint64)) if len(cp) else np.empty(0, np.uint64)
 
 
-def sketch(hashes: np.ndarray, cp: np.ndarray) -> np.ndarray:
-    """The SKETCH least distinct hashes (32 bits); of the whole text where there is no syncmer."""
-    h = np.unique(((hashes if len(hashes) else _whole(cp)) >> np.uint64(32)).astype(np.uint32))
-    return h[:SKETCH]
+def sketch(hashes: np.ndarray, cp: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The links of all anchors in ascending order, repeated ones as often as
+    they occur; of the whole text where there is no syncmer. ``at`` are the
+    anchors' positions, looked for if they are not given."""
+    if not len(hashes):
+        return _whole(cp)
+    at = syncmers(cp)[0] if at is None else at
+    return np.sort(mix(hashes ^ mix(np.append(np.diff(at), 0).astype(np.uint64))))
 
 
-def as_text(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+def as_text(links: np.ndarray) -> str:
+    """The least distinct links (32 bits of each), more of them for a longer text."""
+    distinct = np.unique((links >> np.uint64(32)).astype(np.uint32))
+    return distinct[:max(SKETCH, len(distinct) // SHARE)].astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending lists, repeated values counted."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    # A sketch that isn't full is the whole set; else only what lies below the ends of both is known of both.
-    most = min(*(int(x[-1]) if len(x) == SKETCH else 1 << 32 for x in (a, b)))
-    seen = both[both <= most][:SKETCH]
-    return float(np.isin(seen, a, assume_unique=True) @ np.isin(seen, b, assume_unique=True).astype(np.int64)) / len(seen)
+    v, n = np.unique(a, return_counts=True)
+    first, last = np.searchsorted(b, v), np.searchsorted(b, v, "right")
+    both = int(np.minimum(n, last - first).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -103,8 +117,9 @@ def edited_sketch(cp: np.ndarray, at: np.ndarray, hashes: np.ndarray, keep: int,
     """Sketch of the first ``keep`` characters and then ``tail``: what lies in
     the kept part is known already, only what reaches the tail is looked for."""
     cut = max(0, keep - K + 1)
-    fresh = syncmers(np.concatenate((cp[cut:keep], tail)))[1]
-    return sketch(np.concatenate((hashes[at + K <= keep], fresh)), np.concatenate((cp[:keep], tail)))
+    where, fresh = syncmers(np.concatenate((cp[cut:keep], tail)))
+    held = at + K <= keep
+    return sketch(np.concatenate((hashes[held], fresh)), np.concatenate((cp[:keep], tail)), np.concatenate((at[held], where + cut)))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def report(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 cp = code_points(text)
                 at, h = syncmers(cp)
-                own = sketch(h, cp)
+                own = sketch(h, cp, at)
                 if last is not None:
                     _, d, t, c, a, hs, f = last
                     keep = len(t) - len(t) // 3

@@ -80,6 +80,39 @@ def test_likeness():
     assert abs(syncmers.likeness(one, two) - 1 / 3) < 0.2
 
 
+def test_a_passage_of_a_long_text_is_seen(spark):
+    """60 words shared by two texts of 120 000 characters at different places, against pairs of anchors by plain loops."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = " ".join(word(6) for _ in range(60))
+    texts = [word(70_000) + passage + word(50_000), word(20_000) + passage + word(100_000)]
+    got = {r.doc_id: r for r in syncmers.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    links = []
+    for text in texts:
+        at, h = syncmers.syncmers(syncmers.code_points(text))
+        links.append({(x, b - a) for x, a, b in zip(h.tolist(), at.tolist(), [*at[1:].tolist(), int(at[-1])])})
+    want = len(links[0] & links[1]) / len(links[0] | links[1])
+    assert len(links[0] & links[1]) > 60
+    assert abs(got[0].near_next - want) < 1e-5 and abs(got[1].near_next - want) < 1e-5
+    assert len(got[0].fingerprint) > 8 * 1000
+
+
+def test_positions_matter():
+    """The same anchors at other distances are not alike; a shift of the whole text is."""
+    rng = np.random.default_rng(9)
+    part = lambda n: rng.integers(97, 123, n).astype(np.uint64)
+    pieces = [part(40) for _ in range(200)]
+    whole = np.concatenate(pieces)
+    spread = np.concatenate([np.concatenate((p, part(5))) for p in pieces])
+    shifted = np.concatenate((part(500), whole))
+    near = lambda a, b: syncmers.likeness(*(syncmers.sketch(syncmers.syncmers(c)[1], c) for c in (a, b)))
+    hashes = [set(syncmers.syncmers(c)[1].tolist()) for c in (whole, spread)]
+    assert near(whole, spread) < len(hashes[0] & hashes[1]) / len(hashes[0] | hashes[1])
+    assert near(whole, shifted) > 0.9
+    again = np.tile(part(5), 20_000)  # a text of few anchors, repeated
+    assert near(again, again) == 1.0 and abs(near(again, again[:50_000]) - 0.5) < 0.01
+
+
 def test_one_row_and_none(spark):
     docs = odd_documents(spark)
     assert [r.near_next for r in syncmers.report(docs.where("doc_id = 1")).collect()] == [1.0]
