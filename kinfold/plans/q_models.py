@@ -29,6 +29,10 @@ ID = "PassengerId"
 GBT_ROUNDS = 500         # general model and the stacking base
 SUB_ROUNDS = 500         # sub-models (men, solo women)
 ABLATION_ROUNDS = 50
+STOP_ROUNDS = 2000       # ceiling of early stopping
+SWEEP = (50, 100, 200, 300, 500, 800, 1000)
+GRID_DEPTHS = (3, 4, 5, 6)
+GRID_THRESHOLDS = {"women": (0.08, 0.10, 0.25, 0.50), "men": (0.50, 0.75, 0.90, 0.92)}
 
 
 def frames(spark, sf_dir):
@@ -135,7 +139,7 @@ def q_model_gbt_early_stop(spark, sf_dir):
     number of trees it kept."""
     trv, tev, _ = designed(spark, sf_dir)
     v = S.holdout_stratified(trv, "Survived", ID, 0.2, 42).withColumn("is_val", F.col("subset") == "holdout")
-    first = M.fit_packed(M.gbt(200, validation_col="is_val").setParams(validationTol=1e-4), v, keep=("is_val",))
+    first = M.fit_packed(M.gbt(STOP_ROUNDS, validation_col="is_val").setParams(validationTol=1e-4), v, keep=("is_val",))
     best = first.getNumTrees
     final = M.fit_packed(M.gbt(best), trv)
     return _scored(final, tev).withColumn("n_rounds", F.lit(best))
@@ -350,17 +354,20 @@ def q_eval_oof_scores(spark, sf_dir):
 
 
 def _prefix_probabilities(model, df, rounds: list[int]) -> DataFrame:
-    """Probability after the first r trees for each r: every tree adds its
-    weighted prediction as a column; p_r = 1 / (1 + exp(-2 margin_r))."""
-    d = df
-    for i, (tree, w) in enumerate(zip(model.trees, model.treeWeights)):
-        d = tree.setFeaturesCol("features").setPredictionCol(f"__t{i}").transform(d)
-        d = d.withColumn(f"__t{i}", F.col(f"__t{i}") * float(w))
+    """Probability after the first r trees for each r, by the model that
+    holds the first r trees only."""
+    from pyspark.ml.classification import GBTClassificationModel
+    sc = df.sparkSession.sparkContext
+    java = model._java_obj
+    trees, weights = java.trees(), java.treeWeights()
     parts = []
     for r in rounds:
-        margin = sum(F.col(f"__t{i}") for i in range(r))
-        parts.append(d.select(ID, F.col("Survived").alias("y"), F.lit(r).alias("rounds"),
-                              (1 / (1 + F.exp(-2 * margin))).alias("score")))
+        held = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, r)
+        shares = sc._gateway.new_array(sc._jvm.double, r)
+        for i in range(r):
+            held[i], shares[i] = trees[i], weights[i]
+        first = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{java.uid()}-{r}", held, shares))
+        parts.append(M.p1(first.transform(df)).select(ID, F.col("Survived").alias("y"), F.lit(r).alias("rounds"), F.col("p").alias("score")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -371,9 +378,8 @@ def q_tune_rounds(spark, sf_dir):
     trv, _, _ = designed(spark, sf_dir)
     sp = S.holdout_stratified(trv, "Survived", ID, 0.2, 42)
     tr, ho = sp.where(F.col("subset") == "train"), sp.where(F.col("subset") == "holdout")
-    cand = [10, 25, 50, 100]
-    model = M.fit_packed(M.gbt(max(cand)), tr)
-    scores = _prefix_probabilities(model, ho, cand)
+    model = M.fit_packed(M.gbt(max(SWEEP)), tr)
+    scores = _prefix_probabilities(model, ho, list(SWEEP))
     a = EV.auc(scores, "y", "score", ["rounds"])
     best = a.agg(F.max_by("rounds", F.struct(F.col("auc"), -F.col("rounds"))).alias("best_rounds"))
     return a.crossJoin(best).withColumn("chosen", F.col("rounds") == F.col("best_rounds")).drop("best_rounds")
@@ -381,21 +387,28 @@ def q_tune_rounds(spark, sf_dir):
 
 @register("tune_grid")
 def q_tune_grid(spark, sf_dir):
-    """Solo-women tree depth x threshold grid, mean CV accuracy: one fit per
-    (depth, fold), run side by side; every threshold is evaluated in the
-    same aggregation."""
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), "women"), "women").where(F.col("split") == "train")
-    d = M.cached(S.kfold_stratified(d, "Survived", ID, 5, 42))
-    keys = [(depth, f) for depth in (3, 4, 5, 6) for f in range(5)]
-    models = M.fit_all([lambda depth=depth, f=f: M.gbt(20, lr=0.1, depth=depth, subsample=1.0, colsample=1.0)
-                        .fit(d.where(F.col("fold") != f)) for depth, f in keys])
-    rows = [M.p1(m.transform(d.where(F.col("fold") == f))).select(F.lit(depth).alias("depth"), "fold", "Survived", "p")
-            for m, (depth, f) in zip(models, keys)]
+    """Tree depth x threshold grid of each sub-model, mean CV accuracy: one
+    fit of the sub-model's rounds per (cohort, depth, fold), run side by side;
+    every threshold is evaluated in the same aggregation. Thresholds of the
+    other cohort are null."""
+    frame = _sub_frame(spark, sf_dir)
+    data = {c: M.cached(S.kfold_stratified(_xy(_cohort(frame, c), c).where(F.col("split") == "train"), "Survived", ID, 5, 42))
+            for c in GRID_THRESHOLDS}
+    keys = [(c, depth, f) for c in data for depth in GRID_DEPTHS for f in range(5)]
+    models = M.fit_all([lambda c=c, depth=depth, f=f: M.fit_packed(
+        M.gbt(SUB_ROUNDS, lr=0.1, depth=depth, subsample=1.0, colsample=1.0), data[c].where(F.col("fold") != f))
+        for c, depth, f in keys])
+    rows = [M.p1(m.transform(data[c].where(F.col("fold") == f)))
+            .select(F.lit(c).alias("cohort"), F.lit(depth).alias("depth"), "fold", "Survived", "p")
+            for m, (c, depth, f) in zip(models, keys)]
     oof = reduce(DataFrame.unionByName, rows)
-    j = oof.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.08, 0.10, 0.25, 0.50)])))
-    acc = j.groupBy("depth", "threshold", "fold").agg(
-        F.avg(((F.col("p") > F.col("threshold")).cast("int") == F.col("Survived")).cast("double")).alias("acc"))
-    return acc.groupBy("depth").pivot("threshold", [0.08, 0.10, 0.25, 0.50]).agg(F.avg("acc"))
+    lists = {c: F.array(*[F.lit(t) for t in ts]) for c, ts in GRID_THRESHOLDS.items()}
+    j = oof.withColumn("threshold", F.explode(F.when(F.col("cohort") == "men", lists["men"]).otherwise(lists["women"])))
+    # As in the sub-models: men survive at the threshold, women above it.
+    hit = (F.col("p") > F.col("threshold")) | ((F.col("cohort") == "men") & (F.col("p") == F.col("threshold")))
+    acc = j.groupBy("cohort", "depth", "threshold", "fold").agg(
+        F.avg((hit.cast("int") == F.col("Survived")).cast("double")).alias("acc"))
+    return acc.groupBy("cohort", "depth").pivot("threshold", sorted({t for ts in GRID_THRESHOLDS.values() for t in ts})).agg(F.avg("acc"))
 
 
 @register("ablate_features")
