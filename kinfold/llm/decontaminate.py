@@ -9,10 +9,10 @@ they cover are merged into removal spans.
 
 The benchmark is a stated query set and goes against all documents in blocks:
 items are cut into pieces (that overlap by a window less one word) and dealt
-into blocks of about ``BLOCK_BYTES``; only one block is broadcast at a time,
-and the documents carry what they have gathered from block to block. No
-shuffle touches the documents, and the phrases that most documents hold cost
-no more than their occurrences.
+into blocks of about ``BLOCK_BYTES``, equal pieces as one; only one block is
+broadcast at a time, and the documents carry what they have gathered from block
+to block. No shuffle touches the documents, and the phrases that most documents
+hold cost no more than their occurrences.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window
 is ``WINDOW`` consecutive words of an item; an item of fewer words, but not
@@ -197,7 +197,7 @@ def gather(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     start and end in turn) and __items of all benchmark blocks."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    cut, _ = write_table(pieces(benchmark, window), "benchmark-pieces")
+    cut, _ = write_table(pieces(benchmark, window).distinct(), "benchmark-pieces")
     total = cut.agg(F.sum(F.length("words") + F.length("item_id"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     out = docs

@@ -93,3 +93,18 @@ def test_empty_tables(spark):
     items = table(spark, "benchmark")
     assert decontaminate.report(none_of(docs), items).collect() == []
     assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate.report(docs, none_of(items)).collect())
+
+
+def test_a_repeated_item_is_sent_once(spark, monkeypatch):
+    sent = []
+    search = decontaminate._search
+    monkeypatch.setattr(decontaminate, "_search", lambda rows, *a: sent.append(rows) or search(rows, *a))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 300
+    docs = [(i, f"before {t} after") for i, t in enumerate(texts)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    report = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert got(report) == brute(docs, items)
+    assert sorted(r for rows in sent for r in rows) == sorted((str(i), t) for i, t in enumerate(texts))
+    assert len(sent) <= 1 + sum(len(t) + 2 for t in texts) // 400
