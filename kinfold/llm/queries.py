@@ -29,7 +29,7 @@ def word_bpe() -> str:
 
 
 from . import (  # noqa: E402
-    decontaminate, language, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter)
+    decontaminate, language, lexical, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter)
 
 
 @register("op2_token_blocks")
@@ -82,3 +82,8 @@ def op8(spark, sf_dir):
     lines = transcripts.as_transcripts(table(spark, sf_dir, "conversations"))
     model = transcripts.fit(lines.where(transcripts.trained_on()))
     return transcripts.render(transcripts.parse(lines.drop("role"), model))
+
+
+@register("op11_lexical_search", lexical.OP11_SQL)
+def op11(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
