@@ -29,7 +29,7 @@ def word_bpe() -> str:
 
 
 from . import (  # noqa: E402
-    decontaminate, language, lexical, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter)
+    decontaminate, language, lexical, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter, whitening)
 
 
 @register("op2_token_blocks")
@@ -87,3 +87,8 @@ def op8(spark, sf_dir):
 @register("op11_lexical_search", lexical.OP11_SQL)
 def op11(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
