@@ -29,7 +29,8 @@ def word_bpe() -> str:
 
 
 from . import (  # noqa: E402
-    decontaminate, language, lexical, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter, whitening)
+    decontaminate, language, lexical, licenses, mixing, neardup, secrets, syncmers, tokens, transcripts, url_filter,
+    vector_links, whitening)
 
 
 @register("op2_token_blocks")
@@ -92,3 +93,8 @@ def op11(spark, sf_dir):
 @register("op13_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_embedding_links", vector_links.OP12_SQL)
+def op12(spark, sf_dir):
+    return vector_links.link(table(spark, sf_dir, "embeddings"))
