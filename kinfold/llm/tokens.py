@@ -10,8 +10,9 @@ they live in any store that Spark reads, a lost task is written again through
 Spark's commit protocol, and a filter on the offsets prunes row groups.
 
 Defined results: a null text is the empty text (only its end id); null
-``doc_id`` sorts first; rows of one ``doc_id`` are in the order of their
-texts (nulls first) and each is a document; an empty table gives no block.
+``doc_id`` sorts first; rows of one ``doc_id`` are in the order of the first
+64 characters of their texts (nulls first), then of their digests, and each is a
+document; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -26,12 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, scratch_path
+from .common import arrow_limits, scratch_path, text_bytes
 
 #: Ids after which a block is closed (at the end of a document).
 BLOCK_IDS = 1 << 16
-#: Chunks that a worker remembers with their ids, in the new and in the old half each.
-CACHE_CHUNKS = 400_000
+#: Bytes that a worker spends on remembered words and on remembered chunks, in the new and in the old half each.
+CACHE_BYTES = 80 << 20
+#: What a remembered word takes besides its letters and ids.
+_ENTRY = 150
+#: Longer words are not remembered.
+LONG_WORD = 256
+#: Bytes of the texts that are looked up together.
+TOGETHER = 1 << 20
+#: Characters by which rows of one doc_id are ordered before their digest.
+TIE_CHARS = 64
+_ORDER = ("doc_id", "__start", "__md5", "__row")
 
 BLOCK_SCHEMA = ("shard int, block int, offset long, n_ids long, bits int, ids binary, "
                 "doc_ids array<long>, doc_lengths array<long>")
@@ -61,50 +71,153 @@ def unpack(data: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-class ChunkIds(dict):
-    """Chunk of text -> its ids (little-endian 32-bit), encoded on first sight.
-
-    Text is cut at ASCII white space and before an ASCII sign or digit that
-    follows a Latin or Cyrillic letter. The tokenizer's pre-tokenizer always
-    ends a piece there, no normalization reaches across, and no cut is made
-    before a character that a special token holds past its first, so the ids of
-    the chunks in a row are the ids of the text.
+class Remembered:
+    """word -> its ids (little-endian 32-bit) in two halves: when the new one is
+    full it becomes the old one, and what is still in use comes back from there."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.spent = 0
+
+    def missing(self, words: set) -> set:
+        """Those that neither half holds; the others are in the new half now."""
+        want = words.difference(self.new)
+        back = {w: self.old[w] for w in want if w in self.old}
+        self.learn(back)
+        return want.difference(back)
+
+    def learn(self, got: dict) -> None:
+        self.new |= got
+        self.spent += len(got) * _ENTRY + sum(map(len, got)) + sum(map(len, got.values()))
+
+    def settle(self, learned: set) -> None:
+        """Forget the long ones of ``learned``, and the old half when the new one is full."""
+        for w in learned:
+            if len(w) > LONG_WORD:
+                self.spent -= _ENTRY + len(w) + len(self.new.pop(w))
+        if self.spent >= CACHE_BYTES:
+            self.old, self.new, self.spent = self.new, {}, 0
+
+
+class TextIds:
+    """Ids of texts by the ids of their words.
+
+    A word ends at ASCII white space, where every piece of the pre-tokenizer
+    ends; a new word is cut into chunks, before an ASCII sign or digit that
+    follows a Latin or Cyrillic letter. The pre-tokenizer always ends a piece
+    there, no normalization reaches across, and no cut is made before a character
+    that a special token holds past its first, so the ids of the chunks in a row
+    are the ids of the text. (U+0130 is no such letter: it is lower-cased to a
+    letter and a mark, and the mark goes with what follows.)
+
+    Where the tokenizer lower-cases all text, A-Z are lower-cased first, unless
+    that would make a special token. New chunks are encoded together: those of
+    letters alone by lines, as each is one piece and only its last id ends a
+    word; the others with a special token between them, which the library takes
+    out of a text before all else.
     """
 
-    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u052f"
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af\u0400-\u0481\u048a-\u052f"
 
-    _made: dict[str, "ChunkIds"] = {}
+    _made: dict[str, TextIds] = {}
 
     def __init__(self, path: str):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.words, self.parts = Remembered(), Remembered()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        held = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content[1:]}
+        added = self.tokenizer.get_added_tokens_decoder()
+        held = {c for t in added.values() for c in t.content[1:]}
         cuts = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalpha() and chr(c) not in held)
         t, other = f"[{self.LETTERS}]+", f"[^{self.LETTERS}\t-\r ]"
         more = f"(?:{t}(?:(?![{cuts}]){other}+)?)"  # letters, and what follows them uncut
         self.chunks = re.compile(f"{more}+|{other}+{more}*").findall
+        self.letters = re.compile(t).fullmatch
+        # A token that starts like no other token's middle, and takes nothing beside it.
+        self.between = next(((i, t.content) for i, t in added.items() if t.content[0] not in held
+                             and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)").search
+        spec = json.loads(self.tokenizer.to_str())
+        steps = spec["normalizer"] or {}
+        self.folds = any(n["type"] == "Lowercase" for n in steps.get("normalizers", [steps]) if n)
+        self.marks = [t.content.lower().encode() for t in added.values()]
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     @classmethod
-    def of(cls, path: str) -> "ChunkIds":
+    def of(cls, path: str) -> TextIds:
         """One for each worker and tokenizer file; kept between tasks."""
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:  # what is still in use comes back from the old half
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(chunk)
-        if got is None:
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = got
-        return got
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _chunk_ids(self, chunks: set[str]) -> dict[str, bytes]:
+        got: dict[str, bytes] = {}
+
+        def split(texts: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+            raw = ids.tobytes()
+            got.update((c, raw[4 * a:4 * b]) for c, a, b in zip(texts, starts, ends, strict=True))
+        plain = [c for c in chunks if self.letters(c)]
+        for i in range(0, len(plain), 64):
+            some = plain[i:i + 64]
+            ids = self._encoded("\n".join(some))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                split(some, ids, [0, *ends[:-1]], ends)
+        rest = [c for c in chunks if c not in got]
+        if self.between:
+            mark, token = self.between
+            joined = [c for c in rest if not self.special(c)]
+            for i in range(0, len(joined), 64):
+                some = joined[i:i + 64]
+                ids = self._encoded(token.join(some))
+                ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+                split(some, ids, [0, *(e + 1 for e in ends[:-1])], ends)
+        return got | {c: self._encoded(c).tobytes() for c in rest if c not in got}
+
+    def _word_ids(self, words: set[bytes]) -> dict[bytes, bytes]:
+        cut = {w: self.chunks(w.decode()) for w in words}
+        new = self.parts.missing(set().union(*cut.values()))
+        self.parts.learn(self._chunk_ids(new))
+        ids = self.parts.new.__getitem__
+        out = {w: b"".join(map(ids, c)) for w, c in cut.items()}
+        self.parts.settle(new)
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text in UTF-8; none for null."""
+        cut = []
+        for t in texts:
+            low = (t or b"").lower() if self.folds else t or b""
+            cut.append((t if any(m in low for m in self.marks) else low).split())
+        new = self.words.missing(set().union(*cut))
+        self.words.learn(self._word_ids(new))
+        ids = self.words.new.__getitem__
+        out = [b"".join(map(ids, c)) for c in cut]
+        self.words.settle(new)
+        return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+        return self.encode_all([text.encode()])[0]
+
+
+def _together(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about ``TOGETHER`` bytes."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or b"")
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def vocabulary_size(path: str) -> int:
@@ -119,13 +232,15 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
     arrow_limits(docs.sparkSession)
     bits = width_for(max(vocabulary_size(tokenizer), end_id + 1))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The keys after doc_id let the ranges split an id that many rows share.
     dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"))
+             .withColumns({"__start": F.substring("text", 1, TIE_CHARS), "__md5": F.md5("text"), "__row": F.monotonically_increasing_id()})
+             .repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("doc_id", "text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard, made, offset, held, docs_in, lengths = TaskContext.get().partitionId(), 0, 0, [], [], []
-        ids, end = ChunkIds.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end = TextIds.of(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def close():
             got = np.frombuffer(b"".join(held), "<u4")
@@ -138,8 +253,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = ids.encode(text or "") + end
+            encoded = (got for some in _together(text_bytes(batch)) for got in ids.encode_all(some))
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                got += end
                 held.append(got)
                 docs_in.append(doc_id)
                 lengths.append(len(got) // 4)

@@ -47,13 +47,13 @@ def test_width_is_the_least():
 @settings(max_examples=1500, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab'<|>–²·endoftextstart \n\t,.!1é́ß İΣς")), max_size=60))
 def test_chunks_give_the_ids_of_the_text(text):
-    ids = tokens.ChunkIds.of(word_bpe())
+    ids = tokens.TextIds.of(word_bpe())
     assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_special_tokens_and_contractions():
-    ids = tokens.ChunkIds.of(word_bpe())
-    for text in ("a<|endoftext|>b", "x<|startoftext|><|endoftext|>.", "it's !'s 's'S we'll l'l", "<|endoftext", "a|>b", "A,b;c1d2"):
+    ids = tokens.TextIds.of(word_bpe())
+    for text in ("a<|endoftext|>b", "x<|startoftext|><|endoftext|>.", "it's !'s 's'S we'll l'l", "<|endoftext", "a|>b", "A,b;c1d2", "<|ENDOFTEXT|>", "A <|StartOfText|>b<|endoftext|>C", "ΑΣ A\u0301 K\u212a"):
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -83,8 +83,39 @@ def test_empty_table(spark):
 
 
 def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3)
-    ids = tokens.ChunkIds(word_bpe())
-    text = " ".join(f"word{i % 7} other{i % 5}, more" for i in range(60))
-    assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(ids) <= 3 and len(ids.old) <= 3
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1500)
+    monkeypatch.setattr(tokens, "LONG_WORD", 6)
+    ids = tokens.TextIds(word_bpe())
+    texts = [" ".join(f"word{i % 7} other{i % 5}, more{i % n} longerthanthat" for i in range(60)) for n in (1, 3, 9, 2)]
+    for some in (texts[:1], texts, texts[::-1]):
+        for text, got in zip(some, ids.encode_all([t.encode() for t in some]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        for held in (ids.words, ids.parts):
+            assert held.spent < 1500 and len(held.old) * 200 < 20000
+            assert not [w for w in (*held.new, *held.old) if len(w) > 6]
+
+
+def test_every_code_point_at_a_cut():
+    ids = tokens.TextIds.of(word_bpe())
+    points = [chr(c) for c in range(0x3000)]
+    texts = [t for c in points for t in (f"a{c}.", f"a{c}!b", f".{c}a", f"{c}1", f"a{c}", f"{c}a 1{c}", f"{c}'s", f"é{c}{c},", f"A{c}B", f"E\u0301{c}Z")]
+    want = [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(g, "<u4").tolist() for g in ids.encode_all([t.encode() for t in texts])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_one_doc_id_is_split_over_ranges(spark, tmp_path):
+    rows = [(7 if i % 3 else None, f"text {i % 400}") for i in range(3000)] + [(7, "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    path = str(tmp_path / "blocks")
+    tokens.write_blocks(docs, word_bpe(), path)
+    per_shard = [sum(len(r.doc_ids) for r in g) for g in _by_shard(tokens.read_blocks(spark, path).collect())]
+    assert sum(per_shard) == 6000 and max(per_shard) < 3000
+    assert order(tokens.digests(spark, path).collect()) == brute(docs)
+
+
+def _by_shard(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.shard, []).append(r)
+    return out.values()
