@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -88,6 +89,26 @@ def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+#: Keys that hold more than one in so many rows are joined by broadcast: at most as many keys.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, registry: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the one row of ``registry`` for their key, whose ``count`` is the
+    number of rows of that key among ``total``. Keys with more than a thousandth
+    of the rows (so fewer than 1000 of them) go by broadcast, the others by shuffle.
+    Keys are not null."""
+    hot = F.col(count) * HOT > total
+    heavy = F.broadcast(registry.where(hot))
+    return rows.join(heavy, key).unionByName(
+        rows.join(heavy.select(key), key, "left_anti").join(registry.where(~hot), key))
+
+
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of equal keys that follow each other."""
     key, held = None, []

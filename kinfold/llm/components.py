@@ -1,29 +1,35 @@
 """Connected components of links, by turns of large-star and small-star joins.
 
 Every turn is two aggregations and joins over the links that are left; each
-turn's links are written to the shared folder, so the plan stays short and a
-lost executor costs no more than a turn. The links never leave the cluster."""
+star's links are written to the shared folder, so the plan stays short and a
+lost executor costs no more than a star. The centre of a large star is joined
+by broadcast, so its links stay where they are. The links never leave the cluster."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, write_table
+from .common import drop_tables, spread_join, write_table
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _least(ends: DataFrame) -> DataFrame:
+    """Least neighbour of each node, and how many there are."""
+    return ends.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("ends"))
+
+
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     """Join each greater neighbour of a node to the node's least neighbour (or itself)."""
     both = links.union(links.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both).select("a", F.least("a", "m").alias("m"), "ends")
+    return spread_join(both, least, "a", "ends", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     """Join a node and its lesser neighbours to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return (down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(down)
+    return (spread_join(down, least, "a", "ends", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b"))).distinct())
 
 
@@ -33,12 +39,13 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     a node to itself and repeated links are allowed; null ends are not."""
     spark = links.sparkSession
     now, path = write_table(links.where("a <> b").select("a", "b").distinct(), "links")
-    seen = None
+    seen, n = None, now.count()
     while True:
-        nxt, at = write_table(_small_star(_large_star(now)), "links")
+        far, between = write_table(_large_star(now, n), "links")
+        nxt, at = write_table(_small_star(far, far.count()), "links")
         mark = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        drop_tables(spark, [path])
-        now, path = nxt, at
+        drop_tables(spark, [path, between])
+        now, path, n = nxt, at, mark[0]
         if mark == seen:
             break
         seen = mark

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, text_bytes, word_spans, words, write_table
+from .common import arrow_limits, drop_tables, text_bytes, whole_row, word_spans, words, write_table
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -197,7 +197,7 @@ def gather(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     start and end in turn) and __items of all benchmark blocks."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    cut, _ = write_table(pieces(benchmark, window).distinct(), "benchmark-pieces")
+    cut, at = write_table(pieces(benchmark, window).distinct(), "benchmark-pieces")
     total = cut.agg(F.sum(F.length("words") + F.length("item_id"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     out = docs
@@ -207,6 +207,7 @@ def gather(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         rows = [tuple(r) for r in cut.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).select("item_id", "words").collect()]
         schema = T.StructType([*docs.schema.fields, *_GATHERED])
         out = out.mapInArrow(_search(rows, window, b == 0), schema)
+    drop_tables(spark, [at])
     return out
 
 
@@ -251,8 +252,8 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, unchanged."""
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return gather(inner, benchmark, window).where(F.size("__hits") == 0).select("row.*")
+    inner = docs.select(whole_row(docs).alias("row"), "text")
+    return gather(inner, benchmark, window).where(F.size("__hits") == 0).select("row.*").toDF(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits
+from .common import arrow_limits, whole_row
 
 #: n-grams of a profile and of a document that are ranked.
 PROFILE = 400
@@ -169,9 +169,15 @@ def identify(docs: DataFrame) -> DataFrame:
         .select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are in some language: those of no language
-    (``und``) go. All columns of ``docs`` stay as they are."""
+def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` that are in some language, or in one of ``languages``
+    where they are given: the others go, ``und`` always. A null lang becomes the
+    predicted one; all else stays as it is."""
     profiles = train(docs.where(~held_out()))
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(inner, profiles).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    inner = docs.select(whole_row(docs).alias("row"), "text")
+    kept = F.col("lang_pred") != UNKNOWN
+    if languages is not None:
+        kept &= F.col("lang_pred").isin(*languages)
+    named = F.coalesce("row.lang", F.col("lang_pred")).alias("lang")
+    return predict(inner, profiles).where(kept).select(
+        *[named if c == "lang" else F.col("row.`" + c.replace("`", "``") + "`") for c in docs.columns]).toDF(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash
-from .common import arrow_limits, drop_tables, runs, text_bytes, write_table
+from .common import arrow_limits, drop_tables, runs, spread_join, text_bytes, whole_row, write_table
 from .components import components
 
 SIMILAR = 0.8
@@ -118,7 +118,7 @@ def cross_links(bucket: int, rows: list[tuple], one: list[int], two: list[int] |
         while x in merged:
             x = merged[x]
         return x
-    b = np.array(one if two is None else two)
+    b = np.array(one if two is None else two, np.int64)
     for n, i in enumerate(one):
         other = b[n + 1:] if two is None else b
         other = other[block.number[other] != block.number[i]]
@@ -197,28 +197,30 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nulls last) and class_id (the least doc_id of its equal texts)."""
     found, drop = class_components(docs, similar)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class().alias("class"))
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    known, alone = rows.where("class IS NOT NULL"), rows.where("class IS NULL")
+    classes, at = write_table(known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("rows")), "classes")
     rooted = _root(classes, found, "class", "root")
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    ids, _ = write_table(rooted.join(least, "root").select("class", "class_id", "group_id"), "group-ids")
-    drop_tables(docs.sparkSession, drop)  # the ids are written
-    return rows.join(ids, "class", "left").select(
-        "doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    least = rooted.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("classes"))
+    ids, _ = write_table(spread_join(rooted, least, "root", "classes", classes.count()).select("class", "class_id", "group_id", "rows"), "group-ids")
+    total = ids.agg(F.sum("rows")).first()[0] or 0
+    drop_tables(docs.sparkSession, [*drop, at])  # the ids are written
+    return spread_join(known, ids, "class", "rows", total).select("doc_id", "group_id", "class_id").unionByName(
+        alone.select("doc_id", F.col("doc_id").alias("group_id"), F.col("doc_id").alias("class_id")))
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns: a row of the
     least doc_id. Rows of null text are all kept."""
     found, drop = class_components(docs, similar)
-    row = F.struct(*docs.columns).alias("row")
-    rows = docs.select(row, F.col("doc_id").alias("id"), text_class().alias("class"))
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), text_class().alias("class")).where("class IS NOT NULL")
+    classes = rows.groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "class")).alias("best")
-    kept, _ = write_table(_root(classes, found, "class", "root").groupBy("root").agg(best)
-                          .select(F.col("best.id").alias("id"), F.col("best.class").alias("class")), "kept")
-    drop_tables(docs.sparkSession, drop)
-    # Equal rows: of those with the kept id and text, the first.
-    chosen = rows.alias("r").join(kept.alias("k"), (F.col("r.class") == F.col("k.class")) & F.col("r.id").eqNullSafe(F.col("k.id"))) \
-        .groupBy("r.class").agg(F.min("r.row").alias("row")).select("row.*")
-    return chosen.unionByName(docs.where("text IS NULL"))
+    by_class, at = write_table(_root(classes, found, "class", "root"), "classes")
+    total = by_class.agg(F.sum("rows")).first()[0] or 0
+    chosen = by_class.groupBy("root").agg(best).select(F.col("best.id").alias("kept"), F.col("best.class").alias("class"))
+    kept, _ = write_table(chosen.join(by_class.select("class", "rows"), "class"), "kept")
+    drop_tables(docs.sparkSession, [*drop, at])
+    # Equal rows: of those with the kept id and text, the first by what they hold.
+    one = spread_join(rows, kept, "class", "rows", total).where(F.col("id").eqNullSafe(F.col("kept"))) \
+        .groupBy("class").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return one.toDF(*docs.columns).unionAll(docs.where("text IS NULL"))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, drop_tables, write_table
+from .common import arrow_limits, drop_tables, spread_join, write_table
 from .components import components
 from .quantise import SLACK, WIDTH, Quantiser
 
@@ -53,8 +53,6 @@ SAMPLE = 16384
 PER_LIST, LISTS = 1024, 1024
 BLOCK = 512
 SLICE = 16
-#: A class that holds more than this share of the rows is joined by broadcast.
-HOT = 1000
 
 _CLASSES = "vec_id long, spot string, key binary, vec binary"
 
@@ -259,15 +257,6 @@ def _results(classes: DataFrame, width: int, cosine: float, tables: list[str]) -
     return out
 
 
-def spread_join(rows: DataFrame, registry: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` with the one row of ``registry`` for their key. Keys with more than a
-    thousandth of all rows (at most 1000 of them) go by broadcast, the others by shuffle."""
-    hot = F.col(count) * HOT > total
-    heavy = F.broadcast(registry.where(hot))
-    return (rows.join(heavy, key).unionByName(
-        rows.join(heavy.select(key), key, "left_anti").join(registry.where(~hot), key)))
-
-
 def link(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of ``df`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = df.sparkSession

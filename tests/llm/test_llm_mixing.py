@@ -3,6 +3,7 @@
 import pytest
 from llm_tables import none_of, odd_documents, table
 from oracle_check import compare, duck
+from pyspark.sql import functions as F
 
 from kinfold.llm import mixing
 from kinfold.llm.queries import ORACLES, QUERIES
@@ -71,3 +72,37 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     docs = none_of(odd_documents(spark))
     assert mixing.mix(docs).collect() == [] and mixing.mixed_documents(docs).collect() == []
+
+
+def test_a_row_that_is_a_third_of_all(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rows = [(1, "same words " * 20, "a")] * 60 + [(10 + i, "one two three " * (1 + i % 7), "bc"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, n int") \
+        .withColumn("lang", F.lit("en")).withColumn("a.b", F.create_map(F.lit("k"), F.col("n"))).repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    for (_, target), taken in by.items():
+        assert abs(sum(taken) - target) <= 2 * 40
+    drawn = mixing.mixed_documents(docs)
+    assert drawn.columns == docs.columns
+    kept = [r for r in drawn.collect() if r.doc_id == 1]
+    assert len(kept) == sum(r.copies for r in got if r.doc_id == 1)
+    times = [sum(k.n == i for k in kept) for i in range(60)]
+    assert max(times) - min(times) <= 1
+    check = compare(spark, _Tables(docs.drop("a.b")), "op6", lambda s, d: mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken"), ORACLES["op6_mixing"], "")
+    assert check["status"] == "ok", check
+
+
+class _Tables:
+    """A DuckDB with one table ``documents``."""
+
+    def __init__(self, docs):
+        import duckdb
+        self.con = duckdb.connect()
+        self.con.register("documents", docs.toPandas())
+
+    def sql(self, query):
+        return self.con.sql(query)

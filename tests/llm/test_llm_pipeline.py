@@ -18,10 +18,12 @@ from kinfold.llm.queries import word_bpe
 def plain_mix(rows):
     """doc_id, text and source of the drawn rows, one after another by finish time."""
     size = lambda t: len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")])
-    units = {}
+    units, copies = {}, {}
     for d, t, s in rows:
-        units.setdefault((d, s, None if t is None else hashlib.md5(t.encode()).hexdigest()), []).append(t)
-    key = lambda u: hashlib.md5(f"{mixing.SEED}|{'' if u[0] is None else u[0]}|{u[2] or ''}".encode()).hexdigest()
+        unit = (d, s, None if t is None else hashlib.md5(t.encode()).hexdigest())
+        copies[unit] = copies.get(unit, 0) + 1
+        units[*unit, copies[unit]] = [t]
+    key = lambda u: hashlib.md5(f"{mixing.SEED}|{'' if u[0] is None else u[0]}|{u[2] or ''}|{u[3]}".encode()).hexdigest()
     sizes = {}
     for u, ts in units.items():
         sizes[u[1]] = sizes.get(u[1], 0) + sum(map(size, ts))
