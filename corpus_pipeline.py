@@ -4,8 +4,9 @@ Each stage takes the documents that its predecessor kept and returns the
 columns of ``documents``; the last writes the token blocks and returns what it
 reads back from them, a row per document.
 
-1. language_id: trains on the stage's documents that are not held out and
-   drops those of no language (null texts, texts without a letter).
+1. language_id: trains on the stage's documents that are not held out, drops
+   those of no language (null texts, texts without a letter), and gives a
+   document without a lang the predicted one.
 2. minhash_neardup: keeps one document of each group of near copies.
 3. decontaminate: drops documents that hold a window of the benchmark.
 4. mixing: draws documents until each source has its share of all words; one
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import decontaminate, language, mixing, neardup, queries, tokens
-from kinfold.llm.common import write_table
+from kinfold.llm.common import drop_tables, write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:  # what the stage read is no longer needed
+            drop_tables(spark, [before])
+        before = path
     return docs
