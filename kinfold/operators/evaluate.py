@@ -92,6 +92,14 @@ def auc(df: DataFrame, y="y", score="score", group_cols=None) -> DataFrame:
                                F.col("__u") / (F.col("P") * F.col("N"))).alias("auc"))
 
 
+def weighted_auc(df: DataFrame, score: str, neg: str, pos: str) -> float:
+    """AUC of rows that stand for ``neg`` and ``pos`` rows each; one half without a pair."""
+    sc = df.groupBy(score).agg(F.sum(neg).alias("neg"), F.sum(pos).alias("pos"))
+    sc = ordered.prefix_sums(sc, [score], {"__cneg": "neg"}, [])
+    r = sc.agg(F.sum(F.col("pos") * (F.col("__cneg") - F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return float(r.u / (r.p * r.n)) if r.p and r.n else 0.5
+
+
 def _cumulated(df: DataFrame, y, score, thresholds: list[float]) -> DataFrame:
     """Per threshold: i, threshold, and the pos and neg of scores at or above
     it (pos_hit, neg_hit) and of all. A score's bin is the number of thresholds

@@ -4,9 +4,9 @@ Preprocessing that must match the reference exactly (median fill +
 population-std scaling; mode fill + one column per sorted level with
 unseen levels all zero) is written as DataFrame expressions over one-row
 fitted statistics, because MLlib's Imputer uses an approximate median and
-StandardScaler a sample std. Everything else is MLlib: logistic
-regression, gradient-boosted trees, random forests, decision trees, a
-linear SVM over random Fourier features, and stacking.
+StandardScaler a sample std. Boosted trees are those of ``boosting``, many
+fits at once; all else is MLlib: logistic regression, random forests,
+decision trees and a linear SVM over random Fourier features.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
 NUMERIC = ["Age", "Fare", "SibSp", "Parch", "Age_Sex_interaction"]
@@ -121,7 +122,7 @@ def logreg(n_rows: int, C: float = 1.0, label: str = "Survived", max_iter: int =
                               standardization=False)
 
 
-#: Boosting runs several jobs a round; a training table has a partition for each so many rows.
+#: A tree fit runs a job for each level; a training table has a partition for each so many rows.
 ROWS_PER_PARTITION = 50_000
 
 
@@ -140,15 +141,24 @@ def fit_packed(estimator, train: DataFrame, features: str = "features", label: s
         d.unpersist()
 
 
-def gbt(rounds: int = 500, lr: float = 0.05, depth: int = 4, subsample: float = 0.9,
-        colsample: float = 0.9, label: str = "Survived", seed: int = 42, features: str = "features",
-        validation_col: str | None = None):
-    g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=lr, maxDepth=depth,
-                      subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed,
-                      minInstancesPerNode=1, maxBins=64)
-    if validation_col:
-        g = g.setValidationIndicatorCol(validation_col)
-    return g
+def binned(train: DataFrame, *others: DataFrame, features: list | None = None, size: int = 0) -> list[DataFrame]:
+    """``train`` and ``others`` with ``bins``, cut at quantiles of ``train``:
+    of the ``size`` entries of the vector ``features``, or of the given columns."""
+    if features is None:
+        entries = vector_to_array(F.col("features"))
+        features = [entries[i] for i in range(size)]
+    cuts = boosting.edges(train, features)
+    return [d.withColumn("bins", boosting.bins_of(features, cuts)) for d in (train, *others)]
+
+
+def boosted(train: DataFrame, params: boosting.Params, label: str = "Survived") -> boosting.Trees:
+    """One fit on all rows of a binned table."""
+    return boosting.fit(boosting.counted(train, label), [boosting.Cell("all", params)])["all"]
+
+
+def boosted_p(trees: boosting.Trees, df: DataFrame) -> DataFrame:
+    """``df`` with p; its bins go."""
+    return boosting.score(df.drop("features", "p"), {"all": trees})
 
 
 def random_forest(trees: int = 400, depth: int = 6, leaf: int = 5, label: str = "Survived", seed: int = 42):
@@ -204,50 +214,40 @@ def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str =
 
 
 def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int = 5,
-             label: str = "Survived", gbt_rounds: int = 500) -> DataFrame:
-    """Out-of-fold probabilities of a random forest and boosted trees feed
-    a logistic meta-model (C = 0.5); bases are refitted on all rows to
-    score ``other``. Folds are a column; the per-fold fits run side by side."""
-    bases = {"rf": lambda: random_forest(400, 6, 5, label),
-             "gbt": lambda: gbt(gbt_rounds, 0.05, 4, 0.8, 0.8, label)}
+             label: str = "Survived", params: boosting.Params | None = None, id_col: str = "PassengerId") -> DataFrame:
+    """Out-of-fold probabilities of a random forest and of boosted trees feed a
+    logistic meta-model (C = 0.5); bases are refitted on all rows to score
+    ``other``. Both tables have ``features`` and ``bins``. The boosted fits of
+    all folds are cells of one table; the forests run side by side."""
+    params = params or boosting.Params(rows=0.8, columns=0.8)
     train = cached(train)
-    jobs, keys = [], []
-    for name, make in bases.items():
-        for f in range(k):
-            jobs.append(lambda make=make, f=f: fit_packed(make(), train.where(F.col(fold_col) != f), label=label))
-            keys.append((name, f))
-        jobs.append(lambda make=make: fit_packed(make(), train, label=label))
-        keys.append((name, None))
-    fitted = dict(zip(keys, fit_all(jobs)))
-    oof = None
-    for name in bases:
-        parts = [p1(fitted[(name, f)].transform(train.where(F.col(fold_col) == f)))
-                 .select("PassengerId", F.col("p").alias(name)) for f in range(k)]
-        col = parts[0]
-        for p in parts[1:]:
-            col = col.unionByName(p)
-        oof = col if oof is None else oof.join(col, "PassengerId")
-    meta_train = train.select("PassengerId", label).join(oof, "PassengerId")
-    asm = VectorAssembler(inputCols=list(bases), outputCol="meta")
-    n = meta_train.count()
-    meta = LogisticRegression(featuresCol="meta", labelCol=label, regParam=1.0 / (0.5 * max(n, 1)),
-                              standardization=False, maxIter=1000).fit(asm.transform(meta_train))
-    scored = other.select("PassengerId")
-    for name in bases:
-        scored = scored.join(p1(fitted[(name, None)].transform(other)).select("PassengerId", F.col("p").alias(name)),
-                             "PassengerId")
-    out = meta.transform(asm.transform(scored))
-    return p1(out).select("PassengerId", "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
-
-
-def feature_importance(model, names: list[str], min_importance: float | None = None):
-    """(feature, importance, rank) rows from a tree model (driver-side list
-    of at most a few dozen features)."""
-    imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))
-    if min_importance is not None:
-        rows = [r for r in rows if r[1] > min_importance]
-    return [(n, float(v), i + 1) for i, (n, v) in enumerate(rows)]
+    trees = boosting.fit(boosting.counted(train, label, fold=fold_col),
+                         [boosting.Cell(str(f), params, without=(f,)) for f in range(k)] + [boosting.Cell("all", params)])
+    forests = fit_all([lambda f=f: fit_packed(random_forest(400, 6, 5, label), train.where(F.col(fold_col) != f), label=label) for f in range(k)]
+                      + [lambda: fit_packed(random_forest(400, 6, 5, label), train, label=label)])
+
+    def rows(d, rf, key):
+        d = p1(rf.transform(d)).select(id_col, *([label] if label in d.columns else []), "bins", F.col("p").alias("rf"), F.lit(key).alias("__key"))
+        return boosting.score(d, trees, by="__key").withColumnRenamed("p", "gbt").drop("__key")
+    # A row is scored by the fits that did not see it; all columns stay with it, so nothing is joined.
+    held_out = [rows(train.where(F.col(fold_col) == f), forests[f], str(f)) for f in range(k)]
+    meta_train = held_out[0]
+    for part in held_out[1:]:
+        meta_train = meta_train.unionByName(part)
+    asm = VectorAssembler(inputCols=["rf", "gbt"], outputCol="meta")
+    meta_train = packed(asm.transform(meta_train), "meta", label)
+    meta = LogisticRegression(featuresCol="meta", labelCol=label, regParam=1.0 / (0.5 * max(meta_train.count(), 1)),
+                              standardization=False, maxIter=1000).fit(meta_train)
+    meta_train.unpersist()
+    train.unpersist()
+    out = meta.transform(asm.transform(rows(other, forests[k], "all")))
+    return p1(out).select(id_col, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+
+
+def feature_importance(shares: list[float], names: list[str], least: float | None = None) -> list[tuple[str, float, int]]:
+    """(feature, importance, rank), a row for each feature; only those above ``least``."""
+    rows = sorted(zip(names, shares, strict=True), key=lambda t: (-t[1], t[0]))
+    return [(n, float(v), i + 1) for i, (n, v) in enumerate(rows) if least is None or v > least]
 
 
 def fit_all(jobs: list, workers: int = 4) -> list:

@@ -7,6 +7,7 @@ Exact preprocessing has SQL oracles; fitted models are checked rows-only
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..operators import boosting as B
 from ..operators import evaluate as EV
 from ..operators import groups as G
 from ..operators import impute as I
@@ -26,10 +28,11 @@ from ..sources.manifest import manifest
 from .registry import register, with_manifest
 
 ID = "PassengerId"
-GBT_ROUNDS = 500         # general model and the stacking base
-SUB_ROUNDS = 500         # sub-models (men, solo women)
+GENERAL = B.Params(rounds=500, rate=0.05, depth=4, rows=0.9, columns=0.9)
+SUB = B.Params(rounds=500, rate=0.1, depth=5, rows=1.0, columns=1.0)     # men, solo women
 ABLATION_ROUNDS = 50
-STOP_ROUNDS = 2000       # ceiling of early stopping
+STOP_ROUNDS, PATIENCE = 2000, 50
+IMPORTANCE_FLOOR = 0.01
 SWEEP = (50, 100, 200, 300, 500, 800, 1000)
 GRID_DEPTHS = (3, 4, 5, 6)
 GRID_THRESHOLDS = {"women": (0.08, 0.10, 0.25, 0.50), "men": (0.50, 0.75, 0.90, 0.92)}
@@ -126,23 +129,32 @@ def q_model_logreg(spark, sf_dir):
     return _scored(M.logreg(trv.count()).fit(trv), tev)
 
 
+def _binned(spark, sf_dir):
+    """(train, test, names) with ``features`` and ``bins``."""
+    trv, tev, names = designed(spark, sf_dir)
+    return *M.binned(trv, tev, size=len(names)), names
+
+
+def _classed(df):
+    return df.select(ID, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+
+
 @register("model_gbt")
 def q_model_gbt(spark, sf_dir):
-    trv, tev, _ = designed(spark, sf_dir)
-    return _scored(M.fit_packed(M.gbt(GBT_ROUNDS), trv), tev)
+    tr, te, _ = _binned(spark, sf_dir)
+    return _classed(M.boosted_p(M.boosted(tr, GENERAL), te))
 
 
 @register("model_gbt_early_stop")
 def q_model_gbt_early_stop(spark, sf_dir):
-    """20 % stratified validation rows; MLlib stops when the validation
-    loss no longer improves by validationTol; refit on all rows with the
-    number of trees it kept."""
-    trv, tev, _ = designed(spark, sf_dir)
-    v = S.holdout_stratified(trv, "Survived", ID, 0.2, 42).withColumn("is_val", F.col("subset") == "holdout")
-    first = M.fit_packed(M.gbt(STOP_ROUNDS, validation_col="is_val").setParams(validationTol=1e-4), v, keep=("is_val",))
-    best = first.getNumTrees
-    final = M.fit_packed(M.gbt(best), trv)
-    return _scored(final, tev).withColumn("n_rounds", F.lit(best))
+    """AUC of 20 % stratified validation rows after each round; the fit ends 50
+    rounds after the best one; refit on all rows with the best number."""
+    tr, te, _ = _binned(spark, sf_dir)
+    v = S.holdout_stratified(tr, "Survived", ID, 0.2, 42).withColumn("fold", (F.col("subset") == "holdout").cast("int"))
+    first = B.fit(B.counted(v, fold="fold"), [B.Cell("stop", B.with_rounds(GENERAL, STOP_ROUNDS), without=(1,), valid=1, patience=PATIENCE)])["stop"]
+    best = len(first.feature)
+    final = M.boosted(tr, B.with_rounds(GENERAL, best))
+    return _classed(M.boosted_p(final, te)).withColumn("n_rounds", F.lit(best)).withColumn("best_auc", F.lit(first.auc[-1]))
 
 
 def _sub_frame(spark, sf_dir):
@@ -172,11 +184,18 @@ def _cohort(d, kind):
     return d.where((F.col("Title") == "woman") & (F.col("FamilySize") == 1) & F.col("GroupId").isNull())
 
 
+def _sub_rows(spark, sf_dir, kind, class3=False):
+    """(labelled, scoring) rows of a cohort with x1 and x2."""
+    d = _xy(_cohort(_sub_frame(spark, sf_dir), kind), kind)
+    if class3:
+        d = d.where(F.col("Pclass") == 3)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
 def _submodel(spark, sf_dir, kind):
-    d = M.cached(_xy(_cohort(_sub_frame(spark, sf_dir), kind), kind))
-    tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    model = M.fit_packed(M.gbt(SUB_ROUNDS, lr=0.1, depth=5, subsample=1.0, colsample=1.0), tr)
-    return M.p1(model.transform(te)).select(ID, "p")
+    tr, te = _sub_rows(spark, sf_dir, kind)
+    tr, te = M.binned(tr, te, features=[F.col("x1"), F.col("x2")])
+    return M.boosted_p(M.boosted(tr, SUB), te).select(ID, "p")
 
 
 @register("model_gbt_men")
@@ -212,17 +231,20 @@ def q_model_cart(spark, sf_dir):
 
 @register("model_stacking")
 def q_model_stacking(spark, sf_dir):
-    trv, tev, _ = designed(spark, sf_dir)
-    trv = S.kfold_stratified(trv, "Survived", ID, 5, 42)
-    return M.stacking(trv, tev, "fold", 5, "Survived", GBT_ROUNDS)
+    tr, te, _ = _binned(spark, sf_dir)
+    return M.stacking(S.kfold_stratified(tr, "Survived", ID, 5, 42), te)
 
 
 @register("model_feature_importance")
 def q_model_feature_importance(spark, sf_dir):
-    trv, _, names = designed(spark, sf_dir)
-    model = M.fit_packed(M.gbt(GBT_ROUNDS), trv)
-    rows = M.feature_importance(model, names)
-    return spark.createDataFrame(rows, "feature string, importance double, rank int")
+    """Mean gain of the boosted trees' splits and impurity decrease of the
+    forest, as shares; ``kept`` marks those above the floor."""
+    tr, _, names = _binned(spark, sf_dir)
+    shares = {"boosted": M.boosted(tr, GENERAL).importance(len(names)).tolist(),
+              "forest": M.fit_packed(M.random_forest(400, 6, 5), tr).featureImportances.toArray().tolist()}
+    rows = [(model, *r) for model, s in shares.items() for r in M.feature_importance(s, names)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double, rank int") \
+        .withColumn("kept", F.col("importance") > IMPORTANCE_FLOOR)
 
 
 @register("score_proba")
@@ -244,8 +266,6 @@ def q_score_what_if(spark, sf_dir):
     varied over age x sex cases and scored; observed survival of the same
     (class, sex, age band) cohort is shown beside."""
     tr, te = frames(spark, sf_dir)
-    trv, _, _ = M.design(tr)
-    model = M.fit_packed(M.gbt(GBT_ROUNDS), trv)
     tmpl = tr.groupBy("Pclass").agg(F.min_by(F.struct(*[c for c in tr.columns if c != "Pclass"]), F.col(ID)).alias("t")) \
         .select("Pclass", "t.*")
     # Fixed what-if cases (age x sex), exploded onto each template row.
@@ -254,8 +274,9 @@ def q_score_what_if(spark, sf_dir):
     v = tmpl.withColumn("__case", F.explode(cases)).select("*", "__case.*").drop("__case")
     v = v.withColumn("Age", F.col("case_age")).withColumn("Sex", F.col("case_sex"))
     v = v.drop("Age_Sex_interaction").withColumn("Age_Sex_interaction", F.col("Age") * (F.col("Sex") == "male").cast("double"))
-    _, vv, _ = M.design(tr, v)
-    scored = M.p1(model.transform(vv)).select("Pclass", "case_age", "case_sex", "p")
+    trv, vv, names = M.design(tr, v)
+    trv, vv = M.binned(trv, vv, size=len(names))
+    scored = M.boosted_p(M.boosted(trv, GENERAL), vv).select("Pclass", "case_age", "case_sex", "p")
     band = fx.bin_right_closed("Age", [0, 16, 30, 50, 100], ["Child", "Young", "Middle", "Old"])
     obs = tr.withColumn("band", band).groupBy("Pclass", F.col("Sex").alias("case_sex"), "band") \
         .agg(F.avg(F.col("Survived").cast("double")).alias("observed_rate"), F.count(F.lit(1)).alias("observed_n"))
@@ -287,8 +308,8 @@ def q_score_grid(spark, sf_dir):
 def q_refit_and_predict(spark, sf_dir):
     """Fit on every labelled row, score the scoring rows, write the
     prediction CSV (shared folder) and return what was written."""
-    trv, tev, _ = designed(spark, sf_dir)
-    pred = _scored(M.fit_packed(M.gbt(GBT_ROUNDS), trv), tev)
+    tr, te, _ = _binned(spark, sf_dir)
+    pred = _classed(M.boosted_p(M.boosted(tr, GENERAL), te))
     path = files.sink_predictions(pred, ID, "prediction", tag="refit_gbt")
     return files.read_predictions(spark, path)
 
@@ -353,61 +374,50 @@ def q_eval_oof_scores(spark, sf_dir):
     return oof.join(F.broadcast(acc), "fold")
 
 
-def _prefix_probabilities(model, df, rounds: list[int]) -> DataFrame:
-    """Probability after the first r trees for each r, by the model that
-    holds the first r trees only."""
-    from pyspark.ml.classification import GBTClassificationModel
-    sc = df.sparkSession.sparkContext
-    java = model._java_obj
-    trees, weights = java.trees(), java.treeWeights()
-    parts = []
-    for r in rounds:
-        held = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, r)
-        shares = sc._gateway.new_array(sc._jvm.double, r)
-        for i in range(r):
-            held[i], shares[i] = trees[i], weights[i]
-        first = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{java.uid()}-{r}", held, shares))
-        parts.append(M.p1(first.transform(df)).select(ID, F.col("Survived").alias("y"), F.lit(r).alias("rounds"), F.col("p").alias("score")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 @register("tune_rounds")
 def q_tune_rounds(spark, sf_dir):
-    """Holdout AUC of the model truncated to each candidate round count,
-    from one fit with the largest count; the first strict best wins."""
-    trv, _, _ = designed(spark, sf_dir)
-    sp = S.holdout_stratified(trv, "Survived", ID, 0.2, 42)
-    tr, ho = sp.where(F.col("subset") == "train"), sp.where(F.col("subset") == "holdout")
-    model = M.fit_packed(M.gbt(max(SWEEP)), tr)
-    scores = _prefix_probabilities(model, ho, list(SWEEP))
-    a = EV.auc(scores, "y", "score", ["rounds"])
+    """AUC, accuracy and F1 on the holdout after each candidate number of
+    rounds, from one fit with the largest: each row is scored once and carries
+    the running sums at the candidates. The first strict best AUC wins."""
+    tr, _, _ = _binned(spark, sf_dir)
+    sp = S.holdout_stratified(tr, "Survived", ID, 0.2, 42).withColumn("fold", (F.col("subset") == "holdout").cast("int"))
+    trees = B.fit(B.counted(sp, fold="fold"), [B.Cell("sweep", B.with_rounds(GENERAL, max(SWEEP)), without=(1,))])
+    ho = B.score(sp.where("fold = 1").select(ID, F.col("Survived").alias("y"), "bins"), trees, rounds=list(SWEEP))
+    each = ho.select(ID, "y", F.posexplode("ps").alias("i", "score")) \
+        .withColumn("rounds", F.element_at(F.array(*[F.lit(r) for r in SWEEP]), F.col("i") + 1)) \
+        .withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    each = materialize(each)
+    a = EV.auc(each, "y", "score", ["rounds"]).join(
+        EV.prf(EV.confusion_counts(each, "y", "pred", ["rounds"]), ["rounds"]).select("rounds", "accuracy", "f1"), "rounds")
     best = a.agg(F.max_by("rounds", F.struct(F.col("auc"), -F.col("rounds"))).alias("best_rounds"))
-    return a.crossJoin(best).withColumn("chosen", F.col("rounds") == F.col("best_rounds")).drop("best_rounds")
+    return a.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("rounds") == F.col("best_rounds")).drop("best_rounds")
 
 
 @register("tune_grid")
 def q_tune_grid(spark, sf_dir):
-    """Tree depth x threshold grid of each sub-model, mean CV accuracy: one
-    fit of the sub-model's rounds per (cohort, depth, fold), run side by side;
-    every threshold is evaluated in the same aggregation. Thresholds of the
-    other cohort are null."""
+    """Tree depth x threshold grid of each sub-model, mean CV accuracy. The fits
+    of all cohorts, depths and folds are cells of one binned table; each cell
+    scores the distinct binned rows of its fold, which stand for all rows, and
+    one aggregation has all thresholds. Thresholds of the other cohort are null."""
     frame = _sub_frame(spark, sf_dir)
-    data = {c: M.cached(S.kfold_stratified(_xy(_cohort(frame, c), c).where(F.col("split") == "train"), "Survived", ID, 5, 42))
-            for c in GRID_THRESHOLDS}
-    keys = [(c, depth, f) for c in data for depth in GRID_DEPTHS for f in range(5)]
-    models = M.fit_all([lambda c=c, depth=depth, f=f: M.fit_packed(
-        M.gbt(SUB_ROUNDS, lr=0.1, depth=depth, subsample=1.0, colsample=1.0), data[c].where(F.col("fold") != f))
-        for c, depth, f in keys])
-    rows = [M.p1(m.transform(data[c].where(F.col("fold") == f)))
-            .select(F.lit(c).alias("cohort"), F.lit(depth).alias("depth"), "fold", "Survived", "p")
-            for m, (c, depth, f) in zip(models, keys)]
-    oof = reduce(DataFrame.unionByName, rows)
+    parts = []
+    for c in GRID_THRESHOLDS:
+        rows = S.kfold_stratified(_xy(_cohort(frame, c), c).where(F.col("split") == "train"), "Survived", ID, 5, 42)
+        [d] = M.binned(rows, features=[F.col("x1"), F.col("x2")])
+        parts.append(d.select(F.lit(c).alias("cohort"), "fold", "Survived", "bins"))
+    table = materialize(B.counted(reduce(DataFrame.unionByName, parts), group="cohort", fold="fold"))
+    key = lambda c, depth, f: f"{c}-{depth}-{f}"
+    trees = B.fit(table, [B.Cell(key(c, depth, f), replace(SUB, depth=depth), group=c, without=(f,))
+                          for c in GRID_THRESHOLDS for depth in GRID_DEPTHS for f in range(5)])
+    rows = table.withColumn("depth", F.explode(F.array(*[F.lit(x) for x in GRID_DEPTHS]))) \
+        .withColumn("key", F.concat_ws("-", "group", F.col("depth").cast("string"), F.col("fold").cast("string")))
+    scored = B.score(rows, trees, by="key").withColumnRenamed("group", "cohort")
     lists = {c: F.array(*[F.lit(t) for t in ts]) for c, ts in GRID_THRESHOLDS.items()}
-    j = oof.withColumn("threshold", F.explode(F.when(F.col("cohort") == "men", lists["men"]).otherwise(lists["women"])))
+    j = scored.withColumn("threshold", F.explode(F.when(F.col("cohort") == "men", lists["men"]).otherwise(lists["women"])))
     # As in the sub-models: men survive at the threshold, women above it.
     hit = (F.col("p") > F.col("threshold")) | ((F.col("cohort") == "men") & (F.col("p") == F.col("threshold")))
     acc = j.groupBy("cohort", "depth", "threshold", "fold").agg(
-        F.avg((hit.cast("int") == F.col("Survived")).cast("double")).alias("acc"))
+        (F.sum(F.when(hit, F.col("n1")).otherwise(F.col("n0"))) / F.sum(F.col("n0") + F.col("n1"))).alias("acc"))
     return acc.groupBy("cohort", "depth").pivot("threshold", sorted({t for ts in GRID_THRESHOLDS.values() for t in ts})).agg(F.avg("acc"))
 
 
@@ -422,9 +432,10 @@ def q_ablate_features(spark, sf_dir):
     for arm, num in arms.items():
         designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f), numeric=num)
                    for f in range(5)]
-        models = M.fit_all([lambda av=av: M.fit_packed(M.gbt(ABLATION_ROUNDS), av) for av, _, _ in designs])
-        parts = [M.p1(m.transform(bv)).select(ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score"))
-                 for m, (_, bv, _) in zip(models, designs)]
+        pairs = [M.binned(av, bv, size=len(names)) for av, bv, names in designs]
+        models = M.fit_all([lambda av=av: M.boosted(av, B.with_rounds(GENERAL, ABLATION_ROUNDS)) for av, _ in pairs])
+        parts = [M.boosted_p(m, bv).select(ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score"))
+                 for m, (_, bv) in zip(models, pairs)]
         oof = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
         s = EV.cv_summary(EV.fold_metrics(oof)).withColumn("arm", F.lit(arm))
         out.append(s.select("arm", "acc_mean", "roc_mean", "f1_mean"))

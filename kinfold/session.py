@@ -99,3 +99,19 @@ def materialize(df: DataFrame) -> DataFrame:
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table below the shared ``spark.checkpoint.dir`` and read it
+    back; the path is the caller's, who drops it when nothing reads it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinfold-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made."""
+    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(hadoop).delete(at, True)
