@@ -1,10 +1,9 @@
 """Profiling and summary operators.
 
 All statistics are one or a few aggregations. Exact quantiles avoid
-per-group value buffers: values are first reduced to (value, count) pairs,
-running counts come from the range-partitioned prefix sums in
-``operators.ordered``, and the two ranks around each quantile position are
-picked and linearly interpolated (numpy's default definition).
+per-group value buffers and shuffles of rows: brackets of values around the
+wanted ranks are narrowed by aggregations, and the two ranks around each quantile
+position are picked and linearly interpolated (numpy's default definition).
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +34,128 @@ def _string_cols(df: DataFrame) -> list[str]:
 # ---------------------------------------------------------------------------
 # Exact quantiles
 # ---------------------------------------------------------------------------
+#: Groups whose brackets are held by the driver and broadcast; with more, ranks come from running counts.
+FEW_GROUPS = 4096
+#: Rows of a bracket that are ranked by value; a wider one is narrowed first.
+DIRECT = 200_000
+#: Quantiles of a bracket's rows that a narrowing looks at.
+STEPS = 500
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float],
                     group_cols: list[str] | None = None) -> DataFrame:
     """Per group (a NULL group is one): ``n`` non-null values and each named
     quantile, linear interpolation between the order statistics at
-    floor/ceil((n-1)q). One path at every size: values become (value, count)
-    pairs, running counts give their ranks, and the pairs that hold a wanted
-    rank are picked; no task holds a group's values."""
+    floor/ceil((n-1)q).
+
+    By range refinement: each wanted rank has a bracket of values, at first all
+    of them. While a bracket holds more than ``DIRECT`` rows, one aggregation
+    takes ``STEPS`` approximate quantiles of its rows, and it narrows to those
+    around the rank. Then rows in a bracket are counted by value, all others by
+    where they lie, and the ranks are read off. Rows are only aggregated: none
+    is shuffled, sorted or written. An approximate quantile may only widen a
+    bracket: counts decide, and a rank outside its bracket widens it again.
+    With more than ``FEW_GROUPS`` groups see ``ranked_quantiles``."""
     g = list(group_cols or [])
+    nn = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col(value).cast("double").alias("__v"))
+    keys = [f"__g{i}" for i in range(len(g))]
+    found = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).limit(FEW_GROUPS + 1).collect()
+    if len(found) > FEW_GROUPS:
+        return ranked_quantiles(df, value, qs, g)
+    groups = [tuple(r[k] for k in keys) for r in found if r.n]
+    size = {tuple(r[k] for k in keys): r.n for r in found}
+    ranks = {(k, q): (math.floor((size[k] - 1) * p), math.ceil((size[k] - 1) * p)) for k in groups for q, p in qs.items()}
+    full = {tuple(r[k] for k in keys): (r.lo, r.hi, 0, r.n) for r in found}
+    brackets = {(k, q): full[k] for k in groups for q in qs}
+    while True:
+        wide = {kq: b for kq, b in brackets.items() if b[3] > DIRECT and b[0] < b[1]}
+        if not wide:
+            break
+        brackets |= _narrowed(nn, keys, wide, ranks)
+    picked = _picked(nn, keys, brackets, ranks)
+    names = list(qs)
+    rows = [] if g or groups else [(0, *[None] * len(names))]  # without groups there is always a row
+    for k in groups:
+        out = []
+        for q in names:
+            lo, hi = picked[k, q]
+            out.append(lo + (hi - lo) * ((size[k] - 1) * qs[q] - ranks[k, q][0]))
+        rows.append((*k, size[k], *out))
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in g), T.StructField("n", T.LongType()),
+                           *(T.StructField(q, T.DoubleType()) for q in names)])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _with_brackets(nn: DataFrame, keys: list[str], brackets: dict) -> DataFrame:
+    """Rows with ``__b``: the brackets (lo, hi) of their group, in the order of ``brackets``."""
+    by_group: dict = {}
+    for (k, q), b in brackets.items():
+        by_group.setdefault(k, []).append((q, b[0], b[1]))
+    kinds = [T.StructField(c, nn.schema[c].dataType) for c in keys]
+    pair = T.StructType([T.StructField("q", T.StringType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    table = nn.sparkSession.createDataFrame([(*k, b) for k, b in by_group.items()], T.StructType([*kinds, T.StructField("__b", T.ArrayType(pair))]))
+    # At most FEW_GROUPS rows, each with a bracket for each quantile.
+    small = F.broadcast(table)
+    return join_null_safe(nn, small, keys) if keys else nn.crossJoin(small)
+
+
+def _narrowed(nn: DataFrame, keys: list[str], wide: dict, ranks: dict) -> dict:
+    """Brackets of fewer rows that hold the same ranks."""
+    each = _with_brackets(nn, keys, wide).select(*keys, "__v", F.explode("__b").alias("b"))
+    inside = (F.col("__v") >= F.col("b.lo")) & (F.col("__v") <= F.col("b.hi"))
+    grid = F.percentile_approx(F.when(inside, F.col("__v")), [i / STEPS for i in range(STEPS + 1)], 20 * STEPS).alias("grid")
+    got = each.groupBy(*keys, F.col("b.q").alias("q")).agg(
+        F.count(F.when(F.col("__v") < F.col("b.lo"), 1)).alias("below"), F.count(F.when(inside, 1)).alias("m"), grid).collect()
+    out = {}
+    for r in got:
+        kq = (tuple(r[k] for k in keys), r.q)
+        lo, hi = ranks[kq]
+        first, last = (lo - r.below) / r.m * STEPS, (hi + 1 - r.below) / r.m * STEPS
+        a, b = r.grid[max(0, math.floor(first) - 2)], r.grid[min(STEPS, math.ceil(last) + 2)]
+        if first < 2:
+            a = wide[kq][0]
+        if last > STEPS - 2:
+            b = wide[kq][1]
+        if (a, b) == wide[kq][:2]:  # one value holds most rows
+            out[kq] = (a, b, r.below, 0)
+        else:
+            out[kq] = (a, b, r.below, min(r.m - 1, math.ceil(r.m * (math.ceil(last) - math.floor(first) + 6) / STEPS)))
+    return out
+
+
+def _picked(nn: DataFrame, keys: list[str], brackets: dict, ranks: dict) -> dict:
+    """The values at the two ranks of each bracket."""
+    rows = _with_brackets(nn, keys, brackets)
+    inside = F.exists("__b", lambda b: (F.col("__v") >= b["lo"]) & (F.col("__v") <= b["hi"]))
+    where = F.size(F.filter("__b", lambda b: b["hi"] < F.col("__v")))
+    counts = rows.groupBy(*keys, where.alias("w"), F.when(inside, F.col("__v")).alias("x")).agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("top"))
+    order = Window.partitionBy(*keys).orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("c").over(order))
+    want = nn.sparkSession.createDataFrame(
+        [(*k, q, end, ranks[k, q][end]) for k, q in brackets for end in (0, 1)],
+        T.StructType([*(T.StructField(c, nn.schema[c].dataType) for c in keys), T.StructField("q", T.StringType()),
+                      T.StructField("end", T.IntegerType()), T.StructField("r", T.LongType())])) if brackets else None
+    if want is None:
+        return {}
+    hit = (join_null_safe(ranked, F.broadcast(want), keys) if keys else ranked.crossJoin(F.broadcast(want))) \
+        .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c"))).select(*keys, "q", "end", "x").collect()
+    got: dict = {}
+    missed = set()
+    for r in hit:
+        kq = (tuple(r[k] for k in keys), r.q)
+        got.setdefault(kq, [0.0, 0.0])[r.end] = r.x
+        if r.x is None:
+            missed.add(kq)
+    if missed:  # an approximate bracket was off: take the whole range for these
+        ends = {k: (lo, hi) for *k, lo, hi in ((*(r[c] for c in keys), r.lo, r.hi) for r in nn.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).collect()) for k in [tuple(k)]}
+        got |= _picked(nn, keys, {kq: (*ends[kq[0]], 0, 0) for kq in missed}, ranks)
+    return got
+
+
+def ranked_quantiles(df: DataFrame, value: str, qs: dict[str, float], g: list[str]) -> DataFrame:
+    """The same for any number of groups: values become (value, count) pairs,
+    running counts give their ranks, and the pairs that hold a wanted rank are
+    picked; no task holds a group's values."""
     nn = df.where(F.col(value).isNotNull())
     v = (nn.groupBy(*g, value)
            .agg(F.count(F.lit(1)).alias("__c")))
