@@ -1,72 +1,190 @@
-"""Exact k-nearest-neighbour scoring without an all-pairs product.
-
-Pivot partitioning with triangle-inequality pruning:
-
-1. P pivots are reference points (the P smallest by a hash of their id);
-   their vectors become literals, so distances to all pivots are an array
-   expression per row (no join).
-2. Every reference point goes to its nearest pivot; each partition keeps
-   its radius (largest member distance to the pivot): P small rows.
-3. For a query q the k-th smallest pivot distance tau bounds the distance
-   to its k-th neighbour (pivots are reference points). A partition can
-   hold a point closer than tau only if d(q, pivot) - radius <= tau, so q
-   is joined (equi-join on the partition id) with those partitions only.
-4. Among candidates, the k nearest by (distance, id) are kept with a
-   rank filter, which Spark turns into a per-partition group limit before
-   the shuffle.
-
-The answer is exact for any data; pruning only decides how much work it
-takes.
+"""Exact k-nearest-neighbour scoring in two phases, without an all-pairs product.
+
+Reference rows go to the nearest of about sqrt(n) pivots (reference rows by a
+hash of their id, at most ``PIVOTS``) and are written in blocks of at most
+``BLOCK`` rows of one partition. Queries are dealt into blocks in the same way.
+
+1. A query meets the blocks of its nearest pivot's partition; its k-th distance
+   there is a true bound ``tau``.
+2. It goes on to another partition only if that can hold a point within ``tau``:
+   points there lie within the partition's radius of its pivot, and nearer to
+   that pivot than to the query's own.
+
+Both phases join blocks of queries with blocks of references; a task compares
+two blocks with one matrix product and passes on at most k rows a query. A
+partition with many rows is many blocks, dealt into slices of ``SLICE`` blocks,
+so no join key holds more. Candidates are chosen by the product and ranked by
+the distance added up entry by entry; ties go to the smaller reference id.
+
+A query without a vector gives no row, and so does an empty reference;
+references without a vector are none. All vectors have one length. The answer
+is exact for any data; pruning only decides how much work it takes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..session import drop_table, written
+
+PIVOTS = 4096
+BLOCK = 512
+SLICE = 16
+#: Relative room for the rounding of bounds and products.
+SLACK = 1e-9
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``a`` to those of ``b`` by one product; within ``SLACK`` of their size."""
+    return np.maximum((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1), 0)
+
+
+def _placed(pivots: np.ndarray, vec: str):
+    """mapInArrow function that adds the nearest pivot and the distance to it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(vec))
+            near = _distances(x, pivots).argmin(axis=1) if len(x) else np.empty(0, np.int64)
+            far = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1)) if len(x) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64()), pa.array(far)], names=[*batch.schema.names, "part", "far"])
+    return run
+
+
+def _blocks(df: DataFrame, id_type: T.DataType, extra: list[tuple[str, T.DataType]]) -> DataFrame:
+    """(part, id, vec, ...) -> blocks (part, slice, ids, vecs, ...) of one part."""
+    names = ["id", "vec", *(n for n, _ in extra)]
+    kinds = {"id": to_arrow_type(id_type), "vec": pa.list_(pa.float64()), **{n: to_arrow_type(t) for n, t in extra}}
+
+    def pack(batches):
+        held, part, made = [], None, 0
+
+        def out():
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int64()), "slice": pa.array([(TaskContext.get().partitionId() << 32) + made // SLICE], pa.int64()),
+                **{n: pa.array([[r[i] for r in held]], pa.list_(kinds[n])) for i, n in enumerate(names)}})
+        for batch in batches:
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *names)), strict=True):
+                if held and (p != part or len(held) == BLOCK):
+                    yield out()
+                    made = made + 1 if p == part else 0
+                    held = []
+                part = p
+                held.append(row)
+        if held:
+            yield out()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("slice", T.LongType()), T.StructField("id", T.ArrayType(id_type)),
+                           T.StructField("vec", T.ArrayType(T.ArrayType(T.DoubleType()))), *(T.StructField(c, T.ArrayType(t)) for c, t in extra)])
+    return df.select("part", *names).repartitionByRange(n, "part", "id").sortWithinPartitions("part", "id").mapInArrow(pack, schema)
+
+
+def _compared(asked: DataFrame, blocks: DataFrame, k: int, qid_type: T.DataType, rid_type: T.DataType) -> DataFrame:
+    """At most k (qid, rid, d2, label) for each query of ``asked`` and block, within the query's ``tau``."""
+    slices = blocks.select("part", "slice").distinct()
+    met = (asked.drop("slice").join(slices, "part").withColumnsRenamed({"id": "qid", "vec": "qvec"})
+           .join(blocks.withColumnRenamed("id", "rid"), ["part", "slice"]))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, rids = batch.column("qid")[i].as_py(), batch.column("rid")[i].as_py()
+                q, r = _matrix(batch.column("qvec")[i].values), _matrix(batch.column("vec")[i].values)
+                tau, labels = np.array(batch.column("tau")[i].as_py()), batch.column("label")[i].as_py()
+                d2 = _distances(q, r)
+                room = SLACK * (d2.max(initial=0) + 1)
+                kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+                a, b = np.nonzero(d2 <= np.minimum(kth, tau * tau * (1 + SLACK))[:, None] + room)
+                exact = np.zeros(len(a))
+                for c in range(q.shape[1]):  # entry by entry, as the sum is defined
+                    exact += (q[a, c] - r[b, c]) ** 2
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([qids[j] for j in a], to_arrow_type(qid_type)), pa.array([rids[j] for j in b], to_arrow_type(rid_type)),
+                     pa.array(exact), pa.array([labels[j] for j in b], pa.float64())], names=["qid", "rid", "d2", "label"])
+    schema = T.StructType([T.StructField("qid", qid_type), T.StructField("rid", rid_type), T.StructField("d2", T.DoubleType()), T.StructField("label", T.DoubleType())])
+    near = met.select("qid", "qvec", "tau", "rid", "vec", "label").mapInArrow(run, schema)
+    w = Window.partitionBy("qid").orderBy("d2", "rid")
+    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
 
+def _others(pivots: np.ndarray, radius: np.ndarray):
+    """mapInArrow function: the other partitions that can hold a point within tau of a query."""
+    apart = np.sqrt(_distances(pivots, pivots))
 
-def _sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two numeric arrays, in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2),
-                       F.lit(0.0), lambda acc, v: acc + v)
+    def run(batches):
+        for batch in batches:
+            x, own = _matrix(batch.column("vec")), batch.column("part").to_numpy()
+            tau = batch.column("tau").to_numpy()
+            d2 = _distances(x, pivots) if len(x) else np.zeros((0, len(pivots)))
+            room = SLACK * (d2.max(initial=0) + 1)
+            reach = (tau * (1 + SLACK))[:, None]
+            ball = np.sqrt(d2) <= radius[None, :] + reach + math.sqrt(room)
+            mine = d2[np.arange(len(x)), own][:, None] if len(x) else d2[:, :1]
+            with np.errstate(invalid="ignore"):
+                half = (d2 - mine <= 2 * apart[own] * reach + 2 * room) | np.isinf(reach)
+            need = ball & half & (radius >= 0)[None, :]
+            need[np.arange(len(x)), own] = False
+            a, b = np.nonzero(need)
+            rows = pa.array(a, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("vec").take(rows), batch.column("tau").take(rows), pa.array(b, pa.int64())],
+                                             names=["id", "vec", "tau", "part"])
+    return run
 
 
 def knn_fraction(query: DataFrame, ref: DataFrame, qid: str, rid: str, vec: str, label: str,
-                 k: int = 3, pivots: int = 16) -> DataFrame:
-    """Per query row: fraction of positive labels among its k nearest
-    reference rows (ties broken by reference id)."""
-    piv_rows = (ref.select(rid, vec).withColumn("__h", F.md5(F.col(rid).cast("string")))
-                .orderBy("__h", rid).limit(pivots).collect())           # P rows, fixed size
-    piv_vecs = [[float(x) for x in r[vec]] for r in piv_rows]
-    P = len(piv_vecs)
-    lit_pivots = F.array(*[F.array(*[F.lit(x) for x in v]) for v in piv_vecs])
-
-    def pivot_dists(c: Column) -> Column:
-        return F.transform(lit_pivots, lambda p: F.sqrt(_sq_dist(c, p)))
-
-    r = ref.select(F.col(rid).alias("__rid"), vec, label).withColumn("__pd", pivot_dists(F.col(vec)))
-    r = r.withColumn("__dmin", F.array_min("__pd")) \
-         .withColumn("__part", F.array_position(F.col("__pd"), F.col("__dmin")).cast("int") - 1)
-    radius = r.groupBy("__part").agg(F.max("__dmin").alias("__rad"))    # <= P rows
-    rad_list = {row["__part"]: row["__rad"] for row in radius.collect()}
-    rad_arr = F.array(*[F.lit(float(rad_list.get(i, -1.0))) for i in range(P)])
-
-    q = query.select(F.col(qid).alias("__qid"), vec).withColumn("__pd", pivot_dists(F.col(vec)))
-    q = q.withColumn("__tau", F.element_at(F.array_sort("__pd"), min(k, P)))
-    # Partitions that may hold a point within tau (empty partitions: radius -1).
-    lb = F.zip_with(F.col("__pd"), rad_arr, lambda d, rr: F.when(rr < 0, F.lit(float("inf")))
-                    .otherwise(F.greatest(d - rr, F.lit(0.0))))
-    q = q.withColumn("__lb", lb)
-    # A relative slack keeps rounding in the bounds from dropping a partition.
-    cand_parts = F.filter(F.sequence(F.lit(0), F.lit(P - 1)),
-                          lambda i: F.element_at(F.col("__lb"), i + 1) <= F.col("__tau") * (1 + 1e-9) + 1e-12)
-    if P < k:
-        cand_parts = F.sequence(F.lit(0), F.lit(P - 1))
-    qp = q.select("__qid", F.col(vec).alias("__qv"), F.explode(cand_parts).alias("__part"))
-    pairs = qp.join(r.select("__part", "__rid", F.col(vec).alias("__rv"), label), "__part")
-    pairs = pairs.withColumn("__d2", _sq_dist(F.col("__qv"), F.col("__rv")))
-    w = Window.partitionBy("__qid").orderBy("__d2", "__rid")
-    top = pairs.select("__qid", "__rid", label, "__d2").withColumn("__rn", F.row_number().over(w)) \
-        .where(F.col("__rn") <= k)
-    return top.groupBy(F.col("__qid").alias(qid)).agg(F.avg(F.col(label).cast("double")).alias("knn_fraction"),
-                                F.count(F.lit(1)).alias("k"))
+                 k: int = 3, pivots: int | None = None, pairs: list | None = None) -> DataFrame:
+    """Per query row: fraction of positive labels among its k nearest reference
+    rows (ties broken by reference id) and how many these are. ``pairs``, if
+    given, gets the number of (query, reference) pairs that were compared."""
+    spark = ref.sparkSession
+    doubles = F.transform(F.col(vec), lambda x: x.cast("double"))
+    r = ref.where(F.col(vec).isNotNull()).select(F.col(rid).alias("id"), doubles.alias("vec"), F.col(label).cast("double").alias("label"))
+    q = query.where(F.col(vec).isNotNull()).select(F.col(qid).alias("id"), doubles.alias("vec"))
+    qid_type, rid_type = query.schema[qid].dataType, ref.schema[rid].dataType
+    out_schema = T.StructType([T.StructField(qid, qid_type), T.StructField("knn_fraction", T.DoubleType()), T.StructField("k", T.LongType())])
+    n = r.count()
+    if not n:
+        return spark.createDataFrame([], out_schema)
+    # At most PIVOTS vectors.
+    chosen = r.orderBy(F.xxhash64("id"), "id").limit(pivots or min(PIVOTS, math.isqrt(n - 1) + 1)).select("vec").collect()
+    at = np.unique(np.array([p.vec for p in chosen], np.float64), axis=0)
+    placed = T.StructType([*r.schema.fields, T.StructField("part", T.LongType()), T.StructField("far", T.DoubleType())])
+    dealt, path_dealt = written(r.mapInArrow(_placed(at, "vec"), placed))
+    radius = np.full(len(at), -1.0)
+    for row in dealt.groupBy("part").agg(F.max("far").alias("far")).collect():
+        radius[row.part] = row.far
+    blocks, path_blocks = written(_blocks(dealt, rid_type, [("label", T.DoubleType())]))
+    placed_q = T.StructType([*q.schema.fields, T.StructField("part", T.LongType()), T.StructField("far", T.DoubleType())])
+    asked, path_asked = written(q.mapInArrow(_placed(at, "vec"), placed_q))
+    tau = ("tau", T.DoubleType())
+    first, path_first = written(_compared(_blocks(asked.withColumn("tau", F.lit(float("inf"))), qid_type, [tau]), blocks, k, qid_type, rid_type))
+    # The k-th distance within the own partition; none there if it has fewer rows.
+    bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("d2"))).otherwise(F.lit(float("inf"))).alias("tau")).withColumnRenamed("qid", "id")
+    further = asked.join(bound, "id").select("id", "vec", "tau", "part").mapInArrow(
+        _others(at, radius), T.StructType([*q.schema.fields, T.StructField(*tau), T.StructField("part", T.LongType())]))
+    rest, path_rest = written(_blocks(further, qid_type, [tau]))
+    if pairs is not None:
+        held = blocks.groupBy("part").agg(F.sum(F.size("id")).alias("m"))
+        own = asked.groupBy("part").count()
+        pairs.append(sum(x.agg(F.sum("p")).first()[0] or 0 for x in (
+            own.join(held, "part").select((F.col("count") * F.col("m")).alias("p")), rest.join(held, "part").select((F.size("id") * F.col("m")).alias("p")))))
+    second = _compared(rest, blocks, k, qid_type, rid_type)
+    w = Window.partitionBy("qid").orderBy("d2", "rid")
+    best = first.unionByName(second).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    out, _ = written(best.groupBy(F.col("qid").alias(qid)).agg(F.avg("label").alias("knn_fraction"), F.count(F.lit(1)).alias("k")))
+    for path in (path_dealt, path_blocks, path_asked, path_first, path_rest):
+        drop_table(spark, path)
+    return out

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
@@ -87,6 +87,32 @@ def onehot_names(fitted: dict) -> list[str]:
     return [f"{c}_{lev}" for c, f in fitted.items() for lev in f["levels"]]
 
 
+def fit_prep(train: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None) -> dict:
+    """The exact preprocessing of ``design`` as plain values, to be stored with a model."""
+    numeric, categorical = numeric or NUMERIC, categorical or CATEGORICAL
+    stats = fit_prep_numeric(train, numeric).first().asDict()
+    return {"numeric": numeric, "stats": stats, "levels": fit_prep_onehot(train, categorical), "columns": [*numeric, *categorical]}
+
+
+def apply_prep(df: DataFrame, prep: dict) -> DataFrame:
+    """``df`` with its ``features`` by a stored preprocessing."""
+    numeric, stats = prep["numeric"], prep["stats"]
+    row = df.sparkSession.createDataFrame([tuple(stats.values())], ", ".join(f"`{c}` double" for c in stats))
+    names = [c + "_z" for c in numeric] + onehot_names(prep["levels"])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(
+        apply_prep_onehot(apply_prep_numeric(df, row, numeric), prep["levels"]))
+
+
+def fitted_stage(df: DataFrame, covered: Column, features: list[Column], params: boosting.Params, label: str = "Survived", out: str = "p_rest") -> DataFrame:
+    """A cascade stage that learns from what its rules leave: boosted trees are
+    fitted on the labelled rows that are not ``covered``, and every row gets
+    their p as ``out``. Labels of covered rows, and of rows without one, are
+    never read."""
+    [d] = binned(df.withColumn("__covered", F.coalesce(covered, F.lit(False))), features=features)
+    left = d.where(~F.col("__covered") & F.col(label).isNotNull())
+    return boosting.score(d.drop("__covered"), {"all": boosted(left, params, label)}).withColumnRenamed("p", out)
+
+
 def add_interaction(df: DataFrame, median_of: DataFrame | None = None) -> DataFrame:
     """Age_Sex_interaction = median-filled Age x (Sex == male)."""
     src = median_of if median_of is not None else df
@@ -196,21 +222,55 @@ def fourier_features(df: DataFrame, inputs: list[str], dim: int = 100, gamma: fl
 
 
 def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str = "Survived",
-            dim: int = 100, gamma: float = 0.5) -> DataFrame:
-    """RBF-kernel SVM approximated by a linear SVM on random Fourier
-    features, with probabilities from a logistic calibration of the margin
-    (Platt scaling) fitted on the training rows."""
-    tr = fourier_features(train, inputs, dim, gamma)
+            dim: int = 100, gamma: float = 0.5, id_col: str = "PassengerId", folds: int = 3) -> DataFrame:
+    """``other`` with p: an RBF-kernel SVM approximated by a linear SVM on random
+    Fourier features. Its margin becomes a probability by a logistic fit (Platt
+    scaling) on margins that rows got from machines fitted without them."""
+    hashed = F.pmod(F.xxhash64(F.lit("platt"), F.col(id_col)), F.lit(folds))
+    tr = packed(fourier_features(train, inputs, dim, gamma).withColumn("__part", hashed), "rff", label, ("__part",))
     te = fourier_features(other, inputs, dim, gamma)
-    svm = LinearSVC(featuresCol="rff", labelCol=label, regParam=0.01, maxIter=200,
-                    predictionCol="__svm_pred", rawPredictionCol="__svm_raw").fit(tr)
 
-    def margin(d):
+    def machine(d):
+        return LinearSVC(featuresCol="rff", labelCol=label, regParam=0.01, maxIter=200, predictionCol="__svm_pred", rawPredictionCol="__svm_raw").fit(d)
+
+    def margin(svm, d):
         m = svm.transform(d).withColumn("margin", vector_to_array("__svm_raw")[1])
-        return VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(
-            m.drop("__svm_pred", "__svm_raw", "rff"))
-    cal = LogisticRegression(featuresCol="mfeat", labelCol=label, regParam=0.0).fit(margin(tr))
-    return p1(cal.transform(margin(te)))
+        return VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(m.drop("__svm_pred", "__svm_raw", "rff"))
+    machines = fit_all([lambda f=f: machine(tr.where(F.col("__part") != f)) for f in range(folds)] + [lambda: machine(tr)])
+    held_out = margin(machines[0], tr.where(F.col("__part") == 0))
+    for f in range(1, folds):
+        held_out = held_out.unionByName(margin(machines[f], tr.where(F.col("__part") == f)))
+    cal = fit_packed(LogisticRegression(featuresCol="mfeat", labelCol=label, regParam=0.0), held_out, "mfeat", label)
+    tr.unpersist()
+    return p1(cal.transform(margin(machines[folds], te)))
+
+
+#: Fixed list: the features of the soft vote's members.
+MEMBER_FEATURES = ["Pclass", "Sex_male", "Age", "SibSp", "Parch", "Fare", "Embarked_Q", "Embarked_S", "FamilySize", "IsAlone",
+                   "FareAdj", "FareBin", "AgeBin", "Title_boy", "Title_woman"]
+
+
+def soft_vote(train: DataFrame, other: DataFrame, label: str = "Survived", id_col: str = "PassengerId") -> DataFrame:
+    """Per row of ``other``: p of a forest (500 trees of depth 5), of logistic
+    regression and of a calibrated RBF machine over ``MEMBER_FEATURES``, and
+    their mean. The members are fitted on the labelled rows of ``train``; the
+    machine sees the features scaled by their deviation there."""
+    cols = MEMBER_FEATURES
+    stats = train.agg(*[e for c in cols for e in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    scaled = [F.when(F.col(f"{c}__s") > 0, (F.col(c) - F.col(f"{c}__m")) / F.col(f"{c}__s")).otherwise(F.lit(0.0)).alias(f"{c}_s") for c in cols]
+    asm = VectorAssembler(inputCols=cols, outputCol="features")
+
+    def prep(d, extra):
+        d = d.crossJoin(F.broadcast(stats)).select(id_col, *extra, *[F.col(c).cast("double").alias(c) for c in cols], *scaled)
+        return asm.transform(d)
+    tr, te = cached(prep(train, [label])), prep(other, [])
+    forest = fit_packed(random_forest(500, 5, 1, label), tr, label=label)
+    logistic = fit_packed(LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000, regParam=1.0 / max(tr.count(), 1)), tr, label=label)
+    out = p1(forest.transform(te)).withColumnRenamed("p", "p_forest").drop("rawPrediction", "probability", "prediction")
+    out = p1(logistic.transform(out)).withColumnRenamed("p", "p_logistic").drop("rawPrediction", "probability", "prediction")
+    out = svm_rff(tr, out, [f"{c}_s" for c in cols], label, gamma=1.0 / len(cols), id_col=id_col).withColumnRenamed("p", "p_machine")
+    tr.unpersist()
+    return out.select(id_col, "p_forest", "p_logistic", "p_machine", ((F.col("p_forest") + F.col("p_logistic") + F.col("p_machine")) / 3).alias("p_mean"))
 
 
 def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int = 5,

@@ -22,10 +22,11 @@ from ..operators import impute as I
 from ..operators import models as M
 from ..operators import splits as S
 from ..operators.joins import add_key_count
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize
 from ..sources import files
+from ..sources import model_store as store
 from ..sources.manifest import manifest
-from .registry import register, with_manifest
+from .registry import WCG_CTES, register, with_manifest
 
 ID = "PassengerId"
 GENERAL = B.Params(rounds=500, rate=0.05, depth=4, rows=0.9, columns=0.9)
@@ -208,25 +209,56 @@ def q_model_gbt_solo_women(spark, sf_dir):
     return _submodel(spark, sf_dir, "women").withColumn("prediction", (F.col("p") > 0.08).cast("int"))
 
 
+#: Trees, depth and least rows of a leaf: the general forest, the ensemble's and the library default's.
+FORESTS = {"400x6x5": (400, 6, 5), "500x5": (500, 5, 1), "default": (500, 10, 1)}
+#: Cohorts of the sub-models on (x1, x2): all solo women, and those of the third class.
+COHORTS = {"solo": False, "solo_class3": True}
+
+
 @register("model_random_forest")
 def q_model_random_forest(spark, sf_dir):
+    """Every form of the forest, in rows of their own."""
     trv, tev, _ = designed(spark, sf_dir)
-    return _scored(M.random_forest(400, 6, 5).fit(trv), tev)
+    models = M.fit_all([lambda f=f: M.fit_packed(M.random_forest(*f), trv) for f in FORESTS.values()], workers=3)
+    return reduce(DataFrame.unionByName, [_scored(m, tev).withColumn("form", F.lit(name)) for name, m in zip(FORESTS, models)])
 
 
 @register("model_svm")
 def q_model_svm(spark, sf_dir):
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), "women"), "women")
-    tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    r = M.svm_rff(tr.drop("features"), te.drop("features"), ["x1", "x2"])
-    return r.select(ID, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+    parts = []
+    for name, class3 in COHORTS.items():
+        tr, te = _sub_rows(spark, sf_dir, "women", class3)
+        r = M.svm_rff(tr.drop("features"), te.drop("features"), ["x1", "x2"])
+        parts.append(r.select(F.lit(name).alias("cohort"), ID, "p", (F.col("p") >= 0.5).cast("int").alias("prediction")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("model_cart")
 def q_model_cart(spark, sf_dir):
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), "women"), "women")
-    tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    return _scored(M.cart(5).fit(tr), te)
+    parts = []
+    for name, class3 in COHORTS.items():
+        tr, te = _sub_rows(spark, sf_dir, "women", class3)
+        parts.append(_scored(M.fit_packed(M.cart(5), tr), te).withColumn("cohort", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _member_frame(spark, sf_dir):
+    """The 15 features of the soft vote's members over the group frame."""
+    d = _sub_frame(spark, sf_dir)
+    ends = d.agg(*[f(c).alias(f"__{c}_{n}") for c in ("Fare", "Age") for n, f in (("lo", F.min), ("hi", F.max))])
+    eq = lambda c, v: F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
+    code = lambda c: fx.equal_width_code(c, F.col(f"__{c}_lo"), F.col(f"__{c}_hi")).cast("double")
+    return d.crossJoin(F.broadcast(ends)).withColumns({
+        "Sex_male": eq("Sex", "male"), "Embarked_Q": eq("Embarked", "Q"), "Embarked_S": eq("Embarked", "S"),
+        "IsAlone": (F.col("FamilySize") == 1).cast("double"), "Title_boy": eq("Title", "boy"), "Title_woman": eq("Title", "woman"),
+        "FareBin": code("Fare"), "AgeBin": code("Age")})
+
+
+@register("model_soft_vote")
+def q_model_soft_vote(spark, sf_dir):
+    """The three fitted members of the soft vote and their mean, on the scoring rows."""
+    d = _member_frame(spark, sf_dir)
+    return M.soft_vote(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"))
 
 
 @register("model_stacking")
@@ -285,23 +317,68 @@ def q_score_what_if(spark, sf_dir):
     return scored.join(obs, ["Pclass", "case_sex", "band"], "left")
 
 
+GRID = 100
+SURFACE_CUTS = {"forest": 0.25}      # the others: one half
+
+
+def _surface(tr):
+    """GRID x GRID places over the ranges of x1 and x2, by two explodes of fixed sequences."""
+    b = tr.agg(F.min("x1").alias("a1"), F.max("x1").alias("b1"), F.min("x2").alias("a2"), F.max("x2").alias("b2"))
+    g = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("i")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("j"))
+    return g.select("i", "j", (F.col("a1") + (F.col("b1") - F.col("a1")) * F.col("i") / (GRID - 1)).alias("x1"),
+                    (F.col("a2") + (F.col("b2") - F.col("a2")) * F.col("j") / (GRID - 1)).alias("x2"))
+
+
+def _knn_surface(g, tr):
+    from ..operators import knn
+    g = g.withColumn("place", F.col("i") * GRID + F.col("j"))
+    near = knn.knn_fraction(g.withColumn("v", F.array("x1", "x2")), tr.withColumn("v", F.array("x1", "x2")), "place", ID, "v", "Survived", k=3) \
+        .withColumnsRenamed({"place": "__place", "knn_fraction": "p"})
+    return g.join(near, F.col("place") == F.col("__place")).select("i", "j", "x1", "x2", "p")
+
+
 @register("score_grid")
 def q_score_grid(spark, sf_dir):
-    """100 x 100 (x1, x2) surface over the observed ranges, scored by the
-    solo-women tree model; class by p >= 0.5. The grid is generated with
-    two explodes of fixed sequences (no join)."""
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), "women"), "women")
-    tr = d.where(F.col("split") == "train")
-    model = M.cart(5).fit(tr)
-    b = tr.agg(F.min("x1").alias("a1"), F.max("x1").alias("b1"), F.min("x2").alias("a2"), F.max("x2").alias("b2"))
-    g = b.select("*", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("j"))
-    g = g.select("i", "j", (F.col("a1") + (F.col("b1") - F.col("a1")) * F.col("i") / 99).alias("x1"),
-                 (F.col("a2") + (F.col("b2") - F.col("a2")) * F.col("j") / 99).alias("x2"))
+    """Five decision surfaces over (x1, x2) of solo women of the third class: a
+    tree, k nearest neighbours, a calibrated RBF machine, a forest (class 1
+    above 0.25) and boosted trees."""
     from pyspark.ml.feature import VectorAssembler
-    g = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(g)
-    r = M.p1(model.transform(g))
-    return r.select("i", "j", "x1", "x2", "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+    tr, _ = _sub_rows(spark, sf_dir, "women", class3=True)
+    tr = materialize(tr.select(ID, "x1", "x2", "Survived"))
+    asm = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
+    g, trv = materialize(_surface(tr)), asm.transform(tr)
+    gv, place = asm.transform(g), ["i", "j", "x1", "x2"]
+    binned, bg = M.binned(tr, g, features=[F.col("x1"), F.col("x2")])
+    surfaces = {
+        "cart": M.p1(M.fit_packed(M.cart(5), trv).transform(gv)).select(*place, "p"),
+        "knn": _knn_surface(g, tr),
+        "svm": M.svm_rff(tr, g, ["x1", "x2"]).select(*place, "p"),
+        "forest": M.p1(M.fit_packed(M.random_forest(500, 10, 1), trv).transform(gv)).select(*place, "p"),
+        "boosted": M.boosted_p(M.boosted(binned, SUB), bg).select(*place, "p")}
+    parts = [d.select(F.lit(name).alias("model"), *place, "p", (F.col("p") > SURFACE_CUTS.get(name, 0.5)).cast("int").alias("prediction"))
+             for name, d in surfaces.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("score_grid_knn", with_manifest(WCG_CTES + """,
+med AS (SELECT median(Age) AS age, median(Fare) AS fare FROM g),
+sub AS (SELECT g.PassengerId, g.Survived, coalesce(g.Fare / count(*) OVER (PARTITION BY g.Ticket), med.fare) / 10 AS x1, coalesce(g.Age, med.age) / 15 AS x2,
+          g.Title = 'woman' AND g.SibSp + g.Parch + 1 = 1 AND g.GroupId IS NULL AND g.Pclass = 3 AND g.split = 'train' AS used FROM g CROSS JOIN med),
+ref AS (SELECT * FROM sub WHERE used),
+b AS (SELECT min(x1) AS a1, max(x1) AS b1, min(x2) AS a2, max(x2) AS b2 FROM ref),
+place AS (SELECT i, j, a1 + (b1 - a1) * i / 99 AS x1, a2 + (b2 - a2) * j / 99 AS x2 FROM b CROSS JOIN range(0, 100) r(i) CROSS JOIN range(0, 100) s(j)),
+near AS (SELECT p.i, p.j, p.x1, p.x2, ref.Survived,
+           row_number() OVER (PARTITION BY p.i, p.j ORDER BY (p.x1 - ref.x1) * (p.x1 - ref.x1) + (p.x2 - ref.x2) * (p.x2 - ref.x2), ref.PassengerId) AS rn
+         FROM place p CROSS JOIN ref)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(any_value(x1), 9) AS x1, round(any_value(x2), 9) AS x2, round(avg(Survived), 6) AS p
+FROM near WHERE rn <= 3 GROUP BY i, j"""))
+def q_score_grid_knn(spark, sf_dir):
+    """The k-NN surface alone."""
+    tr, _ = _sub_rows(spark, sf_dir, "women", class3=True)
+    tr = materialize(tr.select(ID, "x1", "x2", "Survived"))
+    r = _knn_surface(materialize(_surface(tr)), tr)
+    return r.select("i", "j", r9("x1").alias("x1"), r9("x2").alias("x2"), F.round("p", 6).alias("p"))
 
 
 @register("refit_and_predict")
@@ -314,21 +391,53 @@ def q_refit_and_predict(spark, sf_dir):
     return files.read_predictions(spark, path)
 
 
+def _stored_logreg(train):
+    """Fit preprocessing and logistic regression on ``train``; what the store keeps."""
+    prep = M.fit_prep(train)
+    d = M.cached(M.apply_prep(train, prep))
+    model = M.fitted_pipeline(d, M.logreg(d.count()))
+    d.unpersist()
+    return model, prep
+
+
 @register("sink_model")
 def q_sink_model(spark, sf_dir):
-    """Save the fitted pipeline, reload it and score without refitting."""
-    import uuid
-    trv, tev, _ = designed(spark, sf_dir)
-    model = M.fitted_pipeline(trv, M.logreg(trv.count()))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinfold-models/{uuid.uuid4().hex}"
-    files.sink_model(model, path)
-    again = files.src_model(path)
-    return M.p1(again.transform(tev)).select(ID, "p")
+    """Save the fitted model with its preprocessing under a tag, load the newest of that tag and score."""
+    tr, te = frames(spark, sf_dir)
+    store.save(spark, "logreg", *_stored_logreg(tr))
+    return _prefit_scores(spark, te)
+
+
+def _prefit_scores(spark, df, tag="logreg"):
+    """p by the newest stored model of a tag; nothing is fitted."""
+    model, prep = store.newest(spark, tag, df.columns)
+    return M.p1(model.transform(M.apply_prep(df, prep))).select(ID, *[c for c in ("Survived",) if c in df.columns], "p")
 
 
 @register("src_model")
 def q_src_model(spark, sf_dir):
-    return q_sink_model(spark, sf_dir).select(ID, (F.col("p") >= 0.5).cast("int").alias("prediction"))
+    """Score with the newest stored model. Only where the store has none yet, one is put there first."""
+    tr, te = frames(spark, sf_dir)
+    if not store.versions(spark, "logreg"):
+        store.save(spark, "logreg", *_stored_logreg(tr))
+    return _prefit_scores(spark, te).select(ID, (F.col("p") >= 0.5).cast("int").alias("prediction"))
+
+
+@register("eval_holdout_model")
+def q_eval_holdout_model(spark, sf_dir):
+    """Metrics on 20 % of the labelled rows of a model fitted on the others, and
+    of one that was stored before (fitted on the same others, under a tag)."""
+    tr, _ = frames(spark, sf_dir)
+    sp = materialize(S.holdout_stratified(tr, "Survived", ID, 0.2, 42))
+    fit, held = sp.where(F.col("subset") == "train"), sp.where(F.col("subset") == "holdout")
+    model, prep = _stored_logreg(fit)
+    store.save(spark, "holdout", model, prep)
+    scores = {"fitted": M.p1(model.transform(M.apply_prep(held, prep))).select(ID, "Survived", "p"),
+              "prefit": _prefit_scores(spark, held, "holdout")}
+    rows = materialize(reduce(DataFrame.unionByName, [
+        d.select(F.lit(form).alias("form"), F.col("Survived").alias("y"), F.col("p").alias("score"), (F.col("p") >= 0.5).cast("int").alias("pred"))
+        for form, d in scores.items()]))
+    return EV.prf(EV.confusion_counts(rows, group_cols=["form"]), ["form"]).join(EV.auc(rows, group_cols=["form"]), "form")
 
 
 # --- model-based imputation --------------------------------------------------
@@ -467,5 +576,5 @@ def q_model_knn(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     sp = materialize(S.holdout_stratified(e, "label", "vec_id", 0.2, 42))
     q, r = sp.where(F.col("subset") == "holdout"), sp.where(F.col("subset") == "train")
-    out = knn.knn_fraction(q, r, "vec_id", "vec_id", "embedding", "label", k=3, pivots=16)
+    out = knn.knn_fraction(q, r, "vec_id", "vec_id", "embedding", "label", k=3)
     return out.select("vec_id", F.round("knn_fraction", 6).alias("knn_fraction"), "k")

@@ -368,6 +368,27 @@ def q_density_on_grid(spark, sf_dir):
     return r.select("Survived", "x", r6("density", 9).alias("density"), r6("h", 9).alias("h"))
 
 
+_PLANE_BINS, _PLANE_POINTS = 64, 21
+
+
+@register("density_on_plane", with_manifest(f"""
+d AS (SELECT Survived AS g, CAST(Age AS DOUBLE) AS x, CAST(Fare AS DOUBLE) AS y FROM manifest
+      WHERE Age IS NOT NULL AND Fare IS NOT NULL AND Survived IS NOT NULL),
+r AS (SELECT min(x) AS x0, (max(x) - min(x)) / {_PLANE_BINS} AS xw, min(y) AS y0, (max(y) - min(y)) / {_PLANE_BINS} AS yw FROM d),
+h AS (SELECT g, count(*) AS n, 0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS hx,
+        0.9 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / 1.34) * pow(count(*), -0.2) AS hy FROM d GROUP BY g),
+c AS (SELECT g, x0 + (least(floor((x - x0) / xw), {_PLANE_BINS - 1}) + 0.5) * xw AS cx, y0 + (least(floor((y - y0) / yw), {_PLANE_BINS - 1}) + 0.5) * yw AS cy,
+        count(*) AS c FROM d CROSS JOIN r GROUP BY ALL),
+p AS (SELECT x0 + {_PLANE_BINS} * xw * a / {_PLANE_POINTS - 1} AS x, y0 + {_PLANE_BINS} * yw * b / {_PLANE_POINTS - 1} AS y
+      FROM r CROSS JOIN range(0, {_PLANE_POINTS}) t(a) CROSS JOIN range(0, {_PLANE_POINTS}) u(b))
+SELECT c.g AS Survived, round(p.x, 6) AS Age, round(p.y, 6) AS Fare,
+  round(sum(c.c * exp(-0.5 * pow((p.x - c.cx) / h.hx, 2)) * exp(-0.5 * pow((p.y - c.cy) / h.hy, 2))) / (any_value(h.n) * any_value(h.hx) * any_value(h.hy) * 2 * pi()), 9) AS density
+FROM c JOIN h ON c.g = h.g CROSS JOIN p GROUP BY c.g, p.x, p.y"""))
+def q_density_on_plane(spark, sf_dir):
+    r = P.density_on_plane(manifest(spark, sf_dir), "Age", "Fare", "Survived", _PLANE_POINTS, _PLANE_BINS)
+    return r.select("Survived", r6("Age").alias("Age"), r6("Fare").alias("Fare"), r6("density", 9).alias("density"))
+
+
 @register("log1p_clipped", "SELECT event_id, round(ln(1 + greatest(value, 0)), 9) AS value_log1p FROM events")
 def q_log1p_clipped(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", r6(fx.log1p_clipped("value"), 9).alias("value_log1p"))
