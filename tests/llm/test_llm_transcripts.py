@@ -122,3 +122,44 @@ def test_untaught(spark):
     model = transcripts.fit(lines)
     assert model.roles == []
     assert [(r.role, r.turn, r.n_lines) for r in transcripts.render(transcripts.parse(lines, model)).collect()] == [("unknown", 1, 3)]
+
+
+def test_one_conversation_of_all_rows_is_many_segments(spark):
+    """Null conv_id, null and repeated parts: segments are cut by lines, whatever the turn numbers."""
+    rows = [(None, None if i % 2 else 3, 0, f"line {i % 500}") for i in range(3000)]
+    df = frame(spark, rows).repartition(8)
+    cut = transcripts.segments(df, 64).groupBy("seg").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).collect()
+    assert sum(r.n for r in cut) == 3000 and all(r.n <= 64 and (r.a, r.b) == (0, r.n - 1) for r in cut)
+    assert len({r.seg >> 32 for r in cut}) > 1  # in more than one task
+    model = some_model(3)
+    order = sorted(transcripts.parse(df, model, 64).collect(), key=lambda r: (r.seg, r.at))
+    # The same lines in the order of their places, in one piece.
+    assert [(r.part is not None, r.text[:64]) for r in order] == sorted((r[1] is not None, r[3]) for r in rows)
+    states = transcripts.decode(model, [r.text for r in order], *transcripts.between([transcripts.segment_matrix(model, [r.text for r in order])])[0])
+    firsts = np.cumsum([s % 2 == 0 for s in states])
+    assert [(r.role, r.turn) for r in order] == [(model.roles[s // 2], t) for s, t in zip(states, firsts)]
+
+
+def test_a_long_turn_comes_in_pieces(spark):
+    rows = [(1, seg, at, f"l{seg}-{at}", "user", 1) for seg in range(7) for at in range(3)] + [(2, 9, 0, "User: short", "user", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, seg long, at int, text string, role string, turn long")
+    got = transcripts.render(df, turn_lines=10, piece_segments=2).orderBy("conv_id", "piece").collect()
+    assert [(r.conv_id, r.piece, r.n_lines) for r in got] == [(1, 0, 6), (1, 1, 6), (1, 2, 6), (1, 3, 3), (2, 0, 1)]
+    whole = "<|user|>\n" + "\n".join(f"l{s}-{a}" for s in range(7) for a in range(3)) + "\n<|end|>"
+    assert "\n".join(r.rendered for r in got if r.conv_id == 1) == whole
+    assert got[-1].rendered == "<|user|>\nshort\n<|end|>"
+    assert [r.n_lines for r in transcripts.render(df).orderBy("conv_id").collect()] == [21, 1]
+
+
+def test_roles_without_any_marker(spark):
+    lines = transcripts.as_transcripts(table(spark, "conversations", "sf0.01"))
+    model = transcripts.fit(lines.where(transcripts.trained_on()))
+    bare = lines.where(~transcripts.trained_on() & (F.pmod(F.xxhash64(F.lit("manner"), "conv_id"), F.lit(4)) == 3))
+    got = transcripts.parse(bare.drop("role"), model).alias("g").join(bare.alias("h"), ["conv_id", "part", "line"])
+    assert got.agg(F.avg((F.col("g.role") == F.col("h.role")).cast("int"))).first()[0] > 0.55
+
+
+def test_many_roles_become_other(spark):
+    rows = [(i, 0, 0, "x", f"r{i:03d}") for i in range(100)] + [(i, 1, 0, "y", "r000") for i in range(5)]
+    model = transcripts.fit(spark.createDataFrame(rows, "conv_id long, part long, line long, text string, role string"))
+    assert len(model.roles) == transcripts.ROLES and "other" in model.roles and "r000" in model.roles
