@@ -92,3 +92,50 @@ def test_odd_rows_and_empty(spark):
     rows = licenses.scan(odd_documents(spark)).collect()
     assert len(rows) == 15 and all(r.license is None and r.findings == "" and r.coverage == 0.0 for r in rows)
     assert licenses.scan(none_of(odd_documents(spark))).collect() == []
+
+
+def found(text, **kw):
+    return [x[0] for x in licenses.Scanner(licenses.TEMPLATES, **kw).scan(text.encode())]
+
+
+def test_scattered_words_are_no_notice():
+    for text in ("The album was released under the label in the spring and later the station got a broadcasting license",
+                 "He was licensed under the old rules. By 4 in the morning the cc list had 0 names",
+                 "This work is what the public knows; licensed in general, under the version of the license for gnu herds, 3 in all",
+                 "licensed by the state under a rule of 4 parts, cc by hand, 0 errors",
+                 " ".join("the software is provided as is without warranty of any kind and in no event liable for the use or other dealings".split() * 40)):
+        assert found(text) == [], text
+
+
+def test_relatives_are_told_apart():
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for version in ("4.0", "3.0"):
+            assert found(f"Text. Licensed under CC {kind} {version}. More text.") == [f"CC-{kind}-{version} notice"]
+    assert found("Licensed under CC BY 2.5") == []
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"):
+        assert found("See below. " + licenses.TEMPLATES[name]) == [name]
+        if f"{name} notice" in licenses.TEMPLATES:
+            assert found(licenses.TEMPLATES[f"{name} notice"]) == [f"{name} notice"]
+    assert found("This work is licensed under the GNU Library General Public License, version 3.") == []
+
+
+def test_a_statement_may_be_interrupted_at_any_length():
+    rng = random.Random(7)
+    for name in ("MIT", "BSD-3-Clause", "GPL-3.0 notice", "CC-BY-4.0 notice"):
+        ws = licenses.TEMPLATES[name].split()
+        for many in (400, 5000):
+            at = rng.randrange(1, len(ws))
+            got = licenses.Scanner(licenses.TEMPLATES).scan(" ".join([*ws[:at], *(f"q{rng.randrange(99)}" for _ in range(many)), *ws[at:]]).encode())
+            assert [x[:2] for x in got] == [(name, 1.0)], (name, many, at, got)
+
+
+def test_templates_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0").write_text("You may read this text aloud to any person who asks for it on a rainy day.\nNothing else.")
+    own = licenses.templates_from(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "Note: you may read this text aloud to any person who asks for it on a rainy day. Nothing else. Bye."), (2, "no")], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, own).collect()} == {1: "Own-1.0", 2: None}
+    try:
+        licenses.templates_from(spark, str(tmp_path), most_bytes=10)
+        raise AssertionError("no bound")
+    except ValueError as e:
+        assert "more than 10" in str(e)
