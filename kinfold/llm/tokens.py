@@ -18,6 +18,7 @@ document; an empty table gives no block.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ _ENTRY = 150
 #: Longer words are not remembered.
 LONG_WORD = 256
 #: Bytes of the texts that are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Characters by which rows of one doc_id are ordered before their digest.
 TIE_CHARS = 64
 _ORDER = ("doc_id", "__start", "__md5", "__row")
@@ -124,6 +125,8 @@ class TextIds:
 
     def __init__(self, path: str):
         self.words, self.parts = Remembered(), Remembered()
+        # A task has one core: no threads of the library beside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
