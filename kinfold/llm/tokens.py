@@ -11,7 +11,7 @@ Spark's commit protocol, and a filter on the offsets prunes row groups.
 
 Defined results: a null text is the empty text (only its end id); null
 ``doc_id`` sorts first; rows of one ``doc_id`` are in the order of the first
-64 characters of their texts (nulls first), then of their digests, and each is a
+64 characters of their texts (nulls first), then of their hashes, and each is a
 document; an empty table gives no block.
 """
 
@@ -42,7 +42,7 @@ LONG_WORD = 256
 TOGETHER = 1 << 18
 #: Characters by which rows of one doc_id are ordered before their digest.
 TIE_CHARS = 64
-_ORDER = ("doc_id", "__start", "__md5", "__row")
+_ORDER = ("doc_id", "__start", "__hash", "__row")
 
 BLOCK_SCHEMA = ("shard int, block int, offset long, n_ids long, bits int, ids binary, "
                 "doc_ids array<long>, doc_lengths array<long>")
@@ -199,9 +199,13 @@ class TextIds:
         for t in texts:
             low = (t or b"").lower() if self.folds else t or b""
             cut.append((t if any(m in low for m in self.marks) else low).split())
-        new = self.words.missing(set().union(*cut))
+        # The distinct words of these texts are a small table that stays near the core.
+        near = list(set().union(*cut))
+        held = dict(zip(near, map(self.words.new.get, near), strict=True))
+        new = self.words.missing({w for w, ids in held.items() if ids is None})
         self.words.learn(self._word_ids(new))
-        ids = self.words.new.__getitem__
+        held.update((w, self.words.new[w]) for w, ids in held.items() if ids is None)
+        ids = held.__getitem__
         out = [b"".join(map(ids, c)) for c in cut]
         self.words.settle(new)
         return out
@@ -237,7 +241,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The keys after doc_id let the ranges split an id that many rows share.
     dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .withColumns({"__start": F.substring("text", 1, TIE_CHARS), "__md5": F.md5("text"), "__row": F.monotonically_increasing_id()})
+             .withColumns({"__start": F.substring("text", 1, TIE_CHARS), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
              .repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).select("doc_id", "text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
