@@ -173,9 +173,9 @@ def soft_vote_value(p: str = "p_mean", known="InKnownGroup", person="Title", pcl
 
 def static_ids_rule(df: DataFrame, ids: DataFrame, pred: str = "prediction",
                     decided_by: str = "decided_by", value: int = 0) -> DataFrame:
-    """Listed ids -> ``value`` (a small fixed id list: broadcast)."""
+    """Listed ids -> ``value``."""
     flag = ids.select(F.col("id").alias(ID)).distinct().withColumn("__listed", F.lit(True))
-    d = df.join(F.broadcast(flag), ID, "left")
+    d = df.join(flag, ID, "left")
     return apply_stage(d, [Rule("static_ids", F.col("__listed"), value)], pred, decided_by).drop("__listed")
 
 

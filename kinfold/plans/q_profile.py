@@ -94,8 +94,7 @@ def q_lookup_ids(spark, sf_dir):
     d = G.engineer_keys(manifest(spark, sf_dir))
     d = G.add_group_key(d, mask_men=False)
     ids = spark.createDataFrame([(i,) for i in LOOKUP_IDS], f"{ID} long")
-    # A fixed, short id list: broadcast semi-join.
-    return d.join(F.broadcast(ids), ID, "left_semi").select(ID, "Name", "GroupId")
+    return d.join(ids, ID, "left_semi").select(ID, "Name", "GroupId")
 
 
 _miss_sql = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing FROM manifest"
