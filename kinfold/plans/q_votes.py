@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import prediction_files as PF
 from ..operators import rules as R
 from ..operators import votes as V
+from ..sources import files
 from . import cascades as C
 from .q_cascades import OVERRIDES, VOTE_COLS, scored
 from .registry import R_FRAME_CTES, SCORE_MULTIPLIERS, register, with_manifest
@@ -156,7 +158,7 @@ def q_prediction_profile(spark, sf_dir):
 _SETS = ["gender", "group", "mega", "group_models_vote", "solo_female"]
 
 
-@register("compare_prediction_sets", with_manifest(R_FRAME_CTES + "," + _V0 + f""",
+_SETS_CTES = R_FRAME_CTES + "," + _V0 + f""",
 v AS (SELECT *, CASE WHEN gender = 0 AND vote_sum > 2.5 THEN 1 WHEN gender = 1 AND vote_sum < 2.5 THEN 0
                      ELSE gender END AS vote_pred, {_GP} AS group_pred,
         CASE WHEN regexp_matches(Name, ',\\s*([^.]+)\\.') THEN lower(trim(regexp_extract(Name, ',\\s*([^.]+)\\.', 1))) END AS t FROM v0),
@@ -167,13 +169,52 @@ w AS (SELECT PassengerId, gender, group_pred AS "group",
              WHEN Title = 'woman' AND FamilySize = 1 AND NOT GroupDecided THEN CAST(p101 > 0.08 AS INT)
              WHEN Title = 'man' THEN CAST(p37 >= 0.9 AS INT) ELSE group_pred END AS group_models_vote,
         CASE WHEN (CASE WHEN t IN ('miss', 'mrs', 'ms', 'mme', 'mlle', 'lady', 'the countess') THEN 'woman' ELSE t END) = 'woman'
-                  AND FamilySize = 1 THEN CAST(p101 > 0.25 AS INT) ELSE 1 END AS solo_female FROM v)
-""" + " UNION ALL ".join(
-    f"SELECT '{a}' AS set_a, '{b}' AS set_b, count(*) AS n, count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) AS n_diff, "
-    f"round(1 - count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) / count(*), 6) AS agreement, "
-    f"count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) = 0 AS identical FROM w"
-    for i, a in enumerate(_SETS) for b in _SETS[i + 1:])))
-def q_compare_prediction_sets(spark, sf_dir):
+                  AND FamilySize = 1 THEN CAST(p101 > 0.25 AS INT) ELSE 1 END AS solo_female FROM v)"""
+
+
+def _pairs_sql(names: list[str], table: str) -> str:
+    return "\n" + " UNION ALL ".join(
+        f"SELECT '{a}' AS set_a, '{b}' AS set_b, count(*) AS n, count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) AS n_diff, "
+        f"round(1 - count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) / count(*), 6) AS agreement, "
+        f"count(CASE WHEN \"{a}\" <> \"{b}\" THEN 1 END) = 0 AS identical FROM {table}"
+        for i, a in enumerate(names) for b in names[i + 1:])
+
+
+def _prediction_columns(spark, sf_dir):
     ov = spark.createDataFrame(OVERRIDES, "id long, value int")
-    r = V.agreement_of_columns(C.prediction_sets(C.r_frame(scored(spark, sf_dir)), VOTE_COLS, ov), _SETS)
+    return C.prediction_sets(C.r_frame(scored(spark, sf_dir)), VOTE_COLS, ov)
+
+
+@register("compare_prediction_sets", with_manifest(_SETS_CTES + _pairs_sql(_SETS, "w")))
+def q_compare_prediction_sets(spark, sf_dir):
+    r = V.agreement_of_columns(_prediction_columns(spark, sf_dir), _SETS)
     return r.withColumn("agreement", F.round("agreement", 6))
+
+
+def _stored_sets(spark, sf_dir):
+    """The five sets, and the first once more, written as files and read back."""
+    named = [(n, n) for n in _SETS] + [("gender_again", "gender")]
+    long = _prediction_columns(spark, sf_dir).select(
+        ID, F.inline(F.array(*[F.struct(F.lit(n).alias("set"), F.col(f"`{c}`").cast("int").alias("Survived")) for n, c in named])))
+    return PF.read_sets(spark, PF.write_sets(long, files.shared_path(spark, "prediction-sets")))
+
+
+_STORED = sorted([*_SETS, "gender_again"])
+_STORED_CTES = _SETS_CTES + ",\nst AS (SELECT *, gender AS gender_again FROM w)"
+
+
+@register("compare_prediction_files", with_manifest(_STORED_CTES + _pairs_sql(_STORED, "st")))
+def q_compare_prediction_files(spark, sf_dir):
+    """Pairwise agreement of stored prediction files, read as rows."""
+    return PF.agreement(_stored_sets(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
+
+
+@register("duplicate_prediction_files", with_manifest(_STORED_CTES + ",\nl AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"set\", PassengerId, CAST(\"{n}\" AS INT) AS v FROM st" for n in _STORED) + """),
+d AS (SELECT "set", count(*) AS n_rows, CAST(sum(v) AS BIGINT) AS positives,
+        string_agg(PassengerId || ':' || v, ',' ORDER BY PassengerId) AS content FROM l GROUP BY 1)
+SELECT "set", n_rows, positives, min("set") OVER (PARTITION BY content) AS first_set,
+       count(*) OVER (PARTITION BY content) AS n_equal FROM d"""))
+def q_duplicate_prediction_files(spark, sf_dir):
+    """Stored prediction files with the first file of equal content."""
+    return PF.digests(_stored_sets(spark, sf_dir)).drop("digest")
