@@ -11,11 +11,13 @@ from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..operators import boosting as B
+from ..operators import encode as E
 from ..operators import evaluate as EV
 from ..operators import groups as G
 from ..operators import impute as I
@@ -95,9 +97,8 @@ _OH = {"Sex": ["female", "male"], "Embarked": ["C", "Q", "S"], "Pclass": ["1", "
     for c, levs in _OH.items() for lev in levs) + " FROM manifest"))
 def q_prep_onehot(spark, sf_dir):
     tr, te = frames(spark, sf_dir)
-    fitted = M.fit_prep_onehot(tr, list(_OH))
-    d = M.apply_prep_onehot(tr.unionByName(te), fitted)
-    return d.select(ID, *M.onehot_names(fitted))
+    d = E.indicators(tr.unionByName(te), E.fit_levels(tr, list(_OH)), _OH, spread_on=ID)
+    return d.select(ID, *[f"{c}_{lev}" for c, levs in _OH.items() for lev in levs])
 
 
 _PREP_Z = [f"round(CASE WHEN {c}_std > 0 THEN (coalesce(x.{c}, med.{c}_med) - {c}_mean) / {c}_std ELSE 0.0 END, 9)"
@@ -112,11 +113,10 @@ _PREP_OH = [f"CAST(coalesce(CAST(x.{c} AS VARCHAR), {_mode_sql(c)}) = '{lev}' AS
                                                            " FROM x CROSS JOIN med CROSS JOIN st", 1))
 def q_prep_assemble(spark, sf_dir):
     """The assembled feature vector (scaled numerics, then one-hot levels)."""
-    trv, tev, names = designed(spark, sf_dir)
-    from pyspark.ml.functions import vector_to_array
-    d = trv.unionByName(tev).select(ID, F.transform(vector_to_array("features"), lambda v: F.round(v, 9))
-                                    .alias("features"), *[r9(c + "_z").alias(c + "_z") for c in _NUM])
-    return d
+    tr, te = frames(spark, sf_dir)
+    z = [c + "_z" for c in _NUM]
+    d = E.assemble(M.apply_prep_numeric(tr.unionByName(te), M.fit_prep_numeric(tr, _NUM), _NUM), E.fit_levels(tr, list(_OH)), z, spread_on=ID)
+    return d.select(ID, F.transform(vector_to_array("features"), lambda v: F.round(v, 9)).alias("features"), *[r9(c).alias(c) for c in z])
 
 
 # --- models ------------------------------------------------------------------
