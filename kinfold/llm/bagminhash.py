@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import WordHashes, mix, words
+from .common import WordHashes, kept, mix, words
 
 SHINGLE = 5
 #: Bands and slots of a band. Bags of similarity 0.8 miss each other in all bands with probability 3e-6.
@@ -28,7 +28,6 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
-_hashes = WordHashes()
 
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +36,7 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     ws = words(text)
     if not ws:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = _hashes.of(ws)
+    h = kept(("bagminhash",), WordHashes).of(ws)
     n = max(1, len(h) - SHINGLE + 1)
     out = h[:n] * _PRIMES[0]
     for j in range(1, min(SHINGLE, len(h))):

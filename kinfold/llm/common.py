@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept[T](owner: tuple, make: Callable[[], T]) -> T:
+    """What this worker keeps between tasks for ``owner``. It keeps the things
+    of one owner at a time: those of an operator that ran before are dropped."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the batches that this session hands to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, whole_row
+from .common import arrow_limits, kept, whole_row
 
 #: n-grams of a profile and of a document that are ranked.
 PROFILE = 400
@@ -38,7 +37,6 @@ HELD = 500_000
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point -> lower-cased letter, 0 for all that is no letter."""
     out = np.zeros(sys.maxunicode + 1, np.uint32)
@@ -54,7 +52,7 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 1-, 2- and 3-grams of a text and their counts. A gram is its
     code points in 21 bits each, 0 for the edge of a word, and bit 42 (2-grams)
     or the sign (3-grams) for its length."""
-    cp = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    cp = kept(("language",), _letters)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     cp = np.concatenate(([0], cp, [0])).astype(np.int64)
     cp = cp[np.concatenate(([True], (cp[1:] > 0) | (cp[:-1] > 0)))]  # one edge between two words
     if len(cp) < 3:

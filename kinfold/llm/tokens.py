@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, scratch_path, text_bytes
+from .common import arrow_limits, kept, scratch_path, text_bytes
 
 #: Ids after which a block is closed (at the end of a document).
 BLOCK_IDS = 1 << 16
@@ -76,10 +76,10 @@ class Remembered:
     """word -> its ids (little-endian 32-bit) in two halves: when the new one is
     full it becomes the old one, and what is still in use comes back from there."""
 
-    def __init__(self):
+    def __init__(self, bound: int):
         self.new: dict = {}
         self.old: dict = {}
-        self.spent = 0
+        self.spent, self.bound = 0, bound
 
     def missing(self, words: set) -> set:
         """Those that neither half holds; the others are in the new half now."""
@@ -97,7 +97,7 @@ class Remembered:
         for w in learned:
             if len(w) > LONG_WORD:
                 self.spent -= _ENTRY + len(w) + len(self.new.pop(w))
-        if self.spent >= CACHE_BYTES:
+        if self.spent >= self.bound:
             self.old, self.new, self.spent = self.new, {}, 0
 
 
@@ -121,10 +121,9 @@ class TextIds:
 
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af\u0400-\u0481\u048a-\u052f"
 
-    _made: dict[str, TextIds] = {}
-
-    def __init__(self, path: str):
-        self.words, self.parts = Remembered(), Remembered()
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        bound = CACHE_BYTES if cache_bytes is None else cache_bytes
+        self.words, self.parts = Remembered(bound), Remembered(bound)
         # A task has one core: no threads of the library beside it.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -151,11 +150,9 @@ class TextIds:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     @classmethod
-    def of(cls, path: str) -> TextIds:
-        """One for each worker and tokenizer file; kept between tasks."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, cache_bytes: int | None = None) -> TextIds:
+        """One for each worker and tokenizer file; kept between tasks of this operator."""
+        return kept(("tokens", path, cache_bytes), lambda: cls(path, cache_bytes))
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -233,9 +230,11 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
+def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, block_ids: int = BLOCK_IDS,
+                 cache_bytes: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) and write the
-    blocks in ascending ``doc_id`` order to ``path``."""
+    blocks in ascending ``doc_id`` order to ``path``. ``cache_bytes`` bounds what
+    a worker remembers (None: ``CACHE_BYTES``); the ids do not depend on it."""
     arrow_limits(docs.sparkSession)
     bits = width_for(max(vocabulary_size(tokenizer), end_id + 1))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -247,7 +246,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bl
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         shard, made, offset, held, docs_in, lengths = TaskContext.get().partitionId(), 0, 0, [], [], []
-        ids, end = TextIds.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end = TextIds.of(tokenizer, cache_bytes), np.array([end_id], "<u4").tobytes()
 
         def close():
             got = np.frombuffer(b"".join(held), "<u4")
@@ -326,10 +325,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         .mapInArrow(per_doc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, cache_bytes: int | None = None) -> DataFrame:
     """Write ``docs`` as blocks in the shared folder and return the digests
     read back from them."""
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
-    write_blocks(docs, tokenizer, path, end_id)
+    write_blocks(docs, tokenizer, path, end_id, cache_bytes=cache_bytes)
     return digests(spark, path)

@@ -119,3 +119,26 @@ def _by_shard(rows):
     for r in rows:
         out.setdefault(r.shard, []).append(r)
     return out.values()
+
+
+def test_ids_do_not_depend_on_what_is_remembered():
+    texts = [f"w{i % 700}x un{i}known İ.{i} Ünder-{i % 9}".encode() for i in range(3000)]
+    want = tokens.TextIds(word_bpe()).encode_all(texts)
+    for bound in (0, 2000, 1 << 20):
+        ids = tokens.TextIds(word_bpe(), bound)
+        assert [got for i in range(0, 3000, 100) for got in ids.encode_all(texts[i:i + 100])] == want
+
+
+def test_a_worker_keeps_one_operator_at_a_time():
+    """What the tokenizer remembered is gone once another operator runs in the worker."""
+    from weakref import ref
+
+    from kinfold.llm import bagminhash, common, language
+    first = tokens.TextIds.of(word_bpe())
+    assert tokens.TextIds.of(word_bpe()) is first
+    gone = ref(first)
+    del first
+    language.ngrams("some text")
+    assert gone() is None and list(common._kept) == [("language",)]
+    assert common.kept(("bagminhash",), common.WordHashes) is common.kept(("bagminhash",), common.WordHashes)
+    assert list(common._kept) == [("bagminhash",)] and bagminhash.SHINGLE == 5
