@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kinfold.llm import decontaminate, language, mixing, neardup, queries, tokens
 from kinfold.llm.common import drop_tables, write_table
 
+#: What a worker of the last stage remembers of words: less than the operator alone, as its executor has served four stages.
+TOKEN_CACHE_BYTES = 24 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs)
@@ -42,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.tokenize(docs, queries.word_bpe())
+    return tokens.tokenize(docs, queries.word_bpe(), cache_bytes=TOKEN_CACHE_BYTES)
 
 
 STAGES = [
