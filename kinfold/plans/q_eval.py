@@ -132,8 +132,8 @@ FROM pr GROUP BY trial"""))
 def q_cv_group_model(spark, sf_dir):
     lab = manifest(spark, sf_dir).where(F.col("Survived").isNotNull())
     d = G.wcg_frame(lab, scope="combined", attach="not_self", recount=False)
-    d = S.kfold_repeated(d.select(ID, "Survived", "Title", "Pclass", "GroupId"), ID, trials=25, k=10, seed=42)
-    return S.cv_group_model(d).withColumn("accuracy", r6("accuracy"))
+    d = S.cv_group_model(d.select(ID, "Survived", "Title", "Pclass", "GroupId"), id_col=ID, trials=25, k=10, seed=42)
+    return d.withColumn("accuracy", r6("accuracy"))
 
 
 # --- evaluation -------------------------------------------------------------
