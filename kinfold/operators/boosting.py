@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import drop_table, written
 
 BINS = 64
-LOCAL_ROWS = 200_000
+LOCAL_ROWS = 1_000_000
 #: Rows of a block, and rounds between two tables of blocks, when trees grow in the cluster.
 BLOCK_ROWS, KEPT = 65_536, 16
 #: Partial histograms of a node that one task adds up.

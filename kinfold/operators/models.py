@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting
+from . import boosting, forests
 from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
 NUMERIC = ["Age", "Fare", "SibSp", "Parch", "Age_Sex_interaction"]
@@ -192,6 +192,30 @@ def random_forest(trees: int = 400, depth: int = 6, leaf: int = 5, label: str =
                                   minInstancesPerNode=leaf, seed=seed)
 
 
+def forest_fits(train: DataFrame, forms: dict, label: str = "Survived", fold: str | None = None) -> dict:
+    """Per key of ``forms`` (``forests.Forest``) a function that gives a table p
+    and takes its ``features``. ``train`` and the tables have ``features`` and
+    ``bins``; the trees grow on the bins in one job, or, with too many distinct
+    binned rows, in MLlib on the features."""
+    trees = forests.fit(boosting.counted(train, label, fold=fold), forms)
+    if trees is not None:
+        return {key: lambda d, own=own: forests.score(d.drop("features"), own) for key, own in trees.items()}
+
+    def model(f):
+        rows = train.where(~F.col(fold).isin(*f.without)) if f.without else train
+        fitted = fit_packed(random_forest(f.trees, f.depth, f.leaf, label, f.seed), rows, label=label)
+        return lambda d: p1(fitted.transform(d)).drop("rawPrediction", "probability", "prediction", "features")
+    return dict(zip(forms, fit_all([lambda f=f: model(f) for f in forms.values()]), strict=True))
+
+
+def forest_importance(train: DataFrame, form, features: int, label: str = "Survived") -> list[float]:
+    """Share of each feature in the impurity decrease of a forest."""
+    trees = forests.fit(boosting.counted(train, label), {"all": form})
+    if trees is not None:
+        return forests.importance(trees["all"], features)
+    return fit_packed(random_forest(form.trees, form.depth, form.leaf, label, form.seed), train, label=label).featureImportances.toArray().tolist()
+
+
 def cart(depth: int = 5, label: str = "Survived", seed: int = 42, features: str = "features"):
     return DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=depth, seed=seed)
 
@@ -263,11 +287,11 @@ def soft_vote(train: DataFrame, other: DataFrame, label: str = "Survived", id_co
     def prep(d, extra):
         d = d.crossJoin(F.broadcast(stats)).select(id_col, *extra, *[F.col(c).cast("double").alias(c) for c in cols], *scaled)
         return asm.transform(d)
-    tr, te = cached(prep(train, [label])), prep(other, [])
-    forest = fit_packed(random_forest(500, 5, 1, label), tr, label=label)
+    tr, te = binned(cached(prep(train, [label])), prep(other, []), size=len(cols))
+    forest = forest_fits(tr, {"forest": forests.Forest(500, 5, 1)}, label)["forest"]
     logistic = fit_packed(LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000, regParam=1.0 / max(tr.count(), 1)), tr, label=label)
-    out = p1(forest.transform(te)).withColumnRenamed("p", "p_forest").drop("rawPrediction", "probability", "prediction")
-    out = p1(logistic.transform(out)).withColumnRenamed("p", "p_logistic").drop("rawPrediction", "probability", "prediction")
+    out = p1(logistic.transform(te)).withColumnRenamed("p", "p_logistic").drop("rawPrediction", "probability", "prediction")
+    out = forest(out).withColumnRenamed("p", "p_forest").drop("bins")
     out = svm_rff(tr, out, [f"{c}_s" for c in cols], label, gamma=1.0 / len(cols), id_col=id_col).withColumnRenamed("p", "p_machine")
     tr.unpersist()
     return out.select(id_col, "p_forest", "p_logistic", "p_machine", ((F.col("p_forest") + F.col("p_logistic") + F.col("p_machine")) / 3).alias("p_mean"))
@@ -278,19 +302,18 @@ def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int
     """Out-of-fold probabilities of a random forest and of boosted trees feed a
     logistic meta-model (C = 0.5); bases are refitted on all rows to score
     ``other``. Both tables have ``features`` and ``bins``. The boosted fits of
-    all folds are cells of one table; the forests run side by side."""
+    all folds are cells of one table, and so are the forests."""
     params = params or boosting.Params(rows=0.8, columns=0.8)
     train = cached(train)
     trees = boosting.fit(boosting.counted(train, label, fold=fold_col),
                          [boosting.Cell(str(f), params, without=(f,)) for f in range(k)] + [boosting.Cell("all", params)])
-    forests = fit_all([lambda f=f: fit_packed(random_forest(400, 6, 5, label), train.where(F.col(fold_col) != f), label=label) for f in range(k)]
-                      + [lambda: fit_packed(random_forest(400, 6, 5, label), train, label=label)])
+    fits = forest_fits(train, {**{f: forests.Forest(without=(f,)) for f in range(k)}, "all": forests.Forest()}, label, fold_col)
 
     def rows(d, rf, key):
-        d = p1(rf.transform(d)).select(id_col, *([label] if label in d.columns else []), "bins", F.col("p").alias("rf"), F.lit(key).alias("__key"))
+        d = rf(d.select(id_col, *([label] if label in d.columns else []), "features", "bins")).withColumnRenamed("p", "rf").withColumn("__key", F.lit(key))
         return boosting.score(d, trees, by="__key").withColumnRenamed("p", "gbt").drop("__key")
     # A row is scored by the fits that did not see it; all columns stay with it, so nothing is joined.
-    held_out = [rows(train.where(F.col(fold_col) == f), forests[f], str(f)) for f in range(k)]
+    held_out = [rows(train.where(F.col(fold_col) == f), fits[f], str(f)) for f in range(k)]
     meta_train = held_out[0]
     for part in held_out[1:]:
         meta_train = meta_train.unionByName(part)
@@ -300,7 +323,7 @@ def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int
                               standardization=False, maxIter=1000).fit(meta_train)
     meta_train.unpersist()
     train.unpersist()
-    out = meta.transform(asm.transform(rows(other, forests[k], "all")))
+    out = meta.transform(asm.transform(rows(other, fits["all"], "all")))
     return p1(out).select(id_col, "p", (F.col("p") >= 0.5).cast("int").alias("prediction"))
 
 

@@ -19,6 +19,7 @@ from ..functions import features as fx
 from ..operators import boosting as B
 from ..operators import encode as E
 from ..operators import evaluate as EV
+from ..operators import forests as T
 from ..operators import groups as G
 from ..operators import impute as I
 from ..operators import models as M
@@ -218,9 +219,11 @@ COHORTS = {"solo": False, "solo_class3": True}
 @register("model_random_forest")
 def q_model_random_forest(spark, sf_dir):
     """Every form of the forest, in rows of their own."""
-    trv, tev, _ = designed(spark, sf_dir)
-    models = M.fit_all([lambda f=f: M.fit_packed(M.random_forest(*f), trv) for f in FORESTS.values()], workers=3)
-    return reduce(DataFrame.unionByName, [_scored(m, tev).withColumn("form", F.lit(name)) for name, m in zip(FORESTS, models)])
+    tr, te, _ = _binned(spark, sf_dir)
+    fits = M.forest_fits(tr, {name: T.Forest(*f) for name, f in FORESTS.items()})
+    te = te.select(ID, "features", "bins")
+    return reduce(DataFrame.unionByName, [
+        fit(te).select(ID, "p", (F.col("p") > 0.5).cast("int").alias("prediction"), F.lit(name).alias("form")) for name, fit in fits.items()])
 
 
 @register("model_svm")
@@ -273,7 +276,7 @@ def q_model_feature_importance(spark, sf_dir):
     forest, as shares; ``kept`` marks those above the floor."""
     tr, _, names = _binned(spark, sf_dir)
     shares = {"boosted": M.boosted(tr, GENERAL).importance(len(names)).tolist(),
-              "forest": M.fit_packed(M.random_forest(400, 6, 5), tr).featureImportances.toArray().tolist()}
+              "forest": M.forest_importance(tr, T.Forest(400, 6, 5), len(names))}
     rows = [(model, *r) for model, s in shares.items() for r in M.feature_importance(s, names)]
     return spark.createDataFrame(rows, "model string, feature string, importance double, rank int") \
         .withColumn("kept", F.col("importance") > IMPORTANCE_FLOOR)
