@@ -258,9 +258,10 @@ def roster_status(label: str = "Survived", attached: str = "Attached", person: s
 def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
               precedence: str = "master", min_size: int = 2, embarked_fill: str = "NA",
               ticket_variant: str = "last_char", link_pairs: DataFrame | None = None,
-              recount: bool = True, no_comma: str = "empty") -> DataFrame:
+              recount: bool = True, no_comma: str = "empty", keep: list[str] | None = None) -> DataFrame:
     """Person type, group key, size filter, ticket key and attach, in the
-    order the group model uses them."""
+    order the group model uses them. With ``keep`` the result has these columns
+    only, and the steps carry no others than they need."""
     d = with_split(df)
     d = engineer_keys(d, precedence, ticket_variant, no_comma)
     d = add_group_key(d, embarked_fill=embarked_fill)
@@ -271,9 +272,13 @@ def wcg_frame(df: DataFrame, scope: str = "combined", attach: str = "first_row",
     # the input is read twice: the key table is materialized once; the size
     # filter is a join with a small registry and is simply read twice by
     # the attach step; the attached frame is materialized for the callers.
+    if keep is not None:
+        d = d.select(*dict.fromkeys([*(c for c in keep if c in d.columns), ID, "split", "Title", "GroupId", "TicketId"]))
     d = materialize(d)
     d = filter_group_size(d, min_size=min_size, scope=scope)
     d = attach_relatives(d, form=attach, scope=scope)
+    if keep is not None:
+        d = d.select(*[c for c in d.columns if c in keep])
     if not recount:
         return materialize(d)
     return materialize(recount_group_size(d, scope=scope))

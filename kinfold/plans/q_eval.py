@@ -131,7 +131,7 @@ SELECT trial, CAST(sum(abs(CASE WHEN Title = 'boy' AND rate = 1 THEN 1 WHEN Titl
 FROM pr GROUP BY trial"""))
 def q_cv_group_model(spark, sf_dir):
     lab = manifest(spark, sf_dir).where(F.col("Survived").isNotNull())
-    d = G.wcg_frame(lab, scope="combined", attach="not_self", recount=False)
+    d = G.wcg_frame(lab, scope="combined", attach="not_self", recount=False, keep=[ID, "Survived", "Title", "Pclass", "GroupId"])
     d = S.cv_group_model(d.select(ID, "Survived", "Title", "Pclass", "GroupId"), id_col=ID, trials=25, k=10, seed=42)
     return d.withColumn("accuracy", r6("accuracy"))
 

@@ -159,15 +159,20 @@ def q_model_gbt_early_stop(spark, sf_dir):
     return _classed(M.boosted_p(final, te)).withColumn("n_rounds", F.lit(best)).withColumn("best_auc", F.lit(first.auc[-1]))
 
 
+#: What the sub-models and their cohorts read.
+_SUB_COLUMNS = [ID, "Survived", "split", "Pclass", "Sex", "Age", "SibSp", "Parch", "Ticket", "Fare", "Embarked", "Title", "GroupId"]
+
+
 def _sub_frame(spark, sf_dir):
     """Men / solo-women sub-model features over the group frame; missing
     ages take the labelled median."""
-    m = G.with_split(manifest(spark, sf_dir))
-    d = G.wcg_frame(m, scope="combined", attach="first_row", recount=False)
+    m = G.with_split(manifest(spark, sf_dir)).drop("Cabin")
+    d = G.wcg_frame(m, scope="combined", attach="first_row", recount=False, keep=_SUB_COLUMNS)
+    # The medians come from the written frame: their passes don't repeat the join of the counts.
+    d = I.impute_median(d.withColumn("__fare", F.col("Fare")), ["Age", "Fare"])
     d = add_key_count(d, ["Ticket"], "TicketFreq", spread_on=ID)
-    d = d.withColumn("FamilySize", fx.family_size()).withColumn("FareAdj", F.col("Fare") / F.col("TicketFreq"))
-    d = I.impute_median(d, ["Age", "Fare"])
-    return materialize(d.withColumn("FareAdj", F.coalesce("FareAdj", F.col("Fare"))))
+    d = d.withColumn("FamilySize", fx.family_size()).withColumn("FareAdj", F.coalesce(F.col("__fare") / F.col("TicketFreq"), F.col("Fare")))
+    return materialize(d.drop("__fare", "Ticket"))
 
 
 def _xy(d, kind):
@@ -186,9 +191,9 @@ def _cohort(d, kind):
     return d.where((F.col("Title") == "woman") & (F.col("FamilySize") == 1) & F.col("GroupId").isNull())
 
 
-def _sub_rows(spark, sf_dir, kind, class3=False):
-    """(labelled, scoring) rows of a cohort with x1 and x2."""
-    d = _xy(_cohort(_sub_frame(spark, sf_dir), kind), kind)
+def _sub_rows(spark, sf_dir, kind, class3=False, frame=None):
+    """(labelled, scoring) rows of a cohort with x1 and x2; several cohorts share a ``frame``."""
+    d = _xy(_cohort(_sub_frame(spark, sf_dir) if frame is None else frame, kind), kind)
     if class3:
         d = d.where(F.col("Pclass") == 3)
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
@@ -228,9 +233,9 @@ def q_model_random_forest(spark, sf_dir):
 
 @register("model_svm")
 def q_model_svm(spark, sf_dir):
-    parts = []
+    parts, frame = [], _sub_frame(spark, sf_dir)
     for name, class3 in COHORTS.items():
-        tr, te = _sub_rows(spark, sf_dir, "women", class3)
+        tr, te = _sub_rows(spark, sf_dir, "women", class3, frame)
         r = M.svm_rff(tr.drop("features"), te.drop("features"), ["x1", "x2"])
         parts.append(r.select(F.lit(name).alias("cohort"), ID, "p", (F.col("p") >= 0.5).cast("int").alias("prediction")))
     return reduce(DataFrame.unionByName, parts)
@@ -238,9 +243,9 @@ def q_model_svm(spark, sf_dir):
 
 @register("model_cart")
 def q_model_cart(spark, sf_dir):
-    parts = []
+    parts, frame = [], _sub_frame(spark, sf_dir)
     for name, class3 in COHORTS.items():
-        tr, te = _sub_rows(spark, sf_dir, "women", class3)
+        tr, te = _sub_rows(spark, sf_dir, "women", class3, frame)
         parts.append(_scored(M.fit_packed(M.cart(5), tr), te).withColumn("cohort", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -476,7 +481,7 @@ def q_eval_oof_scores(spark, sf_dir):
     """Each labelled row scored by the logistic model of the folds that did
     not see it; per-row OOF probability and the fold's accuracy."""
     tr, _ = frames(spark, sf_dir)
-    tr = S.kfold_stratified(tr, "Survived", ID, 5, 42)
+    tr = materialize(S.kfold_stratified(tr, "Survived", ID, 5, 42))   # five designs read it, many times each
     designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f)) for f in range(5)]
     models = M.fit_all([lambda av=av: M.logreg(av.count()).fit(av) for av, _, _ in designs])
     parts = [M.p1(m.transform(bv)).select(ID, "fold", "Survived", "p") for m, (_, bv, _) in zip(models, designs)]
