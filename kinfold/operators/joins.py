@@ -45,7 +45,8 @@ def join_back(df: DataFrame, registry: DataFrame, keys: list[str] | str,
         _SPREAD,
         F.when(_any_null(keys), F.pmod(F.xxhash64(*spread_on), F.lit(SPREAD_BUCKETS)))
          .otherwise(F.lit(0)).cast("int"))
-    reg = reg.withColumn(_SPREAD, F.lit(0))
+    # Always 0, but no literal: Spark would put that into the condition and deal the rows by the other keys alone.
+    reg = reg.withColumn(_SPREAD, F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int"))
     return salted.join(reg, on=keys + [_SPREAD], how="left").drop(_SPREAD)
 
 
