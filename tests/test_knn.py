@@ -60,3 +60,34 @@ def test_compared_pairs_grow_slower_than_the_product(spark):
         compared += made
         assert made[0] < 0.3 * len(q) * len(r)
     assert compared[1] / compared[0] < 16
+
+
+@pytest.mark.parametrize("group_bytes,cells", [(32 << 20, 64), (1000, 3)])
+def test_grid_of_unclustered_rows(spark, monkeypatch, group_bytes, cells):
+    """Every query must see nearly every partition; no written table holds it more than once."""
+    monkeypatch.setattr(knn, "GROUP_BYTES", group_bytes, raising=False)
+    monkeypatch.setattr(knn, "CELLS", cells, raising=False)
+    held, written = [], knn.written
+
+    def counted(df):
+        out, path = written(df)
+        if "vec" in out.columns:
+            blocks = out.schema["vec"].dataType.elementType.typeName() == "array"
+            held.append(out.selectExpr("sum(size(vec))" if blocks else "count(*)").first()[0])
+        return out, path
+    monkeypatch.setattr(knn, "written", counted)
+    query, ref = rows(40, size=16, start=1000), rows(300, size=16)
+    ref += [(1000 + i, v, 1 - y) for i, v, y in ref[:5]]  # equal vectors: ties go to the smaller id
+    check(spark, query + [(2000, ref[0][1], 0)], ref, k=3)
+    assert max(held) <= len(ref)
+
+
+def test_queries_that_share_an_id_or_have_none(spark):
+    ref = rows(200, size=8)
+    [a, b] = rows(2, size=8)
+    q = spark.createDataFrame([(1, a[1], 0), (1, a[1], 0), (None, b[1], 0)], SCHEMA)
+    got = {r.id: (r.knn_fraction, r.k) for r in knn.knn_fraction(q, spark.createDataFrame(ref, SCHEMA), "id", "id", "vec", "label").collect()}
+    alone = plain([(None, b[1], 0)], ref, 3)
+    # The rows of an id are ranked together: the nearest twice, and the second.
+    first, second = [sorted((sum((x - y) ** 2 for x, y in zip(a[1], w)), r, y) for r, w, y in ref)[i][2] for i in (0, 1)]
+    assert got == {1: (pytest.approx((2 * first + second) / 3), 3), None: (pytest.approx(alone[None][0]), 3)}
