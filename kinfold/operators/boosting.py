@@ -446,10 +446,11 @@ def score(df: DataFrame, trees: dict, rounds: list[int] | None = None, by: str |
         for batch in batches:
             n = batch.num_rows
             x = batch.column(bins).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
-            keys = batch.column(by).to_pylist() if by else [None] * n
+            coded = batch.column(by).dictionary_encode() if by else None
+            at = coded.indices.to_numpy(zero_copy_only=False) if by else np.zeros(n, np.int64)
             out = np.zeros((n, len(rounds) if rounds else 1))
-            for key in set(keys):
-                rows = np.array([k == key for k in keys])
+            for i, key in enumerate(coded.dictionary.to_pylist() if by else [None] if n else []):
+                rows = at == i
                 own = trees[key] if by else only
                 out[rows] = sigmoid(own.at(x[rows], rounds or [len(own.feature)]))
             made = pa.array(out.tolist(), pa.list_(pa.float64())) if rounds else pa.array(out[:, 0])

@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import boosting, forests
 from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
@@ -138,6 +139,64 @@ def design(train: DataFrame, other: DataFrame | None = None, numeric=None, categ
     return prep(train), (prep(other) if other is not None else None), names
 
 
+# ---------------------------------------------------------------------------
+# The preprocessing of all folds at once
+# ---------------------------------------------------------------------------
+def fit_fold_preps(rows: DataFrame, folds: int, fold: str = "fold", numeric: list[str] | None = None, categorical: list[str] | None = None) -> list[dict]:
+    """``fit_prep`` on the rows out of each fold, for all folds in the passes of one fit."""
+    numeric, categorical = numeric or NUMERIC, categorical or CATEGORICAL
+    out = lambda f: F.coalesce(F.col(fold) != f, F.lit(False))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric]))
+    long = rows.select(fold, each.alias("__p")).select(
+        "__p.column", "__p.value", F.explode(F.filter(F.array(*[F.lit(f) for f in range(folds)]), lambda f: f != F.col(fold))).alias("without"))
+    meds = {(r["without"], r["column"]): r["med"] for r in exact_quantiles(long, "value", {"med": 0.5}, ["without", "column"]).collect()}
+    filled = lambda f, c: F.coalesce(F.col(c).cast("double"), F.lit(meds.get((f, c))).cast("double"))
+    row = rows.agg(F.count(F.lit(1)), *[a(F.when(out(f), filled(f, c))).alias(f"{f}__{c}__{n}") for f in range(folds) for c in numeric
+                                        for a, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]).first()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical]))
+    # A row for each level and fold, as in fit_prep_onehot.
+    counts = rows.select(fold, pairs.alias("p")).where(F.col("p.v").isNotNull()).groupBy(F.col(fold).alias("f"), "p.c", "p.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    preps = []
+    for f in range(folds):
+        levels = {}
+        for c in categorical:
+            seen: dict = {}
+            for r in counts:
+                if r["c"] == c and r["f"] is not None and r["f"] != f:
+                    seen[r["v"]] = seen.get(r["v"], 0) + r["n"]
+            levels[c] = {"mode": min(seen, key=lambda v: (-seen[v], v)) if seen else None, "levels": sorted(seen)}
+        stats = {k: v for c in numeric for k, v in ((f"{c}__med", meds.get((f, c))), (f"{c}__mean", row[f"{f}__{c}__mean"]), (f"{c}__std", row[f"{f}__{c}__std"]))}
+        preps.append({"numeric": numeric, "stats": stats, "levels": levels, "columns": [*numeric, *categorical]})
+    return preps
+
+
+def prep_features(prep: dict) -> dict[str, Column]:
+    """The entries of the ``features`` of ``apply_prep`` as columns, by their names and in their order."""
+    number = lambda v: F.lit(v).cast("double")
+    made, stats = {}, prep["stats"]
+    for c in prep["numeric"]:
+        med, mean, std = (number(stats[f"{c}__{n}"]) for n in ("med", "mean", "std"))
+        made[c + "_z"] = F.when(std > 0, (F.coalesce(F.col(c).cast("double"), med) - mean) / std).otherwise(F.lit(0.0))
+    for c, fitted in prep["levels"].items():
+        v = F.coalesce(F.col(c).cast("string"), F.lit(fitted["mode"]))
+        made |= {f"{c}_{lev}": (v == F.lit(lev)).cast("double") for lev in fitted["levels"]}
+    return made
+
+
+def fold_binned(rows: DataFrame, preps: list[dict], fold: str = "fold", label: str = "Survived") -> tuple[DataFrame, list[list[str]]]:
+    """(fold, label, bins0, bins1, ...), written once, and the names of the bins
+    of each: bins<f> are by the preprocessing and the cuts of the rows out of fold
+    f, as ``binned`` of their ``design``. All cuts come from one aggregation."""
+    features = [prep_features(p) for p in preps]
+    out = lambda f, c: F.when(F.coalesce(F.col(fold) != f, F.lit(False)), c)
+    cuts = boosting.edges(rows, [out(f, c) for f, own in enumerate(features) for c in own.values()])
+    bins = []
+    for f, own in enumerate(features):
+        bins.append(boosting.bins_of(list(own.values()), cuts[:len(own)]).alias(f"bins{f}"))
+        cuts = cuts[len(own):]
+    return materialize(rows.select(fold, label, *bins)), [list(own) for own in features]
+
+
 # ---------------------------------------------------------------------------
 # Estimators
 # ---------------------------------------------------------------------------

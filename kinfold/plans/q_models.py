@@ -543,19 +543,26 @@ def q_ablate_features(spark, sf_dir):
     """5-fold CV of boosted trees (50 rounds) with and without the
     interaction feature; deltas and a verdict."""
     tr, _ = frames(spark, sf_dir)
-    tr = materialize(S.kfold_stratified(tr, "Survived", ID, 5, 42))
-    arms = {"with": M.NUMERIC, "without": [c for c in M.NUMERIC if c != "Age_Sex_interaction"]}
-    out = []
-    for arm, num in arms.items():
-        designs = [M.design(tr.where(F.col("fold") != f), tr.where(F.col("fold") == f), numeric=num)
-                   for f in range(5)]
-        pairs = [M.binned(av, bv, size=len(names)) for av, bv, names in designs]
-        models = M.fit_all([lambda av=av: M.boosted(av, B.with_rounds(GENERAL, ABLATION_ROUNDS)) for av, _ in pairs])
-        parts = [M.boosted_p(m, bv).select(ID, "fold", F.col("Survived").alias("y"), F.col("p").alias("score"))
-                 for m, (_, bv) in zip(models, pairs)]
-        oof = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
-        s = EV.cv_summary(EV.fold_metrics(oof)).withColumn("arm", F.lit(arm))
-        out.append(s.select("arm", "acc_mean", "roc_mean", "f1_mean"))
+    tr = materialize(S.kfold_stratified(tr.select(ID, "Survived", *M.NUMERIC, *M.CATEGORICAL), "Survived", ID, 5, 42))
+    # Without the feature a fold's design is that with it but for one entry, so both arms have one preprocessing and one binned table.
+    rows, names = M.fold_binned(tr, M.fit_fold_preps(tr, 5))
+    arms = {"with": None, "without": "Age_Sex_interaction_z"}
+
+    def bins(f, left_out):
+        own = F.col(f"bins{f}")
+        return own if left_out is None else F.filter(own, lambda _, i: i != names[f].index(left_out))
+    cells = [(arm, f) for arm in arms for f in range(5)]
+    train = lambda arm, f: rows.where(F.col("fold") != f).select("Survived", bins(f, arms[arm]).alias("bins"))
+    fits = M.fit_all([lambda c=c: M.boosted(train(*c), B.with_rounds(GENERAL, ABLATION_ROUNDS)) for c in cells], workers=5)
+    trees = {f"{arm}-{f}": t for (arm, f), t in zip(cells, fits, strict=True)}
+    held = []
+    for arm, left_out in arms.items():
+        unseen = F.coalesce(*[F.when(F.col("fold") == f, bins(f, left_out)) for f in range(5)])   # by the design that did not see the row
+        held.append(rows.select(F.lit(arm).alias("arm"), "fold", F.col("Survived").alias("y"), F.concat_ws("-", F.lit(arm), F.col("fold").cast("string")).alias("key"), unseen.alias("bins")))
+    scored = B.score(reduce(DataFrame.unionByName, held), trees, by="key")
+    oof = materialize(scored.select("arm", "fold", "y", F.col("p").alias("score"), (F.col("p") >= 0.5).cast("int").alias("pred")))
+    metrics = materialize(EV.fold_metrics(oof, group_cols=["arm"]))
+    out = [EV.cv_summary(metrics.where(F.col("arm") == arm)) for arm in arms]
     w = out[0].alias("a").crossJoin(out[1].alias("b"))
     d_acc = F.col("a.acc_mean") - F.col("b.acc_mean")
     verdict = (F.when(d_acc > 0.01, "significant").when(d_acc > 0.005, "modest").when(d_acc > 0, "minimal")
