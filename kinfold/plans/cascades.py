@@ -52,22 +52,34 @@ def add_common(df: DataFrame, scope_keys: list[str], source: DataFrame | None =
     return d.withColumn("FareAdj", F.col("Fare") / F.col("TicketFreq"))
 
 
+#: What the sub-model, group, heuristic, edge and pattern rules read; the frames need no others for them.
+RULE_COLUMNS = [ID, "Survived", "split", "Title", "GroupId", "Pclass", "Sex", "Age", "SibSp", "Parch", "Ticket", "Fare", "p_men", "p_women"]
+
+
+def r_attached(m: DataFrame, attach: str = "first_row", link_pairs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The grouped rows that ``r_frame`` annotates; several frames can share them."""
+    return G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs,
+                       recount=False, keep=keep)
+
+
 def r_frame(m: DataFrame, attach: str = "first_row", ungrouped: str = "own_mean",
-            link_pairs: DataFrame | None = None) -> DataFrame:
-    a = G.wcg_frame(m, scope="combined", attach=attach, precedence="master", link_pairs=link_pairs,
-                    recount=False)
+            link_pairs: DataFrame | None = None, attached: DataFrame | None = None) -> DataFrame:
+    a = r_attached(m, attach, link_pairs) if attached is None else attached
     d = G.annotate_groups(a, ungrouped=ungrouped)
     d = d.withColumn("GroupDecided", R.decided_mask())
     return add_common(d, [], source=a)
 
 
-def py_frame(m: DataFrame) -> DataFrame:
+def py_frame(m: DataFrame, keep: list[str] | None = None) -> DataFrame:
     d = G.wcg_frame(m, scope="per_split", attach="first_grouped", precedence="female", recount=False,
-                    embarked_fill="S", no_comma="whole")
+                    embarked_fill="S", no_comma="whole", keep=keep)
     return materialize(add_common(d, ["split"], source=d))
 
 
-def py_registry(d: DataFrame, min_labelled: int = 1) -> DataFrame:
+def py_registry(d: DataFrame, min_labelled: int = 1, known: DataFrame | None = None) -> DataFrame:
+    """``known``: the registry of ``d`` with the least number of labelled members, where several cascades share it."""
+    if known is not None:
+        return known.where(F.col("n_labelled") >= min_labelled)
     return G.group_registry(d.where(F.col("split") == "train"), min_labelled=min_labelled)
 
 
@@ -118,9 +130,11 @@ def cascade_clone(m: DataFrame) -> DataFrame:
     m2 = m.crossJoin(F.broadcast(med)).withColumn("Fare", F.coalesce("Fare", "__med")).drop("__med")
     d = G.with_split(m2)
     d = G.engineer_keys(d, "master")
-    d = G.filter_group_size(G.add_group_key(d, embarked_fill="S"))
-    d = add_common(d, [])
-    reg = G.group_registry(d.where(F.col("split") == "train")).where(F.col("rate").isin(0.0, 1.0)) \
+    d = G.add_group_key(d, embarked_fill="S")
+    # Three branches read the sized groups: the registry, the ticket counts and the rows.
+    sized = materialize(G.filter_group_size(d.select(*[c for c in RULE_COLUMNS if c in d.columns])))
+    d = add_common(sized, [])
+    reg = G.group_registry(sized.where(F.col("split") == "train")).where(F.col("rate").isin(0.0, 1.0)) \
         .withColumn("outcome", F.col("rate").cast("int"))
     d = _with_rate(d, reg, "outcome")
     solo = (F.col("Title") == "woman") & (F.col("FamilySize") == 1) & F.col("GroupId").isNull()
@@ -143,31 +157,31 @@ def _py_cascade(d: DataFrame, reg: DataFrame, kind: str, flip_or_replace: str,
     return d, stages + (extra or [])
 
 
-def cascade_complete_wcg(d: DataFrame) -> DataFrame:
-    dd, st = _py_cascade(d, py_registry(d, 1), "rate", "flip", "known")
+def cascade_complete_wcg(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    dd, st = _py_cascade(d, py_registry(d, 1, known), "rate", "flip", "known")
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_complete_r(d: DataFrame) -> DataFrame:
-    dd, st = _py_cascade(d, py_registry(d, 1), "rate", "flip", "known", unknown=True)
+def cascade_complete_r(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    dd, st = _py_cascade(d, py_registry(d, 1, known), "rate", "flip", "known", unknown=True)
     dd = dd.withColumn("HeuristicScore", R.heuristic_score())
     st.append(R.heuristic_rules())
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_exact_r(d: DataFrame) -> DataFrame:
-    dd, st = _py_cascade(d, py_registry(d, 1), "rate", "flip", "known", unknown=True)
+def cascade_exact_r(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    dd, st = _py_cascade(d, py_registry(d, 1, known), "rate", "flip", "known", unknown=True)
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_faithful(d: DataFrame) -> DataFrame:
-    reg = G.outcome_definitive(py_registry(d, 2), 2)
+def cascade_faithful(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    reg = G.outcome_definitive(py_registry(d, 2, known), 2)
     dd, st = _py_cascade(d, reg, "outcome", "replace", "any")
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_enhanced(d: DataFrame) -> DataFrame:
-    reg = G.outcome_majority(py_registry(d, 2), 0.75, 0.25, 2)
+def cascade_enhanced(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    reg = G.outcome_majority(py_registry(d, 2, known), 0.75, 0.25, 2)
     dd, st = _py_cascade(d, reg, "outcome", "replace", "known")
     st.append([R.Rule("edge_case", R.edge_case_value().isNotNull(), R.edge_case_value())])
     return out(R.run_cascade(dd, R.baseline_gender(), st))
@@ -183,9 +197,9 @@ def cascade_soft_vote(d: DataFrame, prob_cols: list[str]) -> DataFrame:
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_static(d: DataFrame) -> DataFrame:
+def cascade_static(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
     spark = d.sparkSession
-    dd, st = _py_cascade(d, py_registry(d, 2), "rate", "flip", "known")
+    dd, st = _py_cascade(d, py_registry(d, 2, known), "rate", "flip", "known")
     res = R.run_cascade(dd, R.baseline_gender(), st)
     ids = spark.createDataFrame([(i,) for i in STATIC_DEATH_IDS], "id long")
     return out(R.static_ids_rule(res, ids))

@@ -49,12 +49,13 @@ def rest_features():
 
 def rule_then_fitted(m):
     """Family rules first; boosted trees learn from the labelled rows that they leave and decide the others."""
-    d = G.with_split(m).withColumn("FamilyID", fx.family_id("Name"))
+    d = G.with_split(m.select(ID, "Survived", "Pclass", "Name", "Sex", "Age", "SibSp", "Parch", "Fare", "Embarked")).withColumn("FamilyID", fx.family_id("Name"))
     fam = G.family_unanimity(d.where(F.col("split") == "train"))
-    dd = join_back(d, fam.select("FamilyID", "all_fb_live", "all_fb_die"), "FamilyID", spread_on=ID)
+    # The cuts, the fit and the scores read it.
+    dd = materialize(join_back(d, fam.select("FamilyID", "all_fb_live", "all_fb_die"), "FamilyID", spread_on=ID).drop("FamilyID"))
     covered = (fx.is_boy("Name") & F.col("all_fb_live")) | (fx.is_female("Sex") & F.col("all_fb_die"))
-    scored = M.fitted_stage(dd, covered, rest_features(), Q.GENERAL).drop("all_fb_live", "all_fb_die", "FamilyID", "split")
-    return C.cascade_rule_then_model(materialize(scored))
+    scored = M.fitted_stage(dd, covered, rest_features(), Q.GENERAL)
+    return C.cascade_rule_then_model(materialize(scored.select(ID, "Survived", "Name", "Sex", "SibSp", "Parch", "p_rest")))
 
 
 @register("cascades_fitted")
@@ -62,10 +63,12 @@ def q_cascades_fitted(spark, sf_dir):
     """(cascade, PassengerId, prediction, decided_by) of the cascades with
     sub-models, from one pair of fits; a row outside a cohort has no score of it
     and no rule asks for one."""
-    m = materialize(join_back(manifest(spark, sf_dir), sub_scores(spark, sf_dir), ID))
-    py, r, own = C.py_frame(m), C.r_frame(m), C.r_frame(m, ungrouped="fallback")
-    made = {"complete_wcg": C.cascade_complete_wcg(py), "complete_r": C.cascade_complete_r(py), "exact_r": C.cascade_exact_r(py),
-            "faithful": C.cascade_faithful(py), "enhanced": C.cascade_enhanced(py), "static": C.cascade_static(py),
+    m = materialize(join_back(manifest(spark, sf_dir).drop("Cabin"), sub_scores(spark, sf_dir), ID))
+    py, grouped = C.py_frame(m, keep=C.RULE_COLUMNS), C.r_attached(m, keep=C.RULE_COLUMNS)
+    known = materialize(C.py_registry(py))
+    r, own = C.r_frame(m, attached=grouped), C.r_frame(m, ungrouped="fallback", attached=grouped)
+    made = {"complete_wcg": C.cascade_complete_wcg(py, known), "complete_r": C.cascade_complete_r(py, known), "exact_r": C.cascade_exact_r(py, known),
+            "faithful": C.cascade_faithful(py, known), "enhanced": C.cascade_enhanced(py, known), "static": C.cascade_static(py, known),
             "patterns": C.cascade_patterns(own), "clone": C.cascade_clone(m), "solo_female": C.cascade_solo_female(m),
             "group": C.cascade_group(r), "rule_then_model": rule_then_fitted(m.drop("p_men", "p_women"))}
     return reduce(DataFrame.unionByName, [
