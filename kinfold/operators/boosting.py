@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,15 +89,17 @@ class Trees:
         return Trees(self.feature[:n], self.cut[:n], self.value[:n], self.gain[:n], self.auc[:n])
 
     def leaves(self, tree: int, bins: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        feature, cut, width = self.feature[tree].astype(np.int64), self.cut[tree], bins.shape[1]
+        flat, node, live = np.ascontiguousarray(bins).ravel(), np.zeros(len(bins), np.int64), np.arange(len(bins))
         while True:
-            f = self.feature[tree, node]
+            at = node.take(live)
+            f = feature.take(at)
             inner = f >= 0
-            if not inner.any():
+            if not inner.all():
+                live, at, f = live[inner], at[inner], f[inner]
+            if not len(live):
                 return node
-            right = bins[rows, np.maximum(f, 0)] > self.cut[tree, node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+            node[live] = 2 * at + 1 + (flat.take(live * width + f) > cut.take(at))
 
     def margins(self, bins: np.ndarray, start: int = 0) -> Iterator[np.ndarray]:
         """Running sums of the trees from ``start`` on, after each tree."""
@@ -142,6 +145,21 @@ def bins_of(features: list, cuts: list[list[float]]) -> F.Column:
     return F.array(*[one(c, q) for c, q in zip(features, cuts, strict=True)])
 
 
+def with_bins(df: DataFrame, features: list, cuts: list[list[float]], out: str = "bins") -> DataFrame:
+    """``df`` with the array of ``bins_of``, each feature by a binary search over its cut points."""
+    cuts = [[x for x in q if x == x] for q in cuts]   # nothing is above a NaN
+    found = [i for i, q in enumerate(cuts) if any(x < np.inf for x in q)]
+    names, value = [f"__x{i}" for i in range(len(features))], lambda c: F.coalesce(c.cast("double"), F.lit(float("-inf")))
+    d = df.select("*", *[value(c).alias(n) for c, n in zip(features, names, strict=True)])
+    # A bucket begins at its split; a value is above a cut from the next larger number on.
+    splits = [[-np.inf, *(float(np.nextafter(x, np.inf)) for x in cuts[i] if x < np.inf), np.inf] for i in found]
+    if found:
+        d = Bucketizer(splitsArray=splits, inputCols=[f"__y{i}" for i in found], outputCols=[f"__b{i}" for i in found]).transform(
+            d.withColumns({f"__y{i}": F.when(F.isnan(names[i]), F.lit(float("inf"))).otherwise(F.col(names[i])) for i in found}))
+    bins = [F.when(F.isnan(n), F.lit(float(len(q)))).otherwise(F.col(f"__b{i}") if i in found else F.lit(0.0)).cast("tinyint") for i, (n, q) in enumerate(zip(names, cuts, strict=True))]
+    return d.withColumn(out, F.array(*bins)).select(*dict.fromkeys([*df.columns, out]))
+
+
 def counted(df: DataFrame, label: str = "Survived", bins: str = "bins", group: str | None = None, fold: str | None = None) -> DataFrame:
     """(group, fold, bins, n0, n1): distinct binned rows and how many rows of either label they stand for."""
     y = F.col(label).cast("int")
@@ -158,6 +176,19 @@ def _arrays(batch) -> tuple[np.ndarray, ...]:
             flat.reshape(n, -1) if n else np.zeros((0, 1), np.uint8), np.array(batch.column("n0").to_pylist(), np.int64), np.array(batch.column("n1").to_pylist(), np.int64))
 
 
+def gathered(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at least ``rows``, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # --- one tree ------------------------------------------------------------------
 def _drawn(cell: Cell, tree: int, block: int, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of either label that a tree is grown on."""
@@ -179,13 +210,19 @@ def _gradients(margin: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> tuple[np.n
     return p * (k0 + k1) - k1, p * (1 - p) * (k0 + k1)
 
 
-def _histograms(bins: np.ndarray, at: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """nodes x features x BINS x (G, H) of the rows whose ``at`` is a node."""
-    live = at >= 0
-    bins, at, features = bins[live], at[live], bins.shape[1]
-    key = ((at[:, None] * features + np.arange(features)) * BINS + bins).ravel()
-    size = nodes * features * BINS
-    return np.stack([np.bincount(key, np.repeat(w[live], features), size) for w in (g, h)], axis=-1).reshape(nodes, features, BINS, 2)
+def _histograms(bins: np.ndarray, at: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+    """nodes x features x BINS x (G, H) of the rows whose ``at`` is a node; with
+    ``columns`` only these and the first feature, whose bins give the sums of a
+    node, are counted and the others are 0."""
+    out = np.zeros((nodes, bins.shape[1], BINS, 2))
+    live = np.flatnonzero(at >= 0)
+    every = len(live) == len(at)
+    first, weights = at[live] * BINS, [w if every else w[live] for w in (g, h)]
+    for f in range(bins.shape[1]) if columns is None else sorted({0, *columns.tolist()}):
+        key = first + (bins[:, f] if every else bins[live, f])
+        for i, w in enumerate(weights):
+            out[:, f, :, i] = np.bincount(key, w, nodes * BINS).reshape(nodes, BINS)
+    return out
 
 
 def _choose(hist: np.ndarray, p: Params, columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -227,6 +264,14 @@ def stop_at(series: list[float], patience: int) -> tuple[int, bool]:
     return best + 1, len(series) - 1 - best >= patience
 
 
+def distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of ``bins``, and which of them each row is."""
+    if not len(bins):
+        return bins, np.zeros(0, np.int64)
+    _, first, back = np.unique(np.ascontiguousarray(bins).view(f"V{bins.shape[1] * bins.itemsize}").ravel(), return_index=True, return_inverse=True)
+    return bins[first], back.reshape(-1)
+
+
 def grow(cell: Cell, group: np.ndarray, fold: np.ndarray, bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Trees:
     """All trees of a cell from a whole binned table."""
     p = cell.params
@@ -235,26 +280,38 @@ def grow(cell: Cell, group: np.ndarray, fold: np.ndarray, bins: np.ndarray, n0:
     valid = own & (fold == cell.valid) if cell.patience else np.zeros(len(fold), bool)
     v_bins, v0, v1, v_margin = bins[valid], n0[valid], n1[valid], np.zeros(valid.sum())
     bins, n0, n1 = bins[used], n0[used], n1[used]
-    trees, margin = Trees.none(p.depth, p.rounds), np.zeros(len(n0))
+    # Rows are drawn as they are; those of several folds that are equal then count as one.
+    back = None
+    if len(np.unique(fold[used])) > 1:
+        bins, back = distinct(bins)
+    bins = np.asfortranarray(bins)
+    trees, margin = Trees.none(p.depth, p.rounds), np.zeros(len(bins))
     for t in range(p.rounds):
-        g, h = _gradients(margin, *_drawn(cell, t, 0, n0, n1))
+        drawn = _drawn(cell, t, 0, n0, n1)
+        g, h = _gradients(margin, *(drawn if back is None else (np.bincount(back, k, len(bins)) for k in drawn)))
         columns = _columns(cell, t, bins.shape[1])
-        at, level = np.zeros(len(n0), np.int64), 0
+        at, slot, level = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64), 0
         while True:
-            nodes = np.unique(at[at >= 0])
+            live = np.flatnonzero(at >= 0)
+            nodes = np.flatnonzero(np.bincount(at[live], minlength=2**level))
             if not len(nodes):
                 break
+            last = level == p.depth
+            tried = np.zeros(1, np.int64) if last else columns
             place = np.full(2**level, -1, np.int64)
             place[nodes] = np.arange(len(nodes))
-            found = _choose(_histograms(bins, np.where(at >= 0, place[at], -1), len(nodes), g, h), p, columns)
-            _set_level(trees, t, level, found, nodes, level == p.depth)
-            if level == p.depth:
+            slot[live] = 2**level - 1 + at[live]
+            found = _choose(_histograms(bins, np.where(at >= 0, place[at], -1), len(nodes), g, h, tried), p, tried)
+            _set_level(trees, t, level, found, nodes, last)
+            if last:
                 break
-            f = np.where(at >= 0, trees.feature[t, 2**level - 1 + np.maximum(at, 0)], -1)
-            right = bins[np.arange(len(at)), np.maximum(f, 0)] > trees.cut[t, 2**level - 1 + np.maximum(at, 0)]
-            at = np.where(f >= 0, 2 * at + right, -1)
+            f = np.where(at >= 0, trees.feature[t, slot], -1)
+            inner = np.flatnonzero(f >= 0)
+            right = bins[inner, f[inner]] > trees.cut[t, slot[inner]]
+            at[inner] = 2 * at[inner] + right
+            at[f < 0] = -1
             level += 1
-        margin = margin + trees.value[t, trees.leaves(t, bins)]
+        margin = margin + trees.value[t, slot]
         if cell.patience:
             v_margin = v_margin + trees.value[t, trees.leaves(t, v_bins)]
             trees.auc.append(auc(v_margin, v0, v1))
@@ -443,7 +500,7 @@ def score(df: DataFrame, trees: dict, rounds: list[int] | None = None, by: str |
     only = next(iter(trees.values()))
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, BLOCK_ROWS):
             n = batch.num_rows
             x = batch.column(bins).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
             coded = batch.column(by).dictionary_encode() if by else None
@@ -452,7 +509,9 @@ def score(df: DataFrame, trees: dict, rounds: list[int] | None = None, by: str |
             for i, key in enumerate(coded.dictionary.to_pylist() if by else [None] if n else []):
                 rows = at == i
                 own = trees[key] if by else only
-                out[rows] = sigmoid(own.at(x[rows], rounds or [len(own.feature)]))
+                # Equal rows are scored once.
+                different, back = distinct(x[rows])
+                out[rows] = sigmoid(own.at(different, rounds or [len(own.feature)]))[back]
             made = pa.array(out.tolist(), pa.list_(pa.float64())) if rounds else pa.array(out[:, 0])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, "ps" if rounds else "p"])
     from pyspark.sql import types as T

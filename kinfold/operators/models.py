@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import boosting, forests
+from . import boosting, forests, machines
 from .profile import exact_quantiles, exact_quantiles_by_column, mode_table
 
 NUMERIC = ["Age", "Fare", "SibSp", "Parch", "Age_Sex_interaction"]
@@ -233,7 +233,7 @@ def binned(train: DataFrame, *others: DataFrame, features: list | None = None, s
         entries = vector_to_array(F.col("features"))
         features = [entries[i] for i in range(size)]
     cuts = boosting.edges(train, features)
-    return [d.withColumn("bins", boosting.bins_of(features, cuts)) for d in (train, *others)]
+    return [boosting.with_bins(d, features, cuts) for d in (train, *others)]
 
 
 def boosted(train: DataFrame, params: boosting.Params, label: str = "Survived") -> boosting.Trees:
@@ -253,18 +253,10 @@ def random_forest(trees: int = 400, depth: int = 6, leaf: int = 5, label: str =
 
 def forest_fits(train: DataFrame, forms: dict, label: str = "Survived", fold: str | None = None) -> dict:
     """Per key of ``forms`` (``forests.Forest``) a function that gives a table p
-    and takes its ``features``. ``train`` and the tables have ``features`` and
-    ``bins``; the trees grow on the bins in one job, or, with too many distinct
-    binned rows, in MLlib on the features."""
-    trees = forests.fit(boosting.counted(train, label, fold=fold), forms)
-    if trees is not None:
-        return {key: lambda d, own=own: forests.score(d.drop("features"), own) for key, own in trees.items()}
-
-    def model(f):
-        rows = train.where(~F.col(fold).isin(*f.without)) if f.without else train
-        fitted = fit_packed(random_forest(f.trees, f.depth, f.leaf, label, f.seed), rows, label=label)
-        return lambda d: p1(fitted.transform(d)).drop("rawPrediction", "probability", "prediction", "features")
-    return dict(zip(forms, fit_all([lambda f=f: model(f) for f in forms.values()]), strict=True))
+    and takes its ``features``, if it has any. ``train`` and the tables have
+    ``bins``, which the trees grow on."""
+    trees = forests.grown(boosting.counted(train, label, fold=fold), forms)
+    return {key: lambda d, own=own: forests.score(d.drop("features"), own) for key, own in trees.items()}
 
 
 def forest_importance(train: DataFrame, form, features: int, label: str = "Survived") -> list[float]:
@@ -304,12 +296,20 @@ def fourier_features(df: DataFrame, inputs: list[str], dim: int = 100, gamma: fl
     return d.drop(*[f"__rff{j}" for j in range(dim)])
 
 
+#: Labelled rows up to which MLlib fits the machines; it keeps ``dim`` doubles a row for each.
+MACHINE_ROWS = 1_000_000
+
+
 def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str = "Survived",
             dim: int = 100, gamma: float = 0.5, id_col: str = "PassengerId", folds: int = 3) -> DataFrame:
     """``other`` with p: an RBF-kernel SVM approximated by a linear SVM on random
     Fourier features. Its margin becomes a probability by a logistic fit (Platt
-    scaling) on margins that rows got from machines fitted without them."""
+    scaling) on margins that rows got from machines fitted without them. With
+    more than ``MACHINE_ROWS`` rows the machines are those of ``machines``."""
     hashed = F.pmod(F.xxhash64(F.lit("platt"), F.col(id_col)), F.lit(folds))
+    n = train.count()
+    if n > MACHINE_ROWS:
+        return _svm_blocks(train.withColumn("__part", hashed), other, inputs, label, machines.Fourier(len(inputs), dim, gamma, 42), folds, n)
     tr = packed(fourier_features(train, inputs, dim, gamma).withColumn("__part", hashed), "rff", label, ("__part",))
     te = fourier_features(other, inputs, dim, gamma)
 
@@ -319,13 +319,24 @@ def svm_rff(train: DataFrame, other: DataFrame, inputs: list[str], label: str =
     def margin(svm, d):
         m = svm.transform(d).withColumn("margin", vector_to_array("__svm_raw")[1])
         return VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(m.drop("__svm_pred", "__svm_raw", "rff"))
-    machines = fit_all([lambda f=f: machine(tr.where(F.col("__part") != f)) for f in range(folds)] + [lambda: machine(tr)])
-    held_out = margin(machines[0], tr.where(F.col("__part") == 0))
+    fits = fit_all([lambda f=f: machine(tr.where(F.col("__part") != f)) for f in range(folds)] + [lambda: machine(tr)])
+    held_out = margin(fits[0], tr.where(F.col("__part") == 0))
     for f in range(1, folds):
-        held_out = held_out.unionByName(margin(machines[f], tr.where(F.col("__part") == f)))
+        held_out = held_out.unionByName(margin(fits[f], tr.where(F.col("__part") == f)))
     cal = fit_packed(LogisticRegression(featuresCol="mfeat", labelCol=label, regParam=0.0), held_out, "mfeat", label)
     tr.unpersist()
-    return p1(cal.transform(margin(machines[folds], te)))
+    return p1(cal.transform(margin(fits[folds], te)))
+
+
+def _svm_blocks(train: DataFrame, other: DataFrame, inputs: list[str], label: str, fourier: machines.Fourier, folds: int, n: int) -> DataFrame:
+    blocks, path = machines.packed(train, inputs, label, "__part", n)
+    try:
+        fits = machines.fit(blocks, fourier, folds, reg=0.01)
+        held_out = VectorAssembler(inputCols=["margin"], outputCol="mfeat").transform(machines.held_out(blocks, fourier, fits))
+        cal = fit_packed(LogisticRegression(featuresCol="mfeat", labelCol="label", regParam=0.0), held_out, "mfeat", "label")
+    finally:
+        machines.drop(blocks, path)
+    return machines.score(other, inputs, fourier, fits[folds], float(cal.coefficients[0]), cal.intercept)
 
 
 #: Fixed list: the features of the soft vote's members.
@@ -340,19 +351,20 @@ def soft_vote(train: DataFrame, other: DataFrame, label: str = "Survived", id_co
     machine sees the features scaled by their deviation there."""
     cols = MEMBER_FEATURES
     stats = train.agg(*[e for c in cols for e in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    stats = train.sparkSession.createDataFrame(stats.collect(), stats.schema)   # one row, of which all scans would ask again
     scaled = [F.when(F.col(f"{c}__s") > 0, (F.col(c) - F.col(f"{c}__m")) / F.col(f"{c}__s")).otherwise(F.lit(0.0)).alias(f"{c}_s") for c in cols]
     asm = VectorAssembler(inputCols=cols, outputCol="features")
 
     def prep(d, extra):
-        d = d.crossJoin(F.broadcast(stats)).select(id_col, *extra, *[F.col(c).cast("double").alias(c) for c in cols], *scaled)
-        return asm.transform(d)
-    tr, te = binned(cached(prep(train, [label])), prep(other, []), size=len(cols))
+        return d.select(id_col, *extra, *[F.col(c).cast("double").alias(c) for c in cols])
+    # Every member reads them, most of them many times; what is made of a row's features is made as they are read.
+    tr, te = (asm.transform(materialize(d)).crossJoin(F.broadcast(stats)).select("*", *scaled).drop(*stats.columns)
+              for d in binned(prep(train, [label]), prep(other, []), features=[F.col(c).cast("double") for c in cols]))
     forest = forest_fits(tr, {"forest": forests.Forest(500, 5, 1)}, label)["forest"]
     logistic = fit_packed(LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000, regParam=1.0 / max(tr.count(), 1)), tr, label=label)
     out = p1(logistic.transform(te)).withColumnRenamed("p", "p_logistic").drop("rawPrediction", "probability", "prediction")
     out = forest(out).withColumnRenamed("p", "p_forest").drop("bins")
     out = svm_rff(tr, out, [f"{c}_s" for c in cols], label, gamma=1.0 / len(cols), id_col=id_col).withColumnRenamed("p", "p_machine")
-    tr.unpersist()
     return out.select(id_col, "p_forest", "p_logistic", "p_machine", ((F.col("p_forest") + F.col("p_logistic") + F.col("p_machine")) / 3).alias("p_mean"))
 
 
@@ -360,16 +372,19 @@ def stacking(train: DataFrame, other: DataFrame, fold_col: str = "fold", k: int
              label: str = "Survived", params: boosting.Params | None = None, id_col: str = "PassengerId") -> DataFrame:
     """Out-of-fold probabilities of a random forest and of boosted trees feed a
     logistic meta-model (C = 0.5); bases are refitted on all rows to score
-    ``other``. Both tables have ``features`` and ``bins``. The boosted fits of
-    all folds are cells of one table, and so are the forests."""
+    ``other``. Both tables have ``bins``. The boosted fits of all folds are cells
+    of one table, and so are the forests."""
     params = params or boosting.Params(rows=0.8, columns=0.8)
     train = cached(train)
-    trees = boosting.fit(boosting.counted(train, label, fold=fold_col),
-                         [boosting.Cell(str(f), params, without=(f,)) for f in range(k)] + [boosting.Cell("all", params)])
-    fits = forest_fits(train, {**{f: forests.Forest(without=(f,)) for f in range(k)}, "all": forests.Forest()}, label, fold_col)
+    table = materialize(boosting.counted(train, label, fold=fold_col))
+    cells = [boosting.Cell(str(f), params, without=(f,)) for f in range(k)] + [boosting.Cell("all", params)]
+    forms = {**{f: forests.Forest(without=(f,)) for f in range(k)}, "all": forests.Forest()}
+    # A boosted fit is one long task, a forest many short ones: side by side they fill the cores.
+    trees, grown = fit_all([lambda: boosting.fit(table, cells), lambda: forests.grown(table, forms)])
+    fits = {key: lambda d, own=own: forests.score(d, own) for key, own in grown.items()}
 
     def rows(d, rf, key):
-        d = rf(d.select(id_col, *([label] if label in d.columns else []), "features", "bins")).withColumnRenamed("p", "rf").withColumn("__key", F.lit(key))
+        d = rf(d.select(id_col, *([label] if label in d.columns else []), "bins")).withColumnRenamed("p", "rf").withColumn("__key", F.lit(key))
         return boosting.score(d, trees, by="__key").withColumnRenamed("p", "gbt").drop("__key")
     # A row is scored by the fits that did not see it; all columns stay with it, so nothing is joined.
     held_out = [rows(train.where(F.col(fold_col) == f), fits[f], str(f)) for f in range(k)]
