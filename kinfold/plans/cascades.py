@@ -187,8 +187,8 @@ def cascade_enhanced(d: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out(R.run_cascade(dd, R.baseline_gender(), st))
 
 
-def cascade_soft_vote(d: DataFrame, prob_cols: list[str]) -> DataFrame:
-    reg = G.outcome_majority(py_registry(d, 2), 0.7, 0.3, 2)
+def cascade_soft_vote(d: DataFrame, prob_cols: list[str], known: DataFrame | None = None) -> DataFrame:
+    reg = G.outcome_majority(py_registry(d, 2, known), 0.7, 0.3, 2)
     dd, st = _py_cascade(d, reg, "outcome", "replace", "known")
     mean_p = sum(F.col(c) for c in prob_cols) / len(prob_cols)
     dd = dd.withColumn("p_mean", mean_p)

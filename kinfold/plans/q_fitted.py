@@ -26,17 +26,18 @@ from .registry import register
 ID = "PassengerId"
 
 
-def sub_scores(spark, sf_dir):
-    """(PassengerId, p_men, p_women): the sub-models' p for the rows of their cohorts, both fits at once."""
-    frame = Q._sub_frame(spark, sf_dir)
+def sub_scores(spark, sf_dir, frame=None, split=None):
+    """(PassengerId, p_men, p_women): the sub-models' p for the rows of their
+    cohorts, or those of a ``split``, both fits at once."""
+    frame = Q._sub_frame(spark, sf_dir) if frame is None else frame
     parts = []
     for c in ("men", "women"):
         d = Q._xy(Q._cohort(frame, c), c)
         [d] = M.binned(d, features=[F.col("x1"), F.col("x2")])
-        parts.append(d.select(F.lit(c).alias("cohort"), ID, "Survived", "bins"))
+        parts.append(d.select(F.lit(c).alias("cohort"), ID, "Survived", "split", "bins"))
     rows = materialize(reduce(DataFrame.unionByName, parts))
     trees = B.fit(B.counted(rows, group="cohort"), [B.Cell(c, Q.SUB, group=c) for c in ("men", "women")])
-    scored = B.score(rows.drop("Survived"), trees, by="cohort")
+    scored = B.score((rows if split is None else rows.where(F.col("split") == split)).drop("Survived", "split"), trees, by="cohort")
     return scored.groupBy(ID).agg(*[F.max(F.when(F.col("cohort") == c, F.col("p"))).alias(f"p_{c}") for c in ("men", "women")])
 
 
@@ -78,7 +79,10 @@ def q_cascades_fitted(spark, sf_dir):
 @register("cascade_soft_vote_fitted")
 def q_cascade_soft_vote_fitted(spark, sf_dir):
     """The soft-vote cascade with its three fitted members and fitted sub-models."""
-    m = join_back(manifest(spark, sf_dir), sub_scores(spark, sf_dir), ID)
-    members = Q.q_model_soft_vote(spark, sf_dir).select(ID, "p_forest", "p_logistic", "p_machine")
-    d = C.py_frame(materialize(join_back(m, members, ID)))
-    return C.cascade_soft_vote(d, ["p_forest", "p_logistic", "p_machine"])
+    frame = Q._sub_frame(spark, sf_dir)
+    # The groups of all rows come first; only the scoring rows get scores.
+    d = C.py_frame(manifest(spark, sf_dir).drop("Cabin"), keep=C.RULE_COLUMNS)
+    known = C.py_registry(d, 2)
+    members = Q.soft_votes(Q._member_frame(spark, sf_dir, frame)).select(ID, "p_forest", "p_logistic", "p_machine")
+    rows = join_back(join_back(C.test_rows(d), sub_scores(spark, sf_dir, frame, "test"), ID), members, ID)
+    return C.cascade_soft_vote(rows, ["p_forest", "p_logistic", "p_machine"], known)

@@ -250,9 +250,9 @@ def q_model_cart(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-def _member_frame(spark, sf_dir):
+def _member_frame(spark, sf_dir, frame=None):
     """The 15 features of the soft vote's members over the group frame."""
-    d = _sub_frame(spark, sf_dir)
+    d = _sub_frame(spark, sf_dir) if frame is None else frame
     ends = d.agg(*[f(c).alias(f"__{c}_{n}") for c in ("Fare", "Age") for n, f in (("lo", F.min), ("hi", F.max))])
     eq = lambda c, v: F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
     code = lambda c: fx.equal_width_code(c, F.col(f"__{c}_lo"), F.col(f"__{c}_hi")).cast("double")
@@ -265,7 +265,10 @@ def _member_frame(spark, sf_dir):
 @register("model_soft_vote")
 def q_model_soft_vote(spark, sf_dir):
     """The three fitted members of the soft vote and their mean, on the scoring rows."""
-    d = _member_frame(spark, sf_dir)
+    return soft_votes(_member_frame(spark, sf_dir))
+
+
+def soft_votes(d):
     return M.soft_vote(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"))
 
 

@@ -1,6 +1,7 @@
 """Bins by search, forests over blocks, machines from passes, merged rows of folds, scores of scoring rows alone."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import boosting as B
@@ -110,3 +111,18 @@ def test_machine_is_the_least_loss():
         loss = lambda c: np.maximum(0, 1 - sign[own] * (z[own] @ c[:-1] + c[-1])).mean() + 0.005 * ((c[:-1] * spread) ** 2).sum()  # noqa: B023, E731
         least = loss(coef[m])
         assert all(loss(coef[m] + RNG.normal(size=21) * s) > least - 2e-4 for s in (0.001, 0.01, 0.1) for _ in range(40))
+
+
+@pytest.mark.parametrize("split", [None, "test"])
+def test_sub_scores_of_a_split_are_those_of_all(spark, split):
+    from kinfold.plans import q_fitted as QF
+    from kinfold.plans import q_models as Q
+    n = 300
+    rows = [(i, (i // 2) % 2 if i % 3 else None, "train" if i % 3 else "test", "man" if i % 4 < 2 else "woman", float(i % 50), float(i % 70), 1 + i % 2, 1.0 + i % 3, None) for i in range(n)]
+    frame = spark.createDataFrame(rows, "PassengerId long, Survived int, split string, Title string, Fare double, Age double, FamilySize int, FareAdj double, GroupId string") \
+        .withColumn("TicketFreq", F.lit(1)).withColumn("FamilySize", F.when(F.col("Title") == "woman", 1).otherwise(F.col("FamilySize"))).cache()
+    got = {r[0]: (r.p_men, r.p_women) for r in QF.sub_scores(spark, None, frame, split).collect()}
+    want = {r[0]: (r.p_men, r.p_women) for r in QF.sub_scores(spark, None, frame).collect()}
+    kept = {r[0] for r in frame.collect() if split in (None, r.split)}
+    assert got == {k: v for k, v in want.items() if k in kept} and got
+    assert Q.ID == "PassengerId"
