@@ -274,7 +274,11 @@ def soft_votes(d):
 
 @register("model_stacking")
 def q_model_stacking(spark, sf_dir):
-    tr, te, _ = _binned(spark, sf_dir)
+    designs = M.design(*(d.select(ID, "Survived", *M.NUMERIC, *M.CATEGORICAL) for d in frames(spark, sf_dir)))
+    # The folds, both kinds of fits and the scores read the bins alone.
+    tr, te = (materialize(d.select(ID, "Survived", "bins")) for d in M.binned(*designs[:2], size=len(designs[2])))
+    for d in designs[:2]:
+        d.unpersist()
     return M.stacking(S.kfold_stratified(tr, "Survived", ID, 5, 42), te)
 
 
